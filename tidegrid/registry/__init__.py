@@ -6,7 +6,7 @@ import importlib
 
 from tidegrid.registry.common import ORACLES, QUERIES, QueryFn
 
-MODULES = ["features"]
+MODULES = ["features", "profiling", "joining", "forecasting"]
 
 
 def _load() -> None:

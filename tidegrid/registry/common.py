@@ -82,7 +82,7 @@ def with_views(body: str, views: str) -> str:
     body = body.strip()
     if not head:
         return body
-    return f"WITH {head}{body}" if body.startswith(",") else f"WITH {head}\n{body}"
+    return f"WITH RECURSIVE {head}{body}" if body.startswith(",") else f"WITH {head}\n{body}"
 
 
 def query(name: str, views: str = "", sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
