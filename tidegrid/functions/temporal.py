@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 from tidegrid.operators.guards import flag
 
 
+# Column names in table order.
+TEMPORAL_NAMES = [
+    "hour",
+    "day_of_week",
+    "day_of_month",
+    "day_of_year",
+    "week_of_year",
+    "month",
+    "quarter",
+    "is_weekend",
+    "is_business_hour",
+    "season",
+]
+CYCLICAL_NAMES = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos"]
+
+
 def temporal_expressions(ts: str = "timestamp") -> dict[str, Column]:
     t = F.col(ts)
     hour, weekday, month = F.hour(t), F.weekday(t), F.month(t)

@@ -51,33 +51,26 @@ def cumulative_counts(
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation percentiles, one row per key and one column per entry of ``probs``."""
     cum = cumulative_counts(df, keys, value)
-    first, upto = F.col("n_upto") - F.col("n"), F.col("n_upto")
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("n_total") - 1)
+    levels = F.array(*[F.lit(float(p)) for p in probs.values()])
+    wanted = F.transform(levels, lambda p, i: F.struct(i.alias("i"), (p * (F.col("n_total") - 1)).alias("at")))
 
     def covers(rank: Column) -> Column:
-        return (first <= rank) & (rank < upto)
-
-    hit = F.lit(False)
-    aggs: list[Column] = []
-    for name, p in probs.items():
-        low = F.floor(position(p))
-        high = F.least(low + 1, F.col("n_total") - 1)
-        hit = hit | covers(low) | covers(high)
-        aggs += [
-            F.max(F.when(covers(low), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(covers(high), F.col(value))).alias(f"_hi_{name}"),
-            F.max(position(p) - low).alias(f"_fr_{name}"),
-        ]
-    picked = cum.where(hit).groupBy(*keys).agg(*aggs)
-    return picked.select(
-        *keys,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
-            for n in probs
-        ],
+        return (F.col("n_upto") - F.col("n") <= rank) & (rank < F.col("n_upto"))
+
+    def upper(at: Column) -> Column:
+        return F.least(F.floor(at) + 1, F.col("n_total") - 1)
+
+    # only the values at a wanted rank (at most two per percentile and key) go on
+    hits = F.filter(wanted, lambda x: covers(F.floor(x["at"])) | covers(upper(x["at"])))
+    hit = cum.select(*keys, F.col(value).alias("_v"), "n_upto", "n", "n_total", F.explode(hits).alias("_h"))
+    at = F.col("_h.at")
+    sides = hit.groupBy(*keys, F.col("_h.i").alias("_i")).agg(
+        F.max(F.when(covers(F.floor(at)), F.col("_v"))).alias("_lo"),
+        F.max(F.when(covers(upper(at)), F.col("_v"))).alias("_hi"),
+        F.max(at - F.floor(at)).alias("_part"),
     )
+    result = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+    return sides.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, result)).alias(n) for i, n in enumerate(probs)])
 
 
 def percentiles(

@@ -52,7 +52,7 @@ def feature_names(
     weather_columns: Sequence[str] = WEATHER,
     weather_lag_steps: Sequence[int] = WEATHER_LAGS,
 ) -> list[str]:
-    temporal_names = list(temporal.temporal_expressions()) + list(temporal.cyclical_expressions())
+    temporal_names = temporal.TEMPORAL_NAMES + temporal.CYCLICAL_NAMES
     load_names = [f"load_lag_{k}h" for k in lags] + [
         f"rolling_{n}h_{s}" for n in windows for s in ("mean", "std", "min", "max")
     ]

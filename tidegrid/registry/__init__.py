@@ -6,7 +6,7 @@ import importlib
 
 from tidegrid.registry.common import ORACLES, QUERIES, QueryFn
 
-MODULES = ["features", "profiling", "joining", "forecasting", "explaining", "monitoring"]
+MODULES = ["features", "profiling", "joining", "forecasting", "explaining", "monitoring", "files", "learning", "streams"]
 
 
 def _load() -> None:

@@ -14,10 +14,7 @@ from tidegrid.registry.common import q6, query
 from tidegrid.sources import views as v
 
 KEY = ["series_id", "timestamp"]
-INT_TEMPORAL = [
-    "hour", "day_of_week", "day_of_month", "day_of_year", "week_of_year", "month", "quarter", "is_weekend",
-    "is_business_hour", "season",
-]
+INT_TEMPORAL = temporal.TEMPORAL_NAMES
 
 TEMPORAL_SQL = {
     "hour": "hour(timestamp)::INT",
