@@ -31,6 +31,14 @@ def r6(col: Column, digits: int = 6) -> Column:
     return F.round(value + F.signum(value) * F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
 
 
+def rounded(df: DataFrame, names: Iterable[str], digits: int = 6) -> DataFrame:
+    """``r6`` on several columns, written as SQL text (one call per column)."""
+    names = list(names)
+    nudge = f"1e-{digits + 3}D"
+    text = "round(cast(`{c}` as double) + signum(cast(`{c}` as double)) * {nudge}, {digits}) + 0.0D"
+    return df.withColumns({c: F.expr(text.format(c=c, nudge=nudge, digits=digits)) for c in names})
+
+
 def flag(cond: Column) -> Column:
     """Boolean as 0/1, NULL counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")

@@ -25,10 +25,8 @@ def sample_join(left: DataFrame, right: DataFrame, start: str, end: str, ts: str
 def merge_load_weather(load: DataFrame, weather: DataFrame, how: str = "left", ts: str = TS, check: bool = True) -> DataFrame:
     """Equi-join on the timestamp.  Raises if the time ranges do not overlap; clashing names get ``_weather``."""
     if check:
-        bounds = load.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).join(
-            weather.agg(F.min(ts).alias("c"), F.max(ts).alias("d")), F.lit(True)
-        )
-        r = bounds.first()
+        span = weather.agg(F.struct(F.min(ts).alias("c"), F.max(ts).alias("d"))).scalar()
+        r = load.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).withColumn("_w", span).select("a", "b", "_w.*").first()
         if None in (r.a, r.b, r.c, r.d) or r.a > r.d or r.c > r.b:
             raise ValueError(f"No overlap between load ({r.a} .. {r.b}) and weather ({r.c} .. {r.d})")
     clash = {c: f"{c}_weather" for c in weather.columns if c in load.columns and c != ts}

@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 CELLS = 4096
 
 
-def value_bucket(v: Column) -> Column:
-    """Order-preserving integer cell of a double: ``CELLS`` cells per power of two, 0 in a cell of its own."""
-    a = F.abs(v)
-    guess = F.floor(F.log2(a))
-    power = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1)
-    power = F.coalesce(power, guess)
-    cell = F.floor((a / F.pow(F.lit(2.0), power) - 1) * CELLS) + (power + 1100) * CELLS
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * cell).cast("bigint")
+def value_bucket(v: str) -> str:
+    """SQL text of the order-preserving integer cell of a double: ``CELLS`` cells per power of two, 0 alone.
+
+    The power comes from a logarithm and is then corrected by exact comparisons, so no rounding can swap two values.
+    """
+    guess = f"floor(log2(abs({v})))"
+    power = (
+        f"(CASE WHEN pow(2D, {guess}) > abs({v}) THEN {guess} - 1 WHEN pow(2D, {guess} + 1) <= abs({v}) THEN {guess} + 1"
+        f" ELSE {guess} END)"
+    )
+    cell = f"floor((abs({v}) / pow(2D, {power}) - 1) * {CELLS}) + ({power} + 1100) * {CELLS}"
+    return f"CASE WHEN {v} = 0 THEN 0L ELSE cast(signum({v}) * ({cell}) AS bigint) END"
 
 
 def cumulative_counts(
@@ -30,47 +34,46 @@ def cumulative_counts(
 ) -> DataFrame:
     """One row per (keys, value): for each count ``c`` the columns ``c``, ``c_upto`` (running) and ``c_total``."""
     counts = counts or {"n": F.count(F.lit(1))}
-    present = df.where(F.col(value).isNotNull())
-    cells = present.groupBy(*keys, value).agg(*[e.alias(c) for c, e in counts.items()])
-    cells = cells.withColumn("_cell", value_bucket(F.col(value)))
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    cells = df.where(f"`{value}` IS NOT NULL").groupBy(*keys, value).agg(*[e.alias(c) for c, e in counts.items()])
+    cells = cells.withColumn("_cell", F.expr(value_bucket(f"`{value}`")))
     at = [*keys, "_cell"]
     totals = cells.groupBy(*at).agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
-    running = Window.partitionBy(*keys).orderBy("_cell")
-    offsets = totals.select(
-        *at,
-        *[(F.sum(f"_s_{c}").over(running) - F.col(f"_s_{c}")).alias(f"_before_{c}") for c in counts],
-        *[F.sum(f"_s_{c}").over(Window.partitionBy(*keys)).alias(f"{c}_total") for c in counts],
+    # one row per key and cell: a few thousand per power of two, however many values there are
+    offsets = totals.selectExpr(
+        *[f"`{k}`" for k in at],
+        *[f"sum(_s_{c}) OVER (PARTITION BY {key_list} ORDER BY _cell) - _s_{c} AS _before_{c}" for c in counts],
+        *[f"sum(_s_{c}) OVER (PARTITION BY {key_list}) AS {c}_total" for c in counts],
     )
-    local = Window.partitionBy(*at).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cells.join(offsets, at).withColumns(
-        {f"{c}_upto": F.col(f"_before_{c}") + F.sum(c).over(local) for c in counts}
+    local = f"OVER (PARTITION BY {key_list}, _cell ORDER BY `{value}` ROWS UNBOUNDED PRECEDING)"
+    return cells.join(offsets, at).selectExpr(
+        *[f"`{k}`" for k in keys],
+        f"`{value}`",
+        *[x for c in counts for x in (c, f"_before_{c} + sum({c}) {local} AS {c}_upto", f"{c}_total")],
     )
-    return out.drop("_cell", *[f"_before_{c}" for c in counts])
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation percentiles, one row per key and one column per entry of ``probs``."""
     cum = cumulative_counts(df, keys, value)
-    levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-    wanted = F.transform(levels, lambda p, i: F.struct(i.alias("i"), (p * (F.col("n_total") - 1)).alias("at")))
-
-    def covers(rank: Column) -> Column:
-        return (F.col("n_upto") - F.col("n") <= rank) & (rank < F.col("n_upto"))
+    levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    low, high = "floor({at})", "least(floor({at}) + 1, n_total - 1)"
 
-    def upper(at: Column) -> Column:
-        return F.least(F.floor(at) + 1, F.col("n_total") - 1)
+    def covers(rank: str, at: str) -> str:
+        return f"(n_upto - n <= {rank.format(at=at)} AND {rank.format(at=at)} < n_upto)"
 
     # only the values at a wanted rank (at most two per percentile and key) go on
-    hits = F.filter(wanted, lambda x: covers(F.floor(x["at"])) | covers(upper(x["at"])))
-    hit = cum.select(*keys, F.col(value).alias("_v"), "n_upto", "n", "n_total", F.explode(hits).alias("_h"))
-    at = F.col("_h.at")
-    sides = hit.groupBy(*keys, F.col("_h.i").alias("_i")).agg(
-        F.max(F.when(covers(F.floor(at)), F.col("_v"))).alias("_lo"),
-        F.max(F.when(covers(upper(at)), F.col("_v"))).alias("_hi"),
-        F.max(at - F.floor(at)).alias("_part"),
+    wanted = f"transform(array({levels}), (p, i) -> struct(i, p * (n_total - 1) AS at))"
+    hits = f"filter({wanted}, x -> {covers(low, 'x.at')} OR {covers(high, 'x.at')})"
+    key_text = [f"`{k}`" for k in keys]
+    hit = cum.selectExpr(*key_text, f"cast(`{value}` AS double) AS _v", "n_upto", "n", "n_total", f"inline({hits}) AS (_i, _at)")
+    sides = hit.groupBy(*keys, "_i").agg(
+        F.expr(f"max(CASE WHEN {covers(low, '_at')} THEN _v END) AS _lo"),
+        F.expr(f"max(CASE WHEN {covers(high, '_at')} THEN _v END) AS _hi"),
+        F.expr("max(_at - floor(_at)) AS _part"),
     )
-    result = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
-    return sides.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, result)).alias(n) for i, n in enumerate(probs)])
+    result = "_lo + (_hi - _lo) * _part"
+    return sides.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN _i = {i} THEN {result} END) AS `{n}`") for i, n in enumerate(probs)])
 
 
 def percentiles(

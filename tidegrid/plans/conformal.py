@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, with_ordinal
 from tidegrid.operators.ranks import percentiles
 from tidegrid.plans.learning import _gram_columns, _solve
+from tidegrid.session import cut_lineage
 
 
 def block_draws(resamples: int, blocks: int, seed: int = 42) -> list[list[int]]:
@@ -78,7 +79,8 @@ def conformal_enbpi(
     alpha = 1 - confidence
     rows = with_ordinal(train.dropna(subset=[label, *features]).select(*keys, ts, label, *features), keys, ts, grid)
     rows = rows.withColumn("block", F.floor(F.col("ordinal") * blocks / F.col("ordinal_n")).cast("int")).drop("ordinal", "ordinal_n")
-    ensemble = fit_ensemble(rows, features, label, resamples, blocks, keys, seed)
+    # one row per series and block; kept, because residuals and predictions both need it
+    ensemble = cut_lineage(fit_ensemble(rows, features, label, resamples, blocks, keys, seed))
     residuals = rows.join(ensemble, [*keys, "block"]).select(*keys, (F.col(label) - _linear(F.col("loo"), features)).alias("_res"))
     steps = [alpha * i / (betas - 1) for i in range(betas)]
     probs = {**{f"lo{i}": b for i, b in enumerate(steps)}, **{f"hi{i}": min(1.0, 1 - alpha + b) for i, b in enumerate(steps)}}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import r6, rounded
 from tidegrid.plans import feature_table as ft
 from tidegrid.plans import importance as im
 from tidegrid.plans import narrative as nl
@@ -22,10 +22,6 @@ def score(df):
 SPLIT = "TIMESTAMP '2024-01-16'"
 
 
-def rounded(df, names, digits=6):
-    return df.withColumns({n: r6(F.col(n), digits) for n in names})
-
-
 def phi(spark, sf):
     return im.linear_shap(v.model_rows(spark, sf), TERMS, BASE)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import temporal, weather
 from tidegrid.functions.holidays import calendar_features
-from tidegrid.operators import series
+from tidegrid.operators import guards, series
 from tidegrid.operators.chunks import over_chunks
 from tidegrid.operators.guards import r6
 from tidegrid.plans import feature_table as ft
@@ -41,7 +41,7 @@ def cols(exprs: dict[str, str], rounded: int | None = None) -> str:
 
 
 def rounded(df, keep, names, digits=6):
-    return df.select(*keep, *[r6(F.col(n), digits).alias(n) for n in names])
+    return guards.rounded(df.select(*keep, *names), names, digits)
 
 
 @query("temporal_features", "load_daily", f"SELECT series_id, timestamp, {cols(TEMPORAL_SQL)} FROM load_daily")

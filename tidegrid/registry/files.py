@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import r6, rounded
 from tidegrid.plans import forecast as f
 from tidegrid.plans import importance as im
 from tidegrid.registry.common import q6, query
 from tidegrid.registry.explaining import IMPORTANCE, phi
-from tidegrid.registry.forecasting import METRIC, metric_sql, rounded
+from tidegrid.registry.forecasting import METRIC, metric_sql
 from tidegrid.operators.metrics import forecast_metrics
 from tidegrid.session import scratch_path
 from tidegrid.sources import readers, views as v, writers

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics as m
 from tidegrid.operators.chunks import DAILY
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import r6, rounded
 from tidegrid.operators.series import rolling_time_rmse
 from tidegrid.plans import forecast as f
 from tidegrid.plans.profile import corrected_kurtosis, corrected_skew
@@ -18,10 +18,6 @@ from tidegrid.sources import views as v
 TEST_ROWS = 72
 
 
-def rounded(df, names, digits=6):
-    return df.withColumns({n: r6(F.col(n), digits) for n in names})
-
-
 def ordered(table: str = "load_hourly") -> str:
     return f""", o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY timestamp) - 1 AS i,
         count(*) OVER (PARTITION BY series_id) AS n, max(timestamp) OVER (PARTITION BY series_id) AS last_ts FROM {table})"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunks import DAILY
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import r6, rounded
 from tidegrid.operators.metrics import forecast_metrics, winkler_score
 from tidegrid.operators.series import lag_features
 from tidegrid.plans import conformal as cf
@@ -15,20 +15,17 @@ from tidegrid.plans import learning as ln
 from tidegrid.plans import shapley as sh
 from tidegrid.registry.common import q6, query
 from tidegrid.registry.explaining import score
+from tidegrid.session import cut_lineage
 from tidegrid.sources import views as v
 
 FEATURES = list(v.MODEL_TERMS)
 SMALL = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.2}
 
 
-def rounded(df, names, digits=4):
-    return df.withColumns({n: r6(F.col(n), digits) for n in names})
-
-
 @query("gbt_forecast")
 def _(spark, sf):
     _model, scored = ln.gbt_forecast(v.model_rows(spark, sf), FEATURES, 72, **SMALL)
-    return rounded(forecast_metrics(scored, ["series_id"], "load", "prediction"), ["rmse", "mae", "mape", "r2", "max_error"])
+    return rounded(forecast_metrics(scored, ["series_id"], "load", "prediction"), ["rmse", "mae", "mape", "r2", "max_error"], 4)
 
 
 @query("gbt_importance")
@@ -89,19 +86,19 @@ def _(spark, sf):
 @query("quantile_forecast")
 def _(spark, sf):
     out = ln.quantile_forecast(v.model_rows(spark, sf), FEATURES, rounds=6)
-    return rounded(out, ["q10", "q50", "q90", "lower", "upper"])
+    return rounded(out, ["q10", "q50", "q90", "lower", "upper"], 4)
 
 
 @query("conformal_enbpi")
 def _(spark, sf):
-    rows = f.holdout_split(v.model_rows(spark, sf), 72)
+    rows = cut_lineage(f.holdout_split(v.model_rows(spark, sf), 72))
     out = cf.conformal_enbpi(rows.where("split <> 'test'"), rows.where("split = 'test'"), FEATURES)
-    return rounded(out, ["y_pred", "lower", "upper"])
+    return rounded(out, ["y_pred", "lower", "upper"], 4)
 
 
 @query("conformal_scores")
 def _(spark, sf):
-    rows = f.holdout_split(v.model_rows(spark, sf), 72)
+    rows = cut_lineage(f.holdout_split(v.model_rows(spark, sf), 72))
     out = cf.conformal_enbpi(rows.where("split <> 'test'"), rows.where("split = 'test'"), FEATURES)
     return winkler_score(out, 0.1)
 
@@ -157,8 +154,6 @@ def _(spark, sf):
 @query("explain_report")
 def _(spark, sf):
     """Tree attributions, their global and hourly importance and the comparison with the gain importance."""
-    from tidegrid.session import cut_lineage
-
     model, phi = _tree_phi(spark, sf)
     phi = cut_lineage(phi)
     overall = im.global_importance(phi)

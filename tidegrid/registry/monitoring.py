@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics as m
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import r6, rounded
 from tidegrid.plans import experiments as ex
 from tidegrid.plans import monitoring as mo
 from tidegrid.plans import runs as rn
@@ -18,10 +18,6 @@ FEATURES = ["load", "load_lag_1h", "load_lag_24h", "temperature", "humidity"]
 BORDER = "2024-01-16"
 
 
-def rounded(df, names, digits=6):
-    return df.withColumns({n: r6(F.col(n), digits) for n in names})
-
-
 def _halves(df):
     border = F.lit(BORDER).cast("timestamp")
     return df.where(F.col("timestamp") < border), df.where(F.col("timestamp") >= border)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import joins
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import r6, rounded
 from tidegrid.plans import profile as p
 from tidegrid.registry.common import q6, query
 from tidegrid.sources import views as v
@@ -17,10 +17,6 @@ def merged(spark, sf):
     return joins.merge_load_weather(v.load_hourly(spark, sf), v.weather_hourly(spark, sf), check=False)
 
 
-def rounded(df, names, digits=6):
-    return df.withColumns({n: r6(F.col(n), digits) for n in names})
-
-
 MERGED = ", merged AS (SELECT l.*, w.* EXCLUDE (timestamp) FROM load_hourly l LEFT JOIN weather w USING (timestamp))"
 
 
