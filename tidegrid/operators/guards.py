@@ -39,6 +39,13 @@ def rounded(df: DataFrame, names: Iterable[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.expr(text.format(c=c, nudge=nudge, digits=digits)) for c in names})
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows where both are present; NULL when one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x))) * F.sqrt(F.var_pop(F.when(both, y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def flag(cond: Column) -> Column:
     """Boolean as 0/1, NULL counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")

@@ -15,7 +15,14 @@ WINDOWS = (3, 6, 12, 24, 168)
 WEATHER_LAGS = (1, 3, 6)
 DIFFS = (1, 24, 168)
 HORIZONS = (1, 6, 12, 24, 48, 168)
-ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+DEFAULT_STATS = ("mean", "std", "min", "max")
+ROLLING = {
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "min": F.min,
+    "max": F.max,
+    "median": lambda c: F.percentile(c, F.lit(0.5)),
+}
 
 
 def lag_columns(w: WindowSpec, column: str, lags: Sequence[int], prefix: str | None = None) -> dict[str, Column]:
@@ -23,7 +30,7 @@ def lag_columns(w: WindowSpec, column: str, lags: Sequence[int], prefix: str | N
 
 
 def rolling_columns(
-    w: WindowSpec, column: str, windows: Sequence[int], stats: Sequence[str] = tuple(ROLLING)
+    w: WindowSpec, column: str, windows: Sequence[int], stats: Sequence[str] = DEFAULT_STATS
 ) -> dict[str, Column]:
     """Statistics of the ``n`` rows before the current one; any aggregate name Spark knows may be listed."""
     out: dict[str, Column] = {}
@@ -58,7 +65,7 @@ def rolling_features(
     df: DataFrame,
     column: str = "load",
     windows: Sequence[int] = WINDOWS,
-    stats: Sequence[str] = tuple(ROLLING),
+    stats: Sequence[str] = DEFAULT_STATS,
     grid: Grid = HOURLY,
     **kw,
 ) -> DataFrame:

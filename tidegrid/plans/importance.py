@@ -174,13 +174,9 @@ def drift_summary(drift: DataFrame, top: int = 10, keys: Sequence[str] = ()) ->
 
 def drift_history_summary(history: DataFrame, baseline: DataFrame, top: int = 10) -> DataFrame:
     """Counts, the last ten scores and the leading baseline features from a history (date, drift_score, severity)."""
-    recent = edge_rows(
-        history.select(F.lit("all").alias("series_id"), F.col("date").cast("timestamp").alias("timestamp"), "drift_score"),
-        10,
-        grid=Grid(86400),
-    )
+    recent = history.select("date", "drift_score").orderBy(F.desc("date")).limit(10)
     latest = F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col("timestamp").alias("t"), F.col("drift_score").alias("s")))),
+        F.sort_array(F.collect_list(F.struct(F.col("date").alias("t"), F.col("drift_score").alias("s")))),
         lambda x: F.format_string("%.4f", x["s"] + 1e-9),
     )
     leading = normalised(baseline).orderBy(F.desc("importance"), "feature").limit(top)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, full_grid, over_chunks
-from tidegrid.operators.guards import flag, ratio
+from tidegrid.operators.guards import flag, ratio, safe_corr
 from tidegrid.operators.ranks import percentiles
 from tidegrid.operators.series import LAGS
 
@@ -274,8 +274,7 @@ def covariate_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 def load_weather_corr(df: DataFrame, columns: Sequence[str], load: str = "load", keys: Sequence[str] = KEYS) -> DataFrame:
     def fields(c: str) -> list[Column]:
-        both = F.col(load).isNotNull() & F.col(c).isNotNull()
-        return [F.nanvl(F.corr(F.when(both, F.col(load)), F.when(both, F.col(c))), F.lit(None)).alias("correlation")]
+        return [safe_corr(F.col(load), F.col(c)).alias("correlation")]
 
     return per_column(df, keys, columns, fields)
 
@@ -290,10 +289,7 @@ def autocorr_lags(
         back=max(lags), keys=keys, ts=ts, grid=grid, carry=[column],
     )
     pairs = wide.groupBy(*keys).agg(
-        *[
-            F.nanvl(F.corr(F.when(F.col(f"_{k}").isNotNull(), F.col(column)), f"_{k}"), F.lit(None)).alias(str(k))
-            for k in lags
-        ]
+        *[safe_corr(F.col(column), F.col(f"_{k}")).alias(str(k)) for k in lags]
     )
     rows = pairs.unpivot(list(keys), [str(k) for k in lags], "lag", "autocorrelation")
     return rows.withColumn("lag", F.col("lag").cast("int")).where("autocorrelation IS NOT NULL")
@@ -351,7 +347,7 @@ def linear_trend(df: DataFrame, columns: Sequence[str], load: str = "load", keys
         return [
             F.regr_slope(load, c).alias("slope"),
             F.regr_intercept(load, c).alias("intercept"),
-            F.corr(F.when(F.col(c).isNotNull(), F.col(load)), F.when(F.col(load).isNotNull(), F.col(c))).alias("correlation"),
+            safe_corr(F.col(load), F.col(c)).alias("correlation"),
         ]
 
     return per_column(df, keys, columns, fields)

@@ -126,7 +126,9 @@ def parse_hourly_json(df: DataFrame, names: Mapping[str, str], column: str = "va
     parsed = df.withColumn("_doc", F.from_json(column, f"struct<hourly: struct<time: array<string>, {fields}>>"))
     hourly = F.when(F.col("_doc.hourly").isNull(), F.raise_error(F.lit("payload has no hourly section"))).otherwise(F.col("_doc.hourly"))
     arrays = parsed.select(*keep, hourly.alias("_h"))
-    zipped = F.arrays_zip(F.col("_h.time").alias("time"), *[F.col(f"_h.{n}").alias(n) for n in names])
+    # an absent variable is padded with NULL
+    none = F.array().cast("array<double>")
+    zipped = F.arrays_zip(F.col("_h.time").alias("time"), *[F.coalesce(f"_h.{n}", none).alias(n) for n in names])
     rows = arrays.select(*keep, F.inline(zipped))
     return rows.select(*keep, F.try_to_timestamp("time").alias("timestamp"), *[F.col(n).alias(new) for n, new in names.items()])
 
