@@ -60,9 +60,12 @@ def test_percentiles_match_numpy(spark):
     }
     df = spark.createDataFrame([(k, x) for k, xs in pools.items() for x in xs], "k string, x double")
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p77": 0.77, "p100": 1.0}
-    for row in ranks.exact_percentiles(df, ["k"], "x", probs).collect():
-        for name, p in probs.items():
-            assert row[name] == pytest.approx(np.quantile(pools[row.k], p), rel=1e-12, abs=1e-12), (row.k, name)
+    for hot_rows in (0, 300, 10**6):
+        rows = ranks.exact_percentiles(df, ["k"], "x", probs, hot_rows).collect()
+        assert len(rows) == len(pools)
+        for row in rows:
+            for name, p in probs.items():
+                assert row[name] == pytest.approx(np.quantile(pools[row.k], p), rel=1e-12, abs=1e-12), (row.k, name, hot_rows)
 
 
 def test_value_buckets_keep_the_order(spark):

@@ -118,7 +118,10 @@ def date_dimension(dates: DataFrame, holidays: DataFrame, days_before: int = 2,
 def calendar_features(
     df: DataFrame, holidays: DataFrame, ts: str = "timestamp", days_before: int = 2, days_after: int = 1
 ) -> DataFrame:
-    """Join the calendar columns on the date.  The dimension is left to Spark's size-checked broadcast choice."""
+    """Join the calendar columns on the date.
+
+    The dimension has one row per calendar day (a century is 36,525 rows), so it is broadcast and the rows stay put.
+    """
     dated = df.withColumn("date", F.to_date(ts))
     dim = date_dimension(dated.select("date").distinct(), holidays, days_before, days_after)
-    return dated.join(dim, "date", "left").drop("date")
+    return dated.join(F.broadcast(dim), "date", "left").drop("date")

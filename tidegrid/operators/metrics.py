@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, running_sums
 from tidegrid.operators.guards import flag, ratio
 from tidegrid.operators.ranks import percentiles
+from tidegrid.session import settled
 
 SERIES_MODEL = ("series_id", "model")
 EPS = 2.0**-52
@@ -61,7 +62,7 @@ def segmented_metrics(
 
 def residual_histogram(df: DataFrame, column: str = "residual", bins: int = 50, keys: Sequence[str] = SERIES_MODEL) -> DataFrame:
     """Equal-width bins 1 .. ``bins`` between the smallest and the largest value of each group; the last is closed."""
-    bounds = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    bounds = settled(df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_no = F.least(F.lit(bins), F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("_lo"), width)), F.lit(0)) + 1)
     return (

@@ -1,8 +1,8 @@
-"""Exact order statistics (percentiles, cumulative counts) without one task per group.
+"""Exact order statistics (percentiles, cumulative counts) without one task per large group.
 
-Values are counted first, so repeated values collapse before any sort.  Each value then falls into a bucket that
-depends on the value only (power of two and 12 leading binary digits), so the bucket borders are the same in every
-run.  Ranks come from a running sum over the bucket totals plus a running sum inside the bucket.
+A value falls into a cell that depends on the value only (power of two and 12 leading binary digits), so the cell
+borders are the same in every run and on every executor.  Ranks come from a running sum over the cell totals plus a
+running sum inside the cell.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import settled
+
 CELLS = 4096
+HOT_ROWS = 1_000_000
 
 
 def value_bucket(v: str) -> str:
@@ -26,7 +29,7 @@ def value_bucket(v: str) -> str:
         f" ELSE {guess} END)"
     )
     cell = f"floor((abs({v}) / pow(2D, {power}) - 1) * {CELLS}) + ({power} + 1100) * {CELLS}"
-    return f"CASE WHEN {v} = 0 THEN 0L ELSE cast(signum({v}) * ({cell}) AS bigint) END"
+    return f"coalesce(CASE WHEN {v} = 0 THEN 0L ELSE cast(signum({v}) * ({cell}) AS bigint) END, 0L)"
 
 
 def cumulative_counts(
@@ -53,20 +56,52 @@ def cumulative_counts(
     )
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation percentiles, one row per key and one column per entry of ``probs``."""
-    cum = cumulative_counts(df, keys, value)
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Linear-interpolation percentiles, one row per key and one column per entry of ``probs``.
+
+    Groups of at most ``hot_rows`` rows are aggregated as they are.  Larger ones are counted per cell first, and only
+    the few cells that hold a wanted rank are read again, so a hot group is neither shuffled nor held by one task.
+    """
+    present = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    hot = settled(present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > hot_rows), "hot")
+    if hot.isEmpty():
+        return _grouped_percentiles(present, keys, probs)
+    rest = present.join(hot.select(*keys), list(keys), "left_anti")
+    return _grouped_percentiles(rest, keys, probs).unionByName(_narrowed_percentiles(present.join(hot, list(keys)), keys, probs))
+
+
+def _grouped_percentiles(present: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
     levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
-    low, high = "floor({at})", "least(floor({at}) + 1, n_total - 1)"
+    out = present.groupBy(*keys).agg(F.expr(f"percentile(_v, array({levels}))").alias("_q"))
+    return out.selectExpr(*[f"`{k}`" for k in keys], *[f"_q[{i}] AS `{n}`" for i, n in enumerate(probs)])
+
+
+def _narrowed_percentiles(hot: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    key_text = [f"`{k}`" for k in keys]
+    key_list = ", ".join(key_text)
+    levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    low, high = "floor({at})", "least(floor({at}) + 1, _total - 1)"
 
     def covers(rank: str, at: str) -> str:
-        return f"(n_upto - n <= {rank.format(at=at)} AND {rank.format(at=at)} < n_upto)"
+        return f"(_before <= {rank.format(at=at)} AND {rank.format(at=at)} < _before + _n)"
 
-    # only the values at a wanted rank (at most two per percentile and key) go on
-    wanted = f"transform(array({levels}), (p, i) -> struct(i, p * (n_total - 1) AS at))"
+    wanted = f"transform(array({levels}), (p, i) -> struct(i, p * (_total - 1) AS at))"
     hits = f"filter({wanted}, x -> {covers(low, 'x.at')} OR {covers(high, 'x.at')})"
-    key_text = [f"`{k}`" for k in keys]
-    hit = cum.selectExpr(*key_text, f"cast(`{value}` AS double) AS _v", "n_upto", "n", "n_total", f"inline({hits}) AS (_i, _at)")
+    celled = hot.withColumn("_cell", F.expr(value_bucket("_v")))
+    totals = celled.groupBy(*keys, "_total", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    placed = totals.selectExpr(
+        *key_text, "_total", "_cell", "_n", f"sum(_n) OVER (PARTITION BY {key_list} ORDER BY _cell) - _n AS _before"
+    )
+    # at most two cells per percentile and key
+    cells = settled(placed.where(f"size({hits}) > 0").selectExpr(*key_text, "_cell", "_before AS _cell_before"), "cells")
+    counted = celled.join(cells, [*keys, "_cell"]).groupBy(*keys, "_total", "_cell", "_cell_before", "_v").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    inside = f"sum(_n) OVER (PARTITION BY {key_list}, _cell ORDER BY _v ROWS UNBOUNDED PRECEDING)"
+    ranked = counted.selectExpr(*key_text, "_total", "_v", "_n", f"_cell_before + {inside} - _n AS _before")
+    hit = ranked.selectExpr(*key_text, "_total", "_v", "_n", "_before", f"inline({hits}) AS (_i, _at)")
     sides = hit.groupBy(*keys, "_i").agg(
         F.expr(f"max(CASE WHEN {covers(low, '_at')} THEN _v END) AS _lo"),
         F.expr(f"max(CASE WHEN {covers(high, '_at')} THEN _v END) AS _hi"),
@@ -77,9 +112,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    accuracy: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact by default; with ``accuracy`` a mergeable sketch of that size is used instead."""
     if accuracy is None:
-        return exact_percentiles(df, keys, value, probs)
+        return exact_percentiles(df, keys, value, probs, hot_rows)
     return df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, with_ordinal
 from tidegrid.operators.ranks import percentiles
 from tidegrid.plans.learning import _gram_columns, _solve
-from tidegrid.session import cut_lineage
+from tidegrid.session import settled
 
 
 def block_draws(resamples: int, blocks: int, seed: int = 42) -> list[list[int]]:
@@ -80,7 +80,7 @@ def conformal_enbpi(
     rows = with_ordinal(train.dropna(subset=[label, *features]).select(*keys, ts, label, *features), keys, ts, grid)
     rows = rows.withColumn("block", F.floor(F.col("ordinal") * blocks / F.col("ordinal_n")).cast("int")).drop("ordinal", "ordinal_n")
     # one row per series and block; kept, because residuals and predictions both need it
-    ensemble = cut_lineage(fit_ensemble(rows, features, label, resamples, blocks, keys, seed))
+    ensemble = settled(fit_ensemble(rows, features, label, resamples, blocks, keys, seed), "ensemble")
     residuals = rows.join(ensemble, [*keys, "block"]).select(*keys, (F.col(label) - _linear(F.col("loo"), features)).alias("_res"))
     steps = [alpha * i / (betas - 1) for i in range(betas)]
     probs = {**{f"lo{i}": b for i, b in enumerate(steps)}, **{f"hi{i}": min(1.0, 1 - alpha + b) for i, b in enumerate(steps)}}
@@ -92,7 +92,7 @@ def conformal_enbpi(
         ]
     )
     best = levels.select(*keys, F.array_min(bands).alias("band"))
-    model = ensemble.groupBy(*keys).agg(F.min_by("ensemble", "block").alias("ensemble")).join(best, list(keys))
+    model = settled(ensemble.groupBy(*keys).agg(F.min_by("ensemble", "block").alias("ensemble")).join(best, list(keys)), "model")
     scored = future.dropna(subset=list(features)).join(model, list(keys)).withColumn("y_pred", _linear(F.col("ensemble"), features))
     return scored.select(
         *keys, ts, F.col(label).alias("y_true"), "y_pred", (F.col("y_pred") + F.col("band.lo")).alias("lower"),

@@ -12,6 +12,7 @@ from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, over_ch
 from tidegrid.operators.guards import flag, ratio
 from tidegrid.operators.metrics import forecast_metrics
 from tidegrid.operators.ranks import percentiles
+from tidegrid.session import settled
 
 METHODS = ("persistence", "seasonal_naive", "moving_average")
 
@@ -140,7 +141,7 @@ def tag_splits(df: DataFrame, splits: DataFrame, keys: Sequence[str] = KEYS, ts:
     if strict:
         in_test = in_test & (t > F.col("train_end"))
     parts = F.array_compact(F.array(F.when(in_train, F.lit("train")), F.when(in_test, F.lit("test"))))
-    joined = df.join(splits, list(keys)).where(in_train | in_test)
+    joined = df.join(settled(splits), list(keys)).where(in_train | in_test)
     return joined.select(*df.columns, "split", F.explode(parts).alias("part"))
 
 
@@ -219,7 +220,7 @@ def conditional_quantiles(
     """Each row with the quantiles of its (series, hour, weekend) group."""
     tagged = df.withColumns({"_hour": F.hour(ts), "_weekend": flag(F.weekday(ts) >= 5)})
     at = [*keys, "_hour", "_weekend"]
-    levels = percentiles(tagged, at, column, {quantile_name(q): q for q in quantiles}, accuracy)
+    levels = settled(percentiles(tagged, at, column, {quantile_name(q): q for q in quantiles}, accuracy))
     return tagged.join(levels, at, "left").drop("_hour", "_weekend")
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, full_grid, over_chunks
 from tidegrid.operators.guards import flag, ratio, safe_corr
-from tidegrid.operators.ranks import percentiles
+from tidegrid.operators.ranks import HOT_ROWS, percentiles
 from tidegrid.operators.series import LAGS
+from tidegrid.session import settled
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -91,7 +92,11 @@ def temporal_coverage(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, g
 
 
 def distribution_stats(
-    df: DataFrame, column: str = "load", keys: Sequence[str] = KEYS, accuracy: int | None = None
+    df: DataFrame,
+    column: str = "load",
+    keys: Sequence[str] = KEYS,
+    accuracy: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     moments = df.groupBy(*keys).agg(
         F.avg(column).alias("mean"),
@@ -101,7 +106,7 @@ def distribution_stats(
         corrected_skew(column).alias("skewness"),
         corrected_kurtosis(column).alias("kurtosis"),
     )
-    quantiles = percentiles(df, keys, column, QUARTILES, accuracy)
+    quantiles = percentiles(df, keys, column, QUARTILES, accuracy, hot_rows)
     return moments.withColumn("cv", ratio(F.col("std"), F.col("mean"))).join(quantiles, list(keys), "left")
 
 
@@ -151,7 +156,7 @@ def weekend_profile(df: DataFrame, column: str = "load", keys: Sequence[str] = K
 
 
 def outliers_zscore(df: DataFrame, column: str = "load", keys: Sequence[str] = KEYS, limit: float = 5.0) -> DataFrame:
-    stats = df.groupBy(*keys).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
+    stats = settled(df.groupBy(*keys).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s")))
     far = F.abs(ratio(F.col(column) - F.col("_m"), F.col("_s"))) > limit
     out = df.join(stats, list(keys)).groupBy(*keys).agg(
         F.count_if(far).alias("n_outliers"), F.count(column).alias("n_values")
@@ -167,7 +172,7 @@ def outliers_iqr(
     bounds = q.select(
         *keys, (F.col("q1") - factor * spread).alias("lower_bound"), (F.col("q3") + factor * spread).alias("upper_bound")
     )
-    x = F.col(column)
+    bounds, x = settled(bounds), F.col(column)
     out = df.join(bounds, list(keys)).groupBy(*keys, "lower_bound", "upper_bound").agg(
         F.count_if((x < F.col("lower_bound")) | (x > F.col("upper_bound"))).alias("n_outliers"),
         F.count(column).alias("n_values"),
@@ -187,7 +192,7 @@ def data_quality(
     stats = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]
     )
-    sums = df.join(stats, list(keys)).groupBy(*keys).agg(
+    sums = df.join(settled(stats), list(keys)).groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         *[F.count_if(F.col(c).isNull()).cast("double").alias(f"_missing_{c}") for c in columns],
         *[
@@ -300,7 +305,7 @@ def acf(
 ) -> DataFrame:
     """Autocorrelation with the full-series mean and variance, for lags 0 .. ``max_lag``."""
     present = df.where(F.col(column).isNotNull()).select(*keys, ts, F.col(column).alias("_x"))
-    means = present.groupBy(*keys).agg(F.avg("_x").alias("_m"))
+    means = settled(present.groupBy(*keys).agg(F.avg("_x").alias("_m")))
     centred = present.join(means, list(keys)).select(*keys, ts, (F.col("_x") - F.col("_m")).alias("_d"))
     # the frame holds at most max_lag + 1 values; products are summed per lag before the shuffle
     framed = over_chunks(

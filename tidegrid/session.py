@@ -42,3 +42,14 @@ def cut_lineage(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def settled(df, name: str = "small"):
+    """Write a small derived table to the shared folder and read it back.
+
+    Its true size is then known when the join with it is planned: below Spark's broadcast limit the large side is
+    never shuffled, above it a shuffle join is used.  The table is computed once and survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
