@@ -116,12 +116,18 @@ def date_dimension(dates: DataFrame, holidays: DataFrame, days_before: int = 2,
 
 
 def calendar_features(
-    df: DataFrame, holidays: DataFrame, ts: str = "timestamp", days_before: int = 2, days_after: int = 1
+    df: DataFrame,
+    holidays: DataFrame,
+    ts: str = "timestamp",
+    days_before: int = 2,
+    days_after: int = 1,
+    days_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Join the calendar columns on the date.
+    """Join the calendar columns on the date.  ``days_of`` is a cheaper table with the same days, if there is one.
 
     The dimension has one row per calendar day (a century is 36,525 rows), so it is broadcast and the rows stay put.
     """
     dated = df.withColumn("date", F.to_date(ts))
-    dim = date_dimension(dated.select("date").distinct(), holidays, days_before, days_after)
+    days = (df if days_of is None else days_of).select(F.to_date(ts).alias("date")).distinct()
+    dim = date_dimension(days, holidays, days_before, days_after)
     return dated.join(F.broadcast(dim), "date", "left").drop("date")

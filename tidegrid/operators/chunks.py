@@ -46,7 +46,8 @@ def _halo(df: DataFrame, reach: int, backwards: bool, keys: Sequence[str], ts: s
         F.col("_rank") <= reach
     )
     along = Window.partitionBy(*keys).orderBy(far("_bucket"))
-    sizes = edge.groupBy(*at).agg(F.max("_rank").alias("_size"))
+    # counted on its own: a partial count before the shuffle, no sort
+    sizes = df.groupBy(*at).agg(F.least(F.count(F.lit(1)), F.lit(reach)).alias("_size"))
     sizes = sizes.withColumn("_upto", F.sum("_size").over(along))
     following = F.collect_list(F.struct(F.col("_bucket").alias("to"), (F.col("_upto") - F.col("_size")).alias("before")))
     route = sizes.select(

@@ -88,7 +88,7 @@ def feature_table(
 
     reach = max([24, *lags, *windows, *weather_lag_steps])
     wide = over_chunks(merged, build, back=reach, grid=grid, carry=["load", *weather_columns])
-    wide = calendar_features(wide, holidays)
+    wide = calendar_features(wide, holidays, days_of=load)
     scalars = {
         **temporal.temporal_expressions(),
         **temporal.cyclical_expressions(),

@@ -239,13 +239,16 @@ def conformal_update(
     residual = df.withColumn("_res", F.col(y) - F.col(yhat))
 
     def build(w) -> dict[str, Column]:
-        frame = w.rowsBetween(-window, -1)
-        return {
-            "_lo": F.percentile("_res", F.lit(alpha / 2)).over(frame),
-            "_hi": F.percentile("_res", F.lit(1 - alpha / 2)).over(frame),
-        }
+        return {"_past": F.sort_array(F.collect_list("_res").over(w.rowsBetween(-window, -1)))}
+
+    def level(p: float) -> Column:
+        """Interpolated percentile of the sorted array of at most ``window`` residuals."""
+        at = f"({p!r}D * (size(_past) - 1))"
+        low, high = f"_past[cast(floor({at}) AS int)]", f"_past[cast(least(floor({at}) + 1, size(_past) - 1) AS int)]"
+        return F.expr(f"CASE WHEN size(_past) > 0 THEN {low} + ({high} - {low}) * ({at} - floor({at})) END")
 
     out = over_chunks(residual, build, back=window, keys=keys, ts=ts, grid=grid, carry=["_res"])
+    out = out.withColumns({"_lo": level(alpha / 2), "_hi": level(1 - alpha / 2)}).drop("_past")
     if step_size > 1:
         # the whole step uses the quantiles known at its first row; a step has ``step_size`` rows
         out = with_ordinal(out, keys, ts, grid).withColumn("_step", F.floor(F.col("ordinal") / step_size))
