@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.functions import temporal, weather
+from tidegrid.functions import temporal
+from tidegrid.functions import weather as w
 from tidegrid.functions.holidays import calendar_features, date_dimension, us_holidays
 from tidegrid.operators import joins, series
 from tidegrid.plans import feature_table as ft
@@ -43,12 +44,10 @@ def test_rolling_by_aggregate_name(load):
 
 
 def test_weather_formulas(spark, weather):
-    out = __import__("tidegrid.functions.weather", fromlist=["x"]).weather_features(weather, with_wind_chill=True)
+    out = w.weather_features(weather, with_wind_chill=True)
     low = out.agg(F.min("hdd"), F.min("cdd"), F.min(F.col("hdd") * F.col("cdd"))).first()
     assert low[0] >= 0 and low[1] >= 0 and low[2] == 0
     one = spark.createDataFrame([(35.0, 60.0, 5.0), (-10.0, 50.0, 10.0), (None, 50.0, 10.0)], "temperature double, humidity double, wind_speed double")
-    from tidegrid.functions import weather as w
-
     rows = w.weather_features(one, with_wind_chill=True).collect()
     assert rows[0].heat_index == pytest.approx(45.05, abs=0.1) and rows[0].wind_chill == 35.0
     assert rows[1].wind_chill == pytest.approx(-20.27, abs=0.05)
@@ -58,7 +57,7 @@ def test_weather_formulas(spark, weather):
 def test_solar_columns(spark):
     rows = [(100.0, 50.0, 50.0, 200.0, 1800.0), (500.0, 400.0, 100.0, 1000.0, 3600.0), (800.0, 700.0, 100.0, 1200.0, 3600.0), (200.0, 100.0, 100.0, 400.0, 900.0)]
     df = spark.createDataFrame(rows, "ghi double, dni double, dhi double, toa_radiation double, sunshine_seconds double")
-    out = df.withColumns(weather.solar_expressions()).collect()
+    out = df.withColumns(w.solar_expressions()).collect()
     assert [round(r.clearness_index, 3) for r in out] == [0.5, 0.5, 0.667, 0.5]
     assert [r.solar_available for r in out] == [1, 1, 1, 1] and out[0].sunshine_fraction == 0.5
 
@@ -96,9 +95,9 @@ def test_merge_keeps_rows_and_checks_overlap(load, weather):
 
 def test_aliases_and_ranges(spark):
     df = spark.createDataFrame([(1.0, None, 50.0), (None, 2.0, 150.0)], "temp double, temperature_2m double, humidity double")
-    std = weather.standard_names(df)
+    std = w.standard_names(df)
     assert sorted(std.columns) == ["humidity", "temperature"] and {r.temperature for r in std.collect()} == {1.0, 2.0}
-    assert [r.humidity for r in weather.null_out_of_range(std).collect()] == [50.0, None]
+    assert [r.humidity for r in w.null_out_of_range(std).collect()] == [50.0, None]
 
 
 def test_user_hooks(load):

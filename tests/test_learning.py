@@ -53,12 +53,6 @@ def test_permutation_uses_every_value_once(rows):
         def transform(self, df):
             return df.withColumn("prediction", F.col("x"))
 
-    seen = {}
-
-    def keep(df):
-        seen["df"] = df
-        return df
-
     base = rows.withColumn("load", F.col("x"))
     out = ln.permutation_importance(Echo(), base, ["x", "junk"], repeats=1).collect()
     got = {r.feature: r.importance for r in out}

@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, over_chunks
-from tidegrid.operators.guards import flag, ratio, require_columns
-from tidegrid.operators.metrics import forecast_metrics, metric_columns
+from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, over_chunks
+from tidegrid.operators.guards import flag, require_columns
+from tidegrid.operators.metrics import metric_columns
 from tidegrid.operators.series import horizon_targets
 from tidegrid.plans.forecast import compare_baselines, holdout_split, quantile_name, tag_splits
 from tidegrid.session import cut_lineage
@@ -268,8 +268,6 @@ def recursive_tree_forecast(
 
     ``lags`` are the only inputs (``<column>_lag_<k>h``); the state of a series is its last ``max(lags)`` values.
     """
-    from tidegrid.operators.chunks import edge_rows
-
     depth = max(lags)
     recent = edge_rows(df, depth, keys, ts, grid, rank="_back")
     state = F.transform(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators.guards import r6, rounded
+from tidegrid.operators.guards import rounded
 from tidegrid.plans import feature_table as ft
 from tidegrid.plans import importance as im
 from tidegrid.plans import narrative as nl

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidegrid.functions import temporal, weather
 from tidegrid.functions.holidays import calendar_features
 from tidegrid.operators import guards, series
-from tidegrid.operators.chunks import over_chunks
 from tidegrid.operators.guards import r6
 from tidegrid.plans import feature_table as ft
 from tidegrid.registry.common import q6, query

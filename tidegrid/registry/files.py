@@ -6,7 +6,6 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from tidegrid.operators.guards import r6, rounded
-from tidegrid.plans import forecast as f
 from tidegrid.plans import importance as im
 from tidegrid.registry.common import q6, query
 from tidegrid.registry.explaining import IMPORTANCE, phi

@@ -7,8 +7,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics as m
-from tidegrid.operators.chunks import DAILY
-from tidegrid.operators.guards import r6, rounded
+from tidegrid.operators.guards import rounded
 from tidegrid.operators.series import rolling_time_rmse
 from tidegrid.plans import forecast as f
 from tidegrid.plans.profile import corrected_kurtosis, corrected_skew

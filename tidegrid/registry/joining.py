@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidegrid.operators import joins
-from tidegrid.operators.guards import r6
-from tidegrid.registry.common import q6, query
+from tidegrid.registry.common import query
 from tidegrid.sources import views as v
 
 

@@ -9,7 +9,6 @@ from tidegrid.operators.guards import r6, rounded
 from tidegrid.plans import experiments as ex
 from tidegrid.plans import monitoring as mo
 from tidegrid.plans import runs as rn
-from tidegrid.plans.profile import reference_stats
 from tidegrid.registry.common import q6, query
 from tidegrid.session import scratch_path
 from tidegrid.sources import views as v

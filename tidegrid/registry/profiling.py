@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import joins
-from tidegrid.operators.guards import r6, rounded
+from tidegrid.operators.guards import rounded
 from tidegrid.plans import profile as p
 from tidegrid.registry.common import q6, query
 from tidegrid.sources import views as v
