@@ -27,6 +27,41 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.train_markov(secrets.labelled_samples(docs))
+    return secrets.secret_digest(secrets.find_secrets(docs, model))
+
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION SELECT 1, item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, text, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
+  FROM rows),
+s AS (
+  SELECT DISTINCT side, id, text, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+  FROM w WHERE len(ws) > 0),
+b AS (SELECT id AS item_id, text, g, count(*) OVER (PARTITION BY id, text) AS n_item FROM s WHERE side = 1),
+p AS (
+  SELECT d.id AS doc_id, b.item_id, b.n_item, count(*) AS n_shared
+  FROM s d JOIN b ON d.g = b.g WHERE d.side = 0 GROUP BY d.id, d.text, b.item_id, b.text, b.n_item)
+SELECT doc_id, item_id, max(n_item) AS n_item, max(n_shared) AS n_shared, max(n_shared / n_item) AS containment
+FROM p WHERE n_shared / n_item >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
+@query("op2_decontaminate", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegrid.llm.simhash import near_duplicates
@@ -34,6 +69,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH r AS (
+  SELECT DISTINCT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM r WHERE who <> 'system'),
+t AS (
+  SELECT r.*, p.speaker, '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
+    ELSE 'user name=' || who END || chr(10) AS head
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, speaker
+    ORDER BY turn NULLS LAST, who, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM t)
+SELECT conv_id, speaker, part, count(*) AS n_turns, CAST(min(before) AS BIGINT) AS start,
+  string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY turn, who, said) AS text,
+  coalesce(string_agg(CAST(before + length(head) AS BIGINT) || ':' || CAST(before + length(head) + length(said) + 11 AS BIGINT), ','
+    ORDER BY turn, who, said) FILTER (WHERE who = speaker), '') AS masks
+FROM o GROUP BY conv_id, speaker, part
+"""
+
+
+@query("op4_chat_perspectives", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.chat_format import perspectives
+
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegrid.llm.token_counts import token_counts
