@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import operator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run; those that later tables have replaced can be given back, with the shuffle files behind them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        # shuffle files of finished jobs go when the driver's objects for them are collected
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that no later step reads."""
+        for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """Columns ``_d`` and ``_h`` that name a row: its id (null: the smallest long) and a hash of its text.
 

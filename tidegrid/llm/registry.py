@@ -111,6 +111,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query("op7_debruijn_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.debruijn_dedup import dedup_spans
+
+    return dedup_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.suffix_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
