@@ -17,10 +17,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> SparkSession:
+    """Settings of the session that the operators' memory bounds rely on."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

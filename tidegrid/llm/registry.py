@@ -125,6 +125,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.sentencepiece_lattice import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

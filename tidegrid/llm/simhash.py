@@ -7,6 +7,7 @@ its ball of radius r, equal variants meet in a shuffle, and members of a meeting
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import components, written
+from tidegrid.llm.common import components, row_key, written
 
 BITS = 64
 SEED = 42
 #: Shingles whose bits are counted at once, so that memory does not follow the length of a text.
 CHUNK = 50_000
+#: Variants that a task emits, on average.
+VARIANTS = 2_000_000
 
 
 def simhash(text: bytes | None, size: int = 3) -> int:
@@ -39,15 +42,16 @@ def simhash(text: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long; null texts have fingerprint 0."""
+    """(_d, _h, id, fp): key and id of every row, its fingerprint as a signed long; null texts have fingerprint 0."""
 
     def run(batches):
         for batch in batches:
-            found = [simhash(x.as_py() if x.is_valid else None, size) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+            found = [simhash(x.as_py(), size) for x in batch.column(3)]
+            columns = [batch.column(i) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=["_d", "_h", "id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "_d long, _h long, id long, fp long")
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -65,13 +69,23 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     if max_bits % 2:
         raise ValueError("max_bits must be even: it is twice the radius of the balls")
-    ball = F.explode(F.array(*[F.lit(m) for m in ball_masks(max_bits // 2)]))
-    variants = prints.select("fp").distinct().select("fp", ball.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    masks = ball_masks(max_bits // 2)
+    ball = F.explode(F.array(*[F.lit(m) for m in masks]))
+    # a task emits a bounded number of variants, however small the fingerprints look to the planner
+    parts = max(1, math.ceil(prints.count() * len(masks) / VARIANTS))
+    variants = prints.select("fp").repartition(parts, "fp").distinct().select("fp", ball.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     least = variants.withColumn("least", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> least")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= max_bits
     return least.where(near).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root): the class of every distinct fingerprint, named by the least fingerprint in it."""
+    roots = written(components(fingerprint_links(prints, max_bits)), "roots")
+    distinct = prints.select("fp").distinct()
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links).
 
@@ -79,10 +93,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless all ids of the component are null.  Other columns are ignored; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "simhash")
-    roots = written(components(fingerprint_links(prints, max_bits)), "roots")
-    first = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = prints.groupBy("fp").agg(F.min("id").alias("least")).join(_rooted(prints, max_bits), "fp")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(groups, "root").select("fp", "component_id")
     named = prints.join(by_print, "fp")
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one document of every component, the one with the smallest id; all columns as they were.
+
+    Of different texts with that id the one with the least hash stays; null ids are chosen last.  Whole copies of the row that
+    stays are not told apart and stay too: remove them with exact dedup first.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, size), "simhash")
+    rows = prints.join(_rooted(prints, max_bits), "fp")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "_d", "_h")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "root").where((F.col("first._d") != F.col("_d")) | (F.col("first._h") != F.col("_h"))).select("_d", "_h").distinct()
+    gone = written(gone, "near")
+    key = row_key(id_col, text_col)
+    marked = docs.select("*", key[0].alias("_key_d"), key[1].alias("_key_h"))
+    same = (marked["_key_d"] == gone["_d"]) & (marked["_key_h"] == gone["_h"])
+    return marked.join(gone, same, "left_anti").drop("_key_d", "_key_h")
