@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import gc
-import operator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,5 +99,9 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
 
 
-def all_of(conditions: list) -> F.Column:
-    return functools.reduce(operator.and_, conditions)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores behind, whichever no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

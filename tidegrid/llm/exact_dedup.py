@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import SPACE, written
+from tidegrid.llm.common import SPACE, unused, written
 
 #: Fingerprints of a message between a block and an owner, on average: blocks and owners grow with the root of the rows.
 MESSAGE = 64
@@ -145,22 +145,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` does not keep, all columns as they were.
 
-    Whole copies of a row (same id, same normalised text) are one row in the result.
+    Of rows with the same id and the same normalised text any one stays.
     """
     found = written(exact_dedup(docs, id_col, text_col), "copies")
-    key = [F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")]
-    go = found.where("NOT kept").select(*key).distinct()
-    stay = found.where("kept").select(*key)
-    twice = go.join(stay, all_equal(go, stay), "left_semi")
-    marked = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-
-    def same(side):
-        return marked[id_col].eqNullSafe(side["_id"]) & (marked["_sha"] == side["_sha"])
-
-    once = marked.join(go, same(go), "left_anti")
-    again = marked.join(twice, same(twice), "left_semi").dropDuplicates([id_col, "_sha"])
-    return once.unionByName(again).drop("_sha")
-
-
-def all_equal(a: DataFrame, b: DataFrame) -> F.Column:
-    return a["_id"].eqNullSafe(b["_id"]) & (a["_sha"] == b["_sha"])
+    key = [F.col(id_col).alias("_id"), F.col("text_sha256").alias("_text")]
+    go, stay = found.where("NOT kept").select(*key).distinct(), found.where("kept").select(*key)
+    sha = unused(docs, "_sha")
+    marked = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
+
+    def same(left, left_sha, right):
+        return left.eqNullSafe(right["_id"]) & (left_sha == right["_text"])
+
+    twice = written(go.join(stay, same(go["_id"], go["_text"], stay), "left_semi"), "twice")
+    once = marked.join(go, same(marked[id_col], marked[sha], go), "left_anti")
+    again = marked.join(twice, same(marked[id_col], marked[sha], twice), "left_semi").dropDuplicates([id_col, sha])
+    return once.unionByName(again).drop(sha)

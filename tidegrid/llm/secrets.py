@@ -25,6 +25,8 @@ CANDIDATE_LENGTH = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}"
 #: Log-likelihood ratio (natural logarithm, whole string) from which a candidate counts as random.
 THRESHOLD = 10.0
+#: Transitions that the plain character frequencies count for after each character.
+BACKOFF = 10.0
 #: Documents whose words and secrets train the models.
 SAMPLE_DOCUMENTS = 2000
 SIZE = len(ALPHABET) + 1
@@ -41,20 +43,23 @@ def train_markov(samples: DataFrame, text_col: str = "text", random_col: str = "
     """First-order models of random and of ordinary strings, as one table of log-ratios of transition probabilities.
 
     ``samples`` has a string and a boolean label per row; rows with a null are left out, other columns are ignored.
-    Counts start at one, so transitions that no sample shows speak for neither side.  The table has a fixed size.
+    A model's transitions are counted and mixed with its plain character frequencies (weight BACKOFF), which start at one.
+    Without samples neither side is favoured.  The table has a fixed size.
     """
     chars = samples.select(F.col(text_col).alias("s"), F.col(random_col).alias("random")).dropna().where("s <> ''")
     codes = chars.select("random", _codes(F.col("s")).alias("b"))
     before = F.concat(F.array(F.lit(0)), F.slice("b", F.lit(1), F.size("b") - 1))
     steps = codes.withColumn("a", before).select("random", F.explode(F.arrays_zip("a", "b")).alias("t"))
     counts = steps.groupBy("random", "t.a", "t.b").agg(F.count("*").alias("n")).collect()
-    seen = {True: [1.0] * SIZE**2, False: [1.0] * SIZE**2}
-    for row in counts:
-        seen[row.random][row.a * SIZE + row.b] += row.n
     logs = {}
-    for label, n in seen.items():
-        rows = [n[i * SIZE : (i + 1) * SIZE] for i in range(SIZE)]
-        logs[label] = [math.log(x / sum(r)) for r in rows for x in r]
+    for label in (True, False):
+        seen = [[0.0] * SIZE for _ in range(SIZE)]
+        for row in counts:
+            if row.random == label:
+                seen[row.a][row.b] += row.n
+        plain = [1 + sum(r[b] for r in seen) for b in range(SIZE)]
+        plain = [x / sum(plain) for x in plain]
+        logs[label] = [math.log((r[b] + BACKOFF * plain[b]) / (sum(r) + BACKOFF)) for r in seen for b in range(SIZE)]
     return [round(a - b, 6) for a, b in zip(logs[True], logs[False], strict=True)]
 
 

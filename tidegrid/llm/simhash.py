@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import components, row_key, written
+from tidegrid.llm.common import components, row_key, unused, written
 
 BITS = 64
 SEED = 42
@@ -113,6 +113,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = rows.join(first, "root").where((F.col("first._d") != F.col("_d")) | (F.col("first._h") != F.col("_h"))).select("_d", "_h").distinct()
     gone = written(gone, "near")
     key = row_key(id_col, text_col)
-    marked = docs.select("*", key[0].alias("_key_d"), key[1].alias("_key_h"))
-    same = (marked["_key_d"] == gone["_d"]) & (marked["_key_h"] == gone["_h"])
-    return marked.join(gone, same, "left_anti").drop("_key_d", "_key_h")
+    d, h = unused(docs, "_key_d"), unused(docs, "_key_h")
+    marked = docs.select("*", key[0].alias(d), key[1].alias(h))
+    return marked.join(gone, (marked[d] == gone["_d"]) & (marked[h] == gone["_h"]), "left_anti").drop(d, h)
