@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import chunks as c
 from tidegrid.operators import ranks, series
+from tidegrid.operators.chunks import Grid
 
 
 @pytest.mark.parametrize("steps", [3, 7, 50, 6000])
@@ -57,15 +58,34 @@ def test_percentiles_match_numpy(spark):
         "ties": [float(rng.randint(-3, 3)) for _ in range(400)],
         "powers": [s * 2.0**k * f for k in range(-20, 20) for s in (-1, 1) for f in (0.999999999999, 1.0, 1.000000000001)],
         "one": [4.5],
+        "close": [1e6 + rng.random() for _ in range(700)],
     }
     df = spark.createDataFrame([(k, x) for k, xs in pools.items() for x in xs], "k string, x double")
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p77": 0.77, "p100": 1.0}
-    for hot_rows in (0, 300, 10**6):
-        rows = ranks.exact_percentiles(df, ["k"], "x", probs, hot_rows).collect()
-        assert len(rows) == len(pools)
-        for row in rows:
-            for name, p in probs.items():
-                assert row[name] == pytest.approx(np.quantile(pools[row.k], p), rel=1e-12, abs=1e-12), (row.k, name, hot_rows)
+    rows = ranks.exact_percentiles(df, ["k"], "x", probs).collect()
+    assert len(rows) == len(pools)
+    for row in rows:
+        for name, p in probs.items():
+            assert row[name] == pytest.approx(np.quantile(pools[row.k], p), rel=1e-12, abs=1e-12), (row.k, name)
+
+
+def test_percentiles_of_null_keys_and_of_the_whole_table(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("b", None)], "k string, x double")
+    assert sorted(map(str, map(tuple, ranks.exact_percentiles(df, ["k"], "x", {"m": 0.5}).collect()))) == ["('a', 5.0)", "(None, 2.0)"]
+    assert [tuple(r) for r in ranks.exact_percentiles(df, [], "x", {"m": 0.5}).collect()] == [(3.0,)]
+
+
+def test_time_frames_do_not_depend_on_the_grid(spark):
+    """15-minute rows and copies of a timestamp over buckets of an hourly grid equal a plain window."""
+    rng = random.Random(8)
+    rows = [("a", 1700000000 + 900 * (i - i % 7 // 6), rng.random(), rng.random()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "series_id string, s long, y_true double, y_pred double").selectExpr("series_id", "timestamp_seconds(s) AS timestamp", "y_true", "y_pred")
+    got = series.rolling_time_rmse(df, days=2, grid=Grid(3600, 30)).collect()
+    assert len(got) == len(rows)
+    for r in rng.sample(got, 150):
+        at = r.timestamp.timestamp()
+        errors = [(y - p) ** 2 for _, s, y, p in rows if at - 2 * 86400 < s <= at]
+        assert r.rolling_rmse == pytest.approx((sum(errors) / len(errors)) ** 0.5)
 
 
 def test_value_buckets_keep_the_order(spark):

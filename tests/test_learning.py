@@ -81,7 +81,8 @@ def test_cross_validation_and_search(rows):
     splits = f.rolling_origin_splits(rows, 2, 5, 10)
     out = ln.cross_validate(rows, splits, ["x"], **SMALL).orderBy("split").collect()
     assert [r.split for r in out] == [0, 1] and out[0].n_train == 241 and out[0].test_start >= out[0].train_end
-    trials = ln.random_search(rows, splits, ["x"], n_trials=2, limit_iter=3).collect()
+    trials = ln.random_search(rows, splits, ["x"], settings=[{"maxIter": 3, "maxDepth": 2}, {"maxIter": 3, "maxDepth": 3}]).collect()
+    assert [r.settings["maxDepth"] for r in trials] == ["2", "3"]
     assert sum(r.is_best for r in trials) == 1 and min(r.mean_rmse for r in trials) == [r.mean_rmse for r in trials if r.is_best][0]
 
 

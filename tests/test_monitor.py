@@ -19,6 +19,8 @@ def test_ks(spark):
     assert out["x"].ks_statistic == 0 and out["x"].p_value == 1.0 and out["x"].status == "stable"
     assert out["y"].ks_statistic == pytest.approx(0.5) and out["y"].drift == 1 and out["y"].mean_shift == pytest.approx(50)
     assert out["gone"].status == "missing" and out["gone"].drift == 1
+    both = [x.withColumn("none", F.lit(None).cast("double")) for x in (a, b)]
+    assert [(r.feature, r.status, r.drift) for r in mo.ks_drift(*both, ["none"]).collect()] == [("none", "insufficient_data", 0)]
     few = mo.ks_drift(a, b.limit(5), ["x"]).first()
     assert few.status == "insufficient_data" and few.drift == 0 and few.p_value is None
 

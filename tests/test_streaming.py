@@ -116,6 +116,27 @@ def test_performance_batches_are_replaced_not_doubled(spark, load):
     assert out.count() == 30 and out.where("alert = 1 AND abs(degradation - 1) < 1e-9").count() == 30
 
 
+def test_a_day_in_two_batches_is_one_record(spark, load):
+    rows = load.selectExpr("series_id", "'m' AS model", "timestamp", "load AS y_true", "load + 1 AS y_pred")
+    halves = [rows.where("hour(timestamp) % 2 = 0"), rows.where("hour(timestamp) % 2 = 1")]
+    base = spark.createDataFrame([("a", "m", 0.5)], "series_id string, model string, baseline_rmse double")
+    out = jobs.stream_performance_alert(feed(spark, halves), base, scratch_path(spark, "perf"), delay="60 days").collect()
+    assert len(out) == 30
+    assert {r.n_samples for r in out} == {24}
+    assert all(r.rmse == pytest.approx(1) and r.alert == 1 for r in out)
+
+
+def test_learner_names_its_key_and_keeps_digits(spark, load):
+    far = load.selectExpr("series_id AS meter", "timestamp", "load + 1e8 AS load").orderBy("timestamp")
+    out = jobs.run_to_table(online_learner(feed(spark, [cyclical_features(far)]), X, key="meter"), scratch_path(spark, "key"))
+    assert out.columns[:2] == ["meter", "timestamp"]
+    values = [r.load for r in far.orderBy("timestamp").collect()]
+    last = out.orderBy("sample_number").collect()[-1]
+    mean = sum(values) / len(values)
+    spread = sum((v - mean) ** 2 for v in values)
+    assert last.r2 == pytest.approx(1 - last.rmse**2 * len(values) / spread, rel=1e-4)
+
+
 def test_hybrid_weights(spark, load):
     batch = load.selectExpr("series_id", "timestamp", "load AS y_true", "1.0D AS y_pred")
     online = load.limit(10).selectExpr("series_id", "timestamp", "2.0D AS y_pred")

@@ -90,6 +90,27 @@ def over_chunks(
     return rows.withColumns(build(w)).where("_own").drop("_own", "_bucket")
 
 
+def over_time_chunks(
+    df: DataFrame,
+    build: Callable[[WindowSpec], dict[str, Column]],
+    back_seconds: int,
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    grid: Grid = HOURLY,
+) -> DataFrame:
+    """Add ``build(window partition)`` columns whose frames reach back less than ``back_seconds`` of time.
+
+    Every row is also sent to the later buckets that begin within that time, so neither the density of the data nor
+    copies of a timestamp matter.  The window passed to ``build`` has no order; the caller orders it by time.
+    """
+    own = _bucketed(df, grid, ts)
+    width = grid.step_seconds * grid.bucket_steps
+    last = F.floor((F.unix_seconds(F.col(ts)) + F.lit(back_seconds - 1)) / F.lit(width))
+    rows = own.withColumn("_to", F.explode_outer(F.sequence(F.col("_bucket"), last)))
+    rows = rows.withColumn("_own", F.coalesce(F.col("_to") == F.col("_bucket"), F.lit(True)))
+    return rows.withColumns(build(Window.partitionBy(*keys, "_to"))).where("_own").drop("_own", "_bucket", "_to")
+
+
 def with_ordinal(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY, name: str = "ordinal"
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import statistics
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,8 +142,15 @@ def prequential_metrics(
     ts: str = TS,
     grid: Grid = HOURLY,
 ) -> DataFrame:
-    """Running MAE, RMSE and R2 after each row."""
-    t, e = F.col(y), F.col(y) - F.col(yhat)
+    """Running MAE, RMSE and R2 after each row.
+
+    Targets are measured from the mean of their series, so the running variance keeps its digits whatever the level.
+    """
+    centre = settled(df.groupBy(*keys).agg(F.avg(y).alias("_centre")), "centre")
+    level = centre.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_centre")
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(level[f"_key_{k}"]) for k in keys])
+    df = df.join(level, same, "left").drop(*[f"_key_{k}" for k in keys])
+    t, e = F.col(y) - F.col("_centre"), F.col(y) - F.col(yhat)
     sums = {"_n": F.lit(1), "_ae": F.abs(e), "_se": e * e, "_y": t, "_yy": t * t}
     out = running_sums(df, sums, keys, ts, grid)
     n = F.col("_n")
@@ -154,7 +162,7 @@ def prequential_metrics(
             "rmse": F.sqrt(F.col("_se") / n),
             "r2": F.when((n > 1) & (spread > 1e-9), 1 - F.col("_se") / spread),
         }
-    ).drop(*sums)
+    ).drop(*sums, "_centre")
 
 
 def performance_log(
@@ -171,6 +179,11 @@ def performance_log(
     daily = df.groupBy(*keys, F.to_date(ts).alias("date")).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n_samples")
     )
+    return with_degradation(daily, baseline, keys, limit)
+
+
+def with_degradation(daily: DataFrame, baseline: DataFrame, keys: Sequence[str] = SERIES_MODEL, limit: float = 0.3) -> DataFrame:
+    """Relative loss of each record's RMSE against the key's baseline, and the alert flag."""
     base = F.when(F.col("baseline_rmse") != 0, F.col("baseline_rmse"))
     out = daily.join(baseline.select(*keys, "baseline_rmse"), list(keys), "left")
     out = out.withColumn("degradation", (F.col("rmse") - base) / base)

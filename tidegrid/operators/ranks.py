@@ -8,14 +8,12 @@ running sum inside the cell.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.session import settled
-
 CELLS = 4096
-HOT_ROWS = 1_000_000
 
 
 def value_bucket(v: str) -> str:
@@ -56,29 +54,23 @@ def cumulative_counts(
     )
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner equi-join that also pairs null keys; the key columns come from the left."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_right_{k}"]) for k in on])
+    return left.join(named, same).drop(*[f"_right_{k}" for k in on])
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation percentiles, one row per key and one column per entry of ``probs``.
 
-    Groups of at most ``hot_rows`` rows are aggregated as they are.  Larger ones are counted per cell first, and only
-    the few cells that hold a wanted rank are read again, so a hot group is neither shuffled nor held by one task.
+    One way for groups of any size: values are counted per cell, then inside the few cells that hold a wanted rank per
+    equal part of the cell's own range, and only the values of the parts that hold a rank are counted one by one.  So no
+    group is held by one task, also when all its values lie close together.
     """
+    if not keys:
+        return exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
     present = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    hot = settled(present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > hot_rows), "hot")
-    if hot.isEmpty():
-        return _grouped_percentiles(present, keys, probs)
-    rest = present.join(hot.select(*keys), list(keys), "left_anti")
-    return _grouped_percentiles(rest, keys, probs).unionByName(_narrowed_percentiles(present.join(hot, list(keys)), keys, probs))
-
-
-def _grouped_percentiles(present: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
-    out = present.groupBy(*keys).agg(F.expr(f"percentile(_v, array({levels}))").alias("_q"))
-    return out.selectExpr(*[f"`{k}`" for k in keys], *[f"_q[{i}] AS `{n}`" for i, n in enumerate(probs)])
-
-
-def _narrowed_percentiles(hot: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
     key_text = [f"`{k}`" for k in keys]
     key_list = ", ".join(key_text)
     levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
@@ -89,37 +81,36 @@ def _narrowed_percentiles(hot: DataFrame, keys: Sequence[str], probs: dict[str,
 
     wanted = f"transform(array({levels}), (p, i) -> struct(i, p * (_total - 1) AS at))"
     hits = f"filter({wanted}, x -> {covers(low, 'x.at')} OR {covers(high, 'x.at')})"
-    celled = hot.withColumn("_cell", F.expr(value_bucket("_v")))
-    totals = celled.groupBy(*keys, "_total", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    celled = present.withColumn("_cell", F.expr(value_bucket("_v")))
+    totals = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     placed = totals.selectExpr(
-        *key_text, "_total", "_cell", "_n", f"sum(_n) OVER (PARTITION BY {key_list} ORDER BY _cell) - _n AS _before"
+        *key_text, "_cell", "_n", "_min", "_max",
+        f"sum(_n) OVER (PARTITION BY {key_list} ORDER BY _cell) - _n AS _before", f"sum(_n) OVER (PARTITION BY {key_list}) AS _total",
     )
-    # at most two cells per percentile and key
-    cells = settled(placed.where(f"size({hits}) > 0").selectExpr(*key_text, "_cell", "_before AS _cell_before"), "cells")
-    counted = celled.join(cells, [*keys, "_cell"]).groupBy(*keys, "_total", "_cell", "_cell_before", "_v").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    inside = f"sum(_n) OVER (PARTITION BY {key_list}, _cell ORDER BY _v ROWS UNBOUNDED PRECEDING)"
-    ranked = counted.selectExpr(*key_text, "_total", "_v", "_n", f"_cell_before + {inside} - _n AS _before")
+    # at most two cells per percentile and key, and two parts of each
+    cells = placed.where(f"size({hits}) > 0").selectExpr(*key_text, "_cell", "_min", "_max", "_total", "_before AS _cell_before")
+    at = [*keys, "_cell", "_part"]
+    share = f"CASE WHEN _max > _min THEN least(floor((_v - _min) / (_max - _min) * {CELLS}), {CELLS} - 1) ELSE 0 END"
+    inner = _join_null_safe(celled, cells, [*keys, "_cell"]).withColumn("_part", F.expr(share))
+    parts = inner.groupBy(*at, "_total", "_cell_before").agg(F.count(F.lit(1)).alias("_n"))
+    upto = f"sum(_n) OVER (PARTITION BY {key_list}, _cell ORDER BY _part)"
+    parts = parts.selectExpr(*key_text, "_cell", "_part", "_total", "_n", f"_cell_before + {upto} - _n AS _before")
+    parts = parts.where(f"size({hits}) > 0").selectExpr(*key_text, "_cell", "_part", "_before AS _part_before")
+    counted = _join_null_safe(inner, parts, at).groupBy(*at, "_total", "_part_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = f"sum(_n) OVER (PARTITION BY {key_list}, _cell, _part ORDER BY _v ROWS UNBOUNDED PRECEDING)"
+    ranked = counted.selectExpr(*key_text, "_total", "_v", "_n", f"_part_before + {inside} - _n AS _before")
     hit = ranked.selectExpr(*key_text, "_total", "_v", "_n", "_before", f"inline({hits}) AS (_i, _at)")
     sides = hit.groupBy(*keys, "_i").agg(
         F.expr(f"max(CASE WHEN {covers(low, '_at')} THEN _v END) AS _lo"),
         F.expr(f"max(CASE WHEN {covers(high, '_at')} THEN _v END) AS _hi"),
-        F.expr("max(_at - floor(_at)) AS _part"),
+        F.expr("max(_at - floor(_at)) AS _share"),
     )
-    result = "_lo + (_hi - _lo) * _part"
+    result = "_lo + (_hi - _lo) * _share"
     return sides.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN _i = {i} THEN {result} END) AS `{n}`") for i, n in enumerate(probs)])
 
 
-def percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    accuracy: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None) -> DataFrame:
     """Exact by default; with ``accuracy`` a mergeable sketch of that size is used instead."""
     if accuracy is None:
-        return exact_percentiles(df, keys, value, probs, hot_rows)
+        return exact_percentiles(df, keys, value, probs)
     return df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()])

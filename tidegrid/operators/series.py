@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, full_grid, over_chunks
+from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, full_grid, over_chunks, over_time_chunks
 
 # Default lags, window lengths and horizons in rows.
 LAGS = (1, 2, 3, 6, 12, 24, 48, 168)
@@ -170,13 +170,12 @@ def rolling_time_rmse(
     ts: str = TS,
     grid: Grid = HOURLY,
 ) -> DataFrame:
-    """RMSE of the last ``days`` days (by time) with an alert flag; the halo holds all rows such a frame can reach."""
-    reach = days * 86400 // grid.step_seconds
+    """RMSE of the last ``days`` days (by time) with an alert flag; the halo reaches as far back in time as the frame."""
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        by_time = Window.partitionBy(*keys, "_bucket").orderBy("_sec").rangeBetween(-(days * 86400) + 1, 0)
+        by_time = w.orderBy("_sec").rangeBetween(-(days * 86400) + 1, 0)
         return {"rolling_rmse": F.sqrt(F.avg("_se").over(by_time))}
 
     prepared = df.withColumns({"_se": F.pow(F.col(y) - F.col(yhat), F.lit(2)), "_sec": F.unix_seconds(ts)})
-    out = over_chunks(prepared, build, back=reach, keys=keys, ts=ts, grid=grid, carry=["_se", "_sec"])
+    out = over_time_chunks(prepared, build, days * 86400, keys=keys, ts=ts, grid=grid)
     return out.withColumn("alert", (F.col("rolling_rmse") > limit).cast("int")).drop("_se", "_sec")

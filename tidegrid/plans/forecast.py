@@ -70,12 +70,13 @@ def compare_baselines(
     column: str = "load",
     keys: Sequence[str] = KEYS,
     ts: str = TS,
+    pooled: bool = False,
     **kw,
 ) -> DataFrame:
-    """Metrics of each naive method on the timestamps it shares with the test rows."""
+    """Metrics of each naive method on the timestamps it shares with the test rows, per series or over all of them."""
     predicted = naive_forecasts(train, horizon, methods, column=column, keys=keys, ts=ts, **kw)
     truth = test.select(*keys, ts, F.col(column).alias("y_true"))
-    return forecast_metrics(predicted.join(truth, [*keys, ts]), [*keys, "method"])
+    return forecast_metrics(predicted.join(truth, [*keys, ts]), ["method"] if pooled else [*keys, "method"])
 
 
 def holdout_split(

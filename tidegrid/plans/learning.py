@@ -12,10 +12,10 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, over_chunks
+from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows
 from tidegrid.operators.guards import flag, require_columns
 from tidegrid.operators.metrics import metric_columns
 from tidegrid.operators.series import horizon_targets
@@ -70,16 +70,8 @@ def gbt_forecast(
 # --- permutation importance -----------------------------------------------------------------------------------------
 
 
-class HashOrder:
-    """Buckets for rows that are ordered by a random number in [0, 2**40)."""
-
-    span = 2**40
-
-    def __init__(self, rows: int, per_bucket: int = 6000):
-        self.width = max(1, self.span * per_bucket // max(rows, 1))
-
-    def bucket(self, name: str) -> Column:
-        return F.floor(F.col(name) / F.lit(self.width))
+#: Rows among which the values of a feature are exchanged.
+BUCKET_ROWS = 6000
 
 
 def permutation_importance(
@@ -93,8 +85,9 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of R2 when one feature is exchanged between rows.
 
-    Every row takes the value of its predecessor in a hash order, so each value is used once and no global sort is
-    needed.  All features are tried on one exploded pass per repeat.
+    Rows are dealt out to buckets by a hash; in a bucket every row takes the value of its predecessor in hash order and the
+    first one that of the last, so each value is used exactly once and nothing is sorted beyond a bucket.  (The only row of
+    a bucket keeps its own value.)  All features are tried on one exploded pass per repeat.
     """
     rows = df.select(*keys, label, *features).dropna()
     spread = rows.agg((F.var_pop(label) * F.count(label)).alias("sst"), F.count(F.lit(1)).alias("n")).first()
@@ -102,18 +95,14 @@ def permutation_importance(
         raise ValueError("permutation importance needs rows with a varying target")
     sse = F.sum(F.pow(F.col(label) - F.col("prediction"), F.lit(2)))
     base = 1 - predict(model, rows).agg(sse).first()[0] / spread.sst
-    order = HashOrder(spread.n)
+    buckets = max(1, round(spread.n / BUCKET_ROWS))
     parts = []
     for repeat in range(repeats):
-        mixed = rows.withColumns(
-            {"_all": F.lit(1), "_h": F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(repeat)), F.lit(HashOrder.span))}
-        )
-        mixed = mixed.withColumn("_own_values", F.struct(*features))
-        donated = over_chunks(
-            mixed,
-            lambda w: {"_donor": F.lag("_own_values", 1).over(w)},
-            back=1, keys=["_all"], ts="_h", grid=order, carry=["_own_values"],
-        )
+        mixed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed), F.lit(repeat)))
+        mixed = mixed.withColumns({"_part": F.pmod("_h", F.lit(buckets)), "_own_values": F.struct(*features)})
+        turn = Window.partitionBy("_part").orderBy("_h", *keys)
+        last = F.last("_own_values").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        donated = mixed.withColumn("_donor", F.coalesce(F.lag("_own_values", 1).over(turn), last))
         tried = donated.withColumn("_changed", F.explode(F.array(*[F.lit(f) for f in features])))
         swapped = {
             f: F.when((F.col("_changed") == f) & F.col("_donor").isNotNull(), F.col(f"_donor.{f}")).otherwise(F.col(f))
@@ -157,11 +146,15 @@ def cross_validate(
     fit: Callable[[DataFrame], PipelineModel] | None = None,
     keys: Sequence[str] = KEYS,
     ts: str = TS,
+    is_written: bool = False,
     **settings,
 ) -> DataFrame:
-    """One fit per split (at most ten or so), metrics and sizes per split; splits without rows are left out."""
-    rows = df.dropna(subset=[label, *features])
-    tagged = cut_lineage(tag_splits(rows, splits, keys, ts))
+    """One fit per split (at most ten or so), metrics and sizes per split; splits without rows are left out.
+
+    The rows are written once (``is_written``: they already are); every split reads those within its bounds.
+    """
+    rows = df if is_written else cut_lineage(df.dropna(subset=[label, *features]))
+    tagged = tag_splits(rows, splits, keys, ts)
     numbers = [r[0] for r in splits.select("split").distinct().orderBy("split").collect()]
     make = fit or (lambda train: fit_gbt(train, features, label, **settings))
 
@@ -196,8 +189,8 @@ def trial_settings(n_trials: int, seed: int = 42) -> list[dict]:
     for _ in range(n_trials):
         out.append(
             {
-                "maxDepth": rng.randint(3, 8),
-                "maxIter": rng.randint(10, 60),
+                "maxDepth": rng.randint(3, 12),
+                "maxIter": rng.randint(100, 1000),
                 "stepSize": round(math.exp(rng.uniform(math.log(0.01), math.log(0.3))), 5),
                 "minInstancesPerNode": int(round(math.exp(rng.uniform(math.log(5), math.log(100))))),
                 "subsamplingRate": round(rng.uniform(0.6, 1.0), 3),
@@ -208,19 +201,21 @@ def trial_settings(n_trials: int, seed: int = 42) -> list[dict]:
 
 
 def random_search(
-    df: DataFrame, splits: DataFrame, features: Sequence[str], label: str = "load", n_trials: int = 50, seed: int = 42, limit_iter: int | None = None, **kw
+    df: DataFrame, splits: DataFrame, features: Sequence[str], label: str = "load", n_trials: int = 50, seed: int = 42, settings: Sequence[dict] | None = None, **kw
 ) -> DataFrame:
-    """Trial table (trial, settings, mean RMSE over the folds, best flag)."""
+    """Trial table (trial, settings, mean RMSE over the folds, best flag).
+
+    ``settings`` replaces the drawn settings; the table reports what every trial was fitted with.
+    """
     spark = df.sparkSession
+    df = cut_lineage(df.dropna(subset=[label, *features]))
     rows = []
-    for number, settings in enumerate(trial_settings(n_trials, seed)):
-        if limit_iter:
-            settings = {**settings, "maxIter": min(settings["maxIter"], limit_iter)}
+    for number, drawn in enumerate(trial_settings(n_trials, seed) if settings is None else settings):
         try:
-            mean = cross_validate(df, splits, features, label, **kw, **settings).agg(F.avg("rmse")).first()[0]
+            mean = cross_validate(df, splits, features, label, is_written=True, **kw, **drawn).agg(F.avg("rmse")).first()[0]
         except ValueError:
             mean = None
-        rows.append((number, {k: str(x) for k, x in settings.items()}, float(mean) if mean is not None else None))
+        rows.append((number, {k: str(x) for k, x in drawn.items()}, float(mean) if mean is not None else None))
     trials = spark.createDataFrame(rows, "trial int, settings map<string,string>, mean_rmse double")
     best = trials.agg(F.min_by("trial", F.struct(F.col("mean_rmse").isNull(), "mean_rmse", "trial"))).scalar()
     return trials.withColumn("is_best", flag(F.col("trial") == best))
@@ -318,24 +313,32 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str = "load") -> l
 
 
 def quantile_regression(
-    df: DataFrame, features: Sequence[str], q: float, label: str = "load", rounds: int = 15, eps: float = 1e-2
+    df: DataFrame, features: Sequence[str], q: float, label: str = "load", rounds: int = 200, eps: float = 1e-1, tolerance: float = 1e-6
 ) -> list[float]:
-    """Linear quantile regression by reweighted least squares; each round is one aggregation."""
+    """Linear quantile regression by reweighted least squares; each round is one aggregation.
+
+    ``eps`` is the share of the mean absolute residual below which residuals weigh alike; it shrinks with every round.
+    Rounds go on until the pinball loss changes by less than ``tolerance`` of itself with ``eps`` at its end, so the
+    result does not depend on the unit of the data.
+    """
     coefficients = fit_linear(df, features, label)
+    before, last_eps = None, 1e-4
     for _ in range(rounds):
         residual = F.col(label) - linear_column(coefficients, features)
-        weight = F.when(residual >= 0, q).otherwise(1 - q) / F.greatest(F.abs(residual), F.lit(eps))
-        row = df.agg(*_gram_columns(features, label, weight)).first().asDict()
-        fresh = [float(x) for x in _solve(row, len(features) + 1)]
-        moved = max(abs(a - b) for a, b in zip(fresh, coefficients))
-        coefficients = fresh
-        if moved < 1e-4:
+        loss = F.avg(F.greatest(q * residual, (q - 1) * residual)).alias("_loss")
+        scale, pinball = df.agg(F.avg(F.abs(residual)).alias("_scale"), loss).first()
+        if not scale or (before is not None and eps <= last_eps and abs(before - pinball) <= tolerance * pinball):
             break
+        before = pinball
+        weight = F.when(residual >= 0, q).otherwise(1 - q) / F.greatest(F.abs(residual), F.lit(eps * scale))
+        row = df.agg(*_gram_columns(features, label, weight)).first().asDict()
+        coefficients = [float(x) for x in _solve(row, len(features) + 1)]
+        eps = max(last_eps, eps * 0.7)
     return coefficients
 
 
 def quantile_forecast(
-    df: DataFrame, features: Sequence[str], quantiles: Sequence[float] = (0.1, 0.5, 0.9), label: str = "load", rounds: int = 15
+    df: DataFrame, features: Sequence[str], quantiles: Sequence[float] = (0.1, 0.5, 0.9), label: str = "load", rounds: int = 200
 ) -> DataFrame:
     """Add one predicted column per quantile (``q10`` ...) plus ``lower`` and ``upper`` from the outer ones."""
     rows = cut_lineage(df.dropna(subset=[label, *features]))
@@ -351,12 +354,12 @@ def quantile_forecast(
 def holdout_experiment(
     df: DataFrame, features: Sequence[str], test_rows: int, label: str = "load", trees: int = 20, depth: int = 6, repeats: int = 2, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY, **settings
 ) -> DataFrame:
-    """Split, naive baselines, pruning, fit, metrics: one results row per method."""
+    """Split, naive baselines, pruning, fit, metrics: one results row per method, each over all test rows together."""
     spark = df.sparkSession
     rows = cut_lineage(holdout_split(df.dropna(subset=[label, *features]), test_rows, keys=keys, ts=ts, grid=grid))
     train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
-    naive = compare_baselines(train, test, test_rows, column=label, keys=keys, ts=ts, grid=grid)
-    naive = naive.groupBy("method").agg(*[F.avg(m).alias(m) for m in ("rmse", "mae", "mape", "r2")], F.max("max_error").alias("max_error"))
+    naive = compare_baselines(train, test, test_rows, column=label, keys=keys, ts=ts, grid=grid, pooled=True)
+    naive = naive.select("method", "rmse", "mae", "mape", "r2", "max_error")
     pruned = permutation_prune(rows.where("split = 'train'"), features, label, repeats=repeats, trees=trees, depth=depth)
     kept = [r[0] for r in pruned.where("kept = 1").orderBy("feature").collect()] or list(features)
     model = fit_gbt(train.withColumn("_val", F.col("split") == "validation"), kept, label, "_val", **settings)

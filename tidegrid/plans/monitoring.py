@@ -49,7 +49,10 @@ def ks_drift(reference: DataFrame, current: DataFrame, features: Sequence[str],
         F.avg(F.when(~F.col("is_ref"), F.col("value"))).alias("current_mean"),
         F.avg(F.when(F.col("is_ref"), F.col("value"))).alias("reference_mean"),
     )
-    out = ks_distance(sides, ["column"], "value", F.col("is_ref")).join(means, "column")
+    asked = reference.sparkSession.createDataFrame([(f,) for f in present], "column string")
+    measured = ks_distance(sides, ["column"], "value", F.col("is_ref")).join(means, "column")
+    # a feature without a value on either side keeps its row
+    out = asked.join(measured, "column", "left").fillna(0, ["n_reference", "n_current"])
     enough = F.col("n_current") >= min_rows
     known = enough & (F.col("n_reference") > 0)
     p = F.when(known, kolmogorov_p(F.col("ks_statistic"), F.col("n_reference").cast("double"), F.col("n_current").cast("double")))
@@ -60,7 +63,7 @@ def ks_drift(reference: DataFrame, current: DataFrame, features: Sequence[str],
         .when(F.col("p_value") < threshold, "drift")
         .otherwise("stable")
         .alias("status"),
-        flag(F.col("p_value") < threshold).alias("drift"),
+        F.coalesce(flag(F.col("p_value") < threshold), F.lit(0)).alias("drift"),
         F.when(known, F.col("ks_statistic")).alias("ks_statistic"),
         "p_value",
         "current_mean",

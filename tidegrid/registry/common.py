@@ -24,13 +24,13 @@ VIEWS = {
         cast(20 + (sk * 7) % 81 AS DOUBLE) AS humidity, cast((sk * 3) % 50 AS DOUBLE) / 10 AS precipitation,
         cast((sk * 13) % 200 AS DOUBLE) / 10 AS wind_speed, cast((sk * 17) % 360 AS DOUBLE) AS wind_direction,
         cast(980 + sk % 50 AS DOUBLE) AS pressure, cast((sk * 11) % 101 AS DOUBLE) AS cloud_cover
-        FROM hour_keys WHERE se % 23 <> 0""",
+        FROM hour_keys""",
     "solar": """SELECT timestamp, cast(sk * 5 % 1000 AS DOUBLE) AS ghi, cast(sk * 3 % 800 AS DOUBLE) AS dni,
         cast(sk % 300 AS DOUBLE) AS dhi, cast(1000 + sk % 361 AS DOUBLE) AS toa_radiation,
         cast(sk * 17 % 3601 AS DOUBLE) AS sunshine_seconds FROM hour_keys""",
     "grid_events": """SELECT date_trunc('hour', ts) AS timestamp, event_type,
         cast(1 + user_id % 5 AS DOUBLE) AS duration_hours, value AS affected_load
-        FROM events WHERE event_type = 'error' AND event_id % 97 = 0""",
+        FROM events WHERE event_type = 'error'""",
     "holidays": """SELECT * FROM (VALUES (DATE '2024-01-01', 'New Year''s Day', 'standard', 1),
         (DATE '2024-01-15', 'Martin Luther King Jr. Day', 'standard', 2),
         (DATE '2024-01-20', 'Local Saturday', 'custom', 0), (DATE '2024-01-28', 'Big Game', 'event', 0))

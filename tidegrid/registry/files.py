@@ -15,7 +15,6 @@ from tidegrid.session import scratch_path
 from tidegrid.sources import readers, views as v, writers
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
-SERIES = ["click", "error", "purchase", "signup", "view"]
 
 
 @query("read_series", "load_hourly", "SELECT series_id, timestamp - INTERVAL 1 HOUR AS timestamp, load FROM load_hourly")
@@ -48,15 +47,15 @@ def _(spark, sf):
 @query(
     "read_wide_meter",
     "load_15min",
-    f"""SELECT t.timestamp, s.series_id, l.kw FROM (SELECT DISTINCT timestamp FROM load_15min) t
-    JOIN (VALUES {', '.join(f"('{s}')" for s in SERIES)}) s(series_id) ON true
+    """SELECT t.timestamp, s.series_id, l.kw FROM (SELECT DISTINCT timestamp FROM load_15min) t
+    JOIN (SELECT DISTINCT series_id FROM load_15min) s ON true
     LEFT JOIN load_15min l ON l.timestamp = t.timestamp AND l.series_id = s.series_id""",
 )
 def _(spark, sf):
-    wide = v.load_15min(spark, sf).groupBy("timestamp").pivot("series_id", SERIES).agg(F.max("kw"))
+    wide = v.load_15min(spark, sf).groupBy("timestamp").pivot("series_id").agg(F.max("kw"))
     text = wide.select(
         F.date_format("timestamp", STAMP).alias("time"),
-        *[F.regexp_replace(F.col(s).cast("string"), r"\.", ",").alias(s) for s in SERIES],
+        *[F.regexp_replace(F.col(s).cast("string"), r"\.", ",").alias(s) for s in wide.columns[1:]],
     )
     path = scratch_path(spark, "meter")
     text.write.option("header", True).option("sep", ";").csv(path)

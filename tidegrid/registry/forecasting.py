@@ -7,6 +7,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics as m
+from tidegrid.operators.chunks import Grid, over_chunks
 from tidegrid.operators.guards import rounded
 from tidegrid.operators.series import rolling_time_rmse
 from tidegrid.plans import forecast as f
@@ -355,6 +356,39 @@ def _(spark, sf):
     return rounded(out.drop("y_true", "y_pred"), ["rolling_rmse"], 5)
 
 
+# Data that are finer than the grid of the buckets, with short buckets.
+@query(
+    "rolling_rmse_alert_15min",
+    "load_15min",
+    f""", p AS (SELECT series_id, timestamp, kw AS y_true, lag(kw) OVER (PARTITION BY series_id ORDER BY timestamp) AS y_pred FROM load_15min),
+    s AS (SELECT *, sqrt(avg(pow(y_true - y_pred, 2)) OVER (PARTITION BY series_id ORDER BY timestamp
+        RANGE BETWEEN INTERVAL '604799 seconds' PRECEDING AND CURRENT ROW)) AS v FROM p WHERE y_pred IS NOT NULL)
+    SELECT series_id, timestamp, {q6('v', 5)} AS rolling_rmse, (v > 60)::INT AS alert FROM s""",
+)
+def _(spark, sf):
+    rows = over_chunks(v.load_15min(spark, sf), lambda w: {"y_pred": F.lag("kw", 1).over(w)}, back=1, grid=Grid(900))
+    rows = rows.where("y_pred IS NOT NULL").withColumnRenamed("kw", "y_true")
+    out = rolling_time_rmse(rows, limit=60.0, grid=Grid(3600, 60))
+    return rounded(out.drop("y_true", "y_pred"), ["rolling_rmse"], 5)
+
+
+# The same with targets far from zero: sums of their squares would leave no digits for the variance.
+@query(
+    "prequential_metrics_offset",
+    "predictions",
+    f""", c AS (SELECT *, avg(y_true) OVER (PARTITION BY series_id, model) AS m FROM predictions),
+    s AS (SELECT *, count(*) OVER w AS n_seen, sum(pow(y_true - y_pred, 2)) OVER w AS se,
+        sum(y_true - m) OVER w AS sy, sum(pow(y_true - m, 2)) OVER w AS syy FROM c
+        WINDOW w AS (PARTITION BY series_id, model ORDER BY timestamp ROWS UNBOUNDED PRECEDING))
+    SELECT series_id, timestamp, model, n_seen,
+        {q6('CASE WHEN n_seen > 1 AND syy - sy * sy / n_seen > 1e-9 THEN 1 - se / (syy - sy * sy / n_seen) END', 3)} AS r2 FROM s""",
+)
+def _(spark, sf):
+    far = v.predictions(spark, sf).withColumns({c: F.col(c) + F.lit(1e8) for c in ("y_true", "y_pred")})
+    out = m.prequential_metrics(far).select("series_id", "timestamp", "model", F.col("n_seen").cast("bigint").alias("n_seen"), "r2")
+    return rounded(out, ["r2"], 3)
+
+
 PERF = """, base AS (SELECT series_id, model, sqrt(avg(pow(y_true - y_pred, 2))) AS b FROM predictions
         WHERE timestamp < TIMESTAMP '2024-01-08' GROUP BY 1, 2),
     daily AS (SELECT series_id, model, timestamp::DATE AS date, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse,

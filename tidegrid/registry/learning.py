@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.chunks import DAILY
 from tidegrid.operators.guards import r6, rounded
 from tidegrid.operators.metrics import forecast_metrics, winkler_score
-from tidegrid.operators.series import lag_features
+from tidegrid.operators.series import HORIZONS, lag_features
 from tidegrid.plans import conformal as cf
 from tidegrid.plans import forecast as f
 from tidegrid.plans import importance as im
@@ -55,12 +55,14 @@ def _(spark, sf):
 @query("random_search")
 def _(spark, sf):
     rows = _daily(spark, sf)
-    return ln.random_search(rows, f.rolling_origin_splits(v.load_daily(spark, sf), 2), DAILY_FEATURES, n_trials=2, limit_iter=4)
+    # settings of its own choice: the drawn ones have hundreds of trees, too many for a query that is only checked
+    grid = [{"maxIter": n, "maxDepth": 4, "stepSize": s} for n, s in ((4, 0.3), (8, 0.1))]
+    return ln.random_search(rows, f.rolling_origin_splits(v.load_daily(spark, sf), 2), DAILY_FEATURES, settings=grid)
 
 
 @query("direct_multi_horizon")
 def _(spark, sf):
-    predictions, _metrics = ln.direct_multi_horizon(v.model_rows(spark, sf), FEATURES, (1, 24), **SMALL)
+    predictions, _metrics = ln.direct_multi_horizon(v.model_rows(spark, sf), FEATURES, HORIZONS, **SMALL)
     return predictions
 
 
@@ -85,7 +87,7 @@ def _(spark, sf):
 
 @query("quantile_forecast")
 def _(spark, sf):
-    out = ln.quantile_forecast(v.model_rows(spark, sf), FEATURES, rounds=6)
+    out = ln.quantile_forecast(v.model_rows(spark, sf), FEATURES)
     return rounded(out, ["q10", "q50", "q90", "lower", "upper"], 4)
 
 

@@ -51,12 +51,14 @@ KS_COLS = ["ks_statistic", "p_value", "current_mean", "reference_mean", "mean_sh
     "model_rows",
     ks_sql(FEATURES, "model_rows")
     + KS_OUT
-    + " UNION ALL SELECT 'cloud_cover', 'missing', 1, NULL, NULL, NULL, NULL, NULL",
+    + " UNION ALL SELECT 'cloud_cover', 'missing', 1, NULL, NULL, NULL, NULL, NULL"
+    + " UNION ALL SELECT 'wind_speed', 'insufficient_data', 0, NULL, NULL, NULL, NULL, NULL",
 )
 def _(spark, sf):
     before, after = _halves(v.model_rows(spark, sf))
-    before = before.withColumn("cloud_cover", F.lit(0.0))
-    return rounded(mo.ks_drift(before, after, [*FEATURES, "cloud_cover"]), KS_COLS)
+    empty = F.lit(None).cast("double")
+    before, after = before.withColumns({"cloud_cover": F.lit(0.0), "wind_speed": empty}), after.withColumn("wind_speed", empty)
+    return rounded(mo.ks_drift(before, after, [*FEATURES, "cloud_cover", "wind_speed"]), KS_COLS)
 
 
 @query("prediction_drift", "predictions", ks_sql(["y_pred"], "predictions") + KS_OUT)
@@ -214,7 +216,7 @@ def _(spark, sf):
 
 STAGE_SQL = """SELECT 'model_' || (user_id % 10) AS name, (user_id // 10 + 1)::INT AS version,
     CASE event_type WHEN 'signup' THEN 'None' WHEN 'click' THEN 'Staging' WHEN 'purchase' THEN 'Production' ELSE 'Archived' END AS stage,
-    event_id AS seq, value FROM events WHERE event_type <> 'view'"""
+    event_id AS seq, value FROM events"""
 STATE_SQL = f"""WITH e AS ({STAGE_SQL}), last AS (SELECT name, version, arg_max(stage, seq) AS stage, max(seq) AS seq FROM e GROUP BY 1, 2),
     top AS (SELECT name, stage, max(seq) AS top FROM e WHERE stage IN ('Staging', 'Production') GROUP BY 1, 2),
     state AS (SELECT name, version, CASE WHEN top IS NOT NULL AND seq < top THEN 'Archived' ELSE stage END AS stage
@@ -222,7 +224,7 @@ STATE_SQL = f"""WITH e AS ({STAGE_SQL}), last AS (SELECT name, version, arg_max(
 
 
 def stage_events(spark, sf):
-    events = v.table(spark, sf, "events").where("event_type <> 'view'")
+    events = v.table(spark, sf, "events")
     kind = F.col("event_type")
     stage = F.when(kind == "signup", "None").when(kind == "click", "Staging").when(kind == "purchase", "Production")
     return events.select(

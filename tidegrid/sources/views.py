@@ -53,7 +53,6 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk = F.col("sk")
     return (
         _hour_keys(spark, sf_dir)
-        .where(F.col("se") % 23 != 0)
         .select(
             "timestamp",
             ((sk % 450).cast("double") / 10 - 5).alias("temperature"),
@@ -80,7 +79,7 @@ def solar_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_type = 'error' AND event_id % 97 = 0")
+    events = table(spark, sf_dir, "events").where("event_type = 'error'")
     return events.select(
         _hour().alias("timestamp"),
         "event_type",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.temporal import cyclical_expressions, temporal_expressions
 from tidegrid.functions.weather import degree_day_expressions, discomfort_index, heat_index, interaction_expressions
-from tidegrid.operators.metrics import performance_log
+from tidegrid.operators.metrics import SERIES_MODEL, with_degradation
 from tidegrid.session import prepare, scratch_path
 
 
@@ -23,8 +23,8 @@ def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, glob: s
     return reader.parquet(path)
 
 
-def run_to_table(df: DataFrame, path: str, timeout: int = 600, mode: str = "append") -> DataFrame:
-    """Process everything that is available into a Parquet table and return that table."""
+def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Process everything that is available into a Parquet table, however long it takes, and return that table."""
     spark = df.sparkSession
     query = (
         df.writeStream.format("parquet")
@@ -34,9 +34,7 @@ def run_to_table(df: DataFrame, path: str, timeout: int = 600, mode: str = "appe
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream did not finish within {timeout} s")
+    query.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,23 +72,27 @@ def stream_enrich(df: DataFrame, weather: DataFrame, dates: DataFrame, ts: str =
     return joined.drop("_hour", "date").withColumns(scalars)
 
 
-def stream_performance_alert(df: DataFrame, baseline: DataFrame, path: str, timeout: int = 600, **kw) -> DataFrame:
-    """Performance records of each micro-batch.  A batch writes its own folder, so a repeated batch replaces itself."""
+def stream_performance_alert(df: DataFrame, baseline: DataFrame, path: str, delay: str = "1 day", **kw) -> DataFrame:
+    """One performance record per key and day, whatever the micro-batches: sums per day are kept in the stream's state.
 
-    def record(batch: DataFrame, number: int) -> None:
-        performance_log(batch, baseline, **kw).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return _run_batches(df, record, path, timeout)
+    Rows more than ``delay`` behind the newest one are dropped, and so is the state of such days.  Every batch writes the days
+    that it changed to a folder of its own, so a repeated batch replaces itself; the last version of a day counts.
+    """
+    keys, ts = list(kw.get("keys", SERIES_MODEL)), kw.get("ts", "timestamp")
+    e = F.col(kw.get("y", "y_true")) - F.col(kw.get("yhat", "y_pred"))
+    daily = df.withWatermark(ts, delay).groupBy(*keys, F.window(ts, "1 day")).agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n_samples")
+    )
+    days = daily.select(*keys, F.to_date("window.start").alias("date"), "rmse", "mae", "n_samples")
 
+    def record(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def _run_batches(df: DataFrame, record: Callable[[DataFrame, int], None], path: str, timeout: int) -> DataFrame:
-    query = (
-        df.writeStream.foreachBatch(record).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream did not finish within {timeout} s")
-    return df.sparkSession.read.parquet(path)
+    query = days.writeStream.outputMode("update").foreachBatch(record).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    measured = F.max_by(F.struct("rmse", "mae", "n_samples"), "batch").alias("m")
+    latest = df.sparkSession.read.parquet(path).groupBy(*keys, "date").agg(measured).select(*keys, "date", "m.*")
+    return with_degradation(latest, baseline, keys, kw.get("limit", 0.3))
 
 
 def hybrid_forecast(batch: DataFrame, online: DataFrame, weight: float = 0.3, keys: Sequence[str] = ("series_id", "timestamp")) -> DataFrame:

@@ -23,7 +23,7 @@ class OnlineLinear:
         self.n, self.late, self.last = 0, 0, None
         self.mean, self.m2, self.weight = [0.0] * size, [0.0] * size, [0.0] * size
         self.intercept = 0.0
-        self.sums = [0.0, 0.0, 0.0, 0.0]  # |e|, e^2, y, y^2
+        self.sums = [0.0, 0.0, 0.0, 0.0]  # |e|, e^2, running mean of y, sum of squares around it
         self.detector = make_detector(detector, threshold)
 
     def _scaled(self, x: Sequence[float]) -> list[float]:
@@ -40,7 +40,9 @@ class OnlineLinear:
         """Prediction made before the update, and whether drift was signalled."""
         predicted = self.predict(x)
         error = y - predicted
-        self.sums = [a + b for a, b in zip(self.sums, (abs(error), error * error, y, y * y))]
+        ae, se, mean, spread = self.sums
+        moved = mean + (y - mean) / (self.n + 1)
+        self.sums = [ae + abs(error), se + error * error, moved, spread + (y - mean) * (y - moved)]
         drift = self.detector.update(abs(error)) if self.detector else False
         if drift:
             self.detector = make_detector(self.kind, self.threshold)
@@ -57,9 +59,8 @@ class OnlineLinear:
         return predicted, drift
 
     def metrics(self) -> tuple[float, float, float | None]:
-        n = sum_n = self.n
-        ae, se, y, yy = self.sums
-        spread = yy - y * y / sum_n
+        n = self.n
+        ae, se, _, spread = self.sums
         return ae / n, math.sqrt(se / n), (1 - se / spread if n > 1 and spread > 1e-9 else None)
 
     def dump(self) -> str:
@@ -74,10 +75,7 @@ class OnlineLinear:
         return self
 
 
-OUTPUT = (
-    "series_id string, timestamp timestamp, sample_number long, y_true double, y_pred double, mae double, rmse double, "
-    "r2 double, drift int, late_rows long"
-)
+MEASURES = "sample_number long, y_true double, y_pred double, mae double, rmse double, r2 double, drift int, late_rows long"
 
 
 def online_learner(
@@ -95,6 +93,8 @@ def online_learner(
     at the source.  Rows that are not newer than the last one learned are counted and skipped.
     """
     names = list(features)
+    output = f"`{key}` string, `{ts}` timestamp, {MEASURES}"
+    columns = [key, ts, *[c.split()[0] for c in MEASURES.split(", ")]]
 
     def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         model = OnlineLinear(len(names), **settings)
@@ -113,7 +113,7 @@ def online_learner(
             model.last = second
             out.append((group[0], at, model.n, float(y), predicted, *model.metrics(), int(drift), model.late))
         state.update((model.dump(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        yield pd.DataFrame(out, columns=columns)
 
     ready = df.select(F.col(key).cast("string").alias(key), ts, F.col(target).cast("double").alias(target), *[F.col(c).cast("double").alias(c) for c in names])
-    return ready.groupBy(key).applyInPandasWithState(step, OUTPUT, "model string", "append", GroupStateTimeout.NoTimeout)
+    return ready.groupBy(key).applyInPandasWithState(step, output, "model string", "append", GroupStateTimeout.NoTimeout)
