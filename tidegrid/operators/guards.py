@@ -15,6 +15,15 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "input") ->
     return df
 
 
+def hash32(*parts: Column | str) -> Column:
+    """Number from 0 to 2**32 - 1 that depends on the parts only, the same in every engine that has MD5.
+
+    The parts' texts are joined by ``|``; a null part is an empty text.
+    """
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("bigint")
+
+
 def clean_double(col: Column) -> Column:
     """Number or NULL: text that is no number, and NaN, both become NULL."""
     return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))

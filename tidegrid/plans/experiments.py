@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.operators.guards import flag
+from tidegrid.operators.guards import flag, hash32
 
 KEYS = ("series_id",)
 
@@ -23,7 +23,7 @@ def ab_route(df: DataFrame, key: str, split: float = 0.1, seed: int = 42, method
     """
     cut = int(round(split * 10000))
     if method == "hash":
-        slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000))
+        slot = hash32(key, F.lit(seed)) % 10000
     elif method == "modular":
         slot = ((F.col(key) + seed) * 48271 % 2147483647) % 10000
     else:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.guards import flag
+from tidegrid.operators.guards import flag, hash32
 
 ROW = ("series_id", "timestamp")
 Score = Callable[[DataFrame], DataFrame]
@@ -16,13 +16,13 @@ Score = Callable[[DataFrame], DataFrame]
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str] = ROW, seed: int = 42) -> DataFrame:
     """``n`` rows chosen by a hash of their key: the same rows in every run (a top-n, so no full sort)."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(hash32(*keys, F.lit(seed)), *keys).limit(n)
 
 
 def background_array(df: DataFrame, features: Sequence[str], n: int, keys: Sequence[str] = ROW, seed: int = 42) -> Column:
     """The feature values of ``n`` sampled rows as one array value."""
     picked = sample_rows(df.dropna(subset=list(features)), n, keys, seed)
-    return picked.agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(*keys).alias("_o"), *features)))).scalar()
+    return picked.agg(F.sort_array(F.collect_list(F.struct(hash32(*keys).alias("_o"), *features)))).scalar()
 
 
 def _orders(features: Sequence[str], count: int, seed: int) -> list[list[int]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.guards import flag
+from tidegrid.operators.guards import flag, hash32
 
 ROW = ("series_id", "timestamp")
 Score = Callable[[DataFrame], DataFrame]
@@ -55,7 +55,7 @@ def sensitivity(df: DataFrame, feature: str, values: Sequence[float], score: Sco
 
 def _uniform(*parts: Column) -> Column:
     """Number in [0, 1) that depends on the key columns only, not on the partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return hash32(*parts) / F.lit(2.0**32)
 
 
 def counterfactual_search(

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+def hash32_sql(*parts: str) -> str:
+    """DuckDB text of ``guards.hash32``."""
+    joined = ", ".join(f"coalesce({p}::VARCHAR, '')" for p in parts)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {joined})), 1, 8) AS BIGINT)"
+
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 

@@ -9,7 +9,7 @@ from tidegrid.plans import feature_table as ft
 from tidegrid.plans import importance as im
 from tidegrid.plans import narrative as nl
 from tidegrid.plans import whatif as wi
-from tidegrid.registry.common import q6, query
+from tidegrid.registry.common import hash32_sql, q6, query
 from tidegrid.sources import views as v
 
 TERMS, BASE = v.MODEL_TERMS, v.MODEL_BASE
@@ -195,11 +195,35 @@ def _(spark, sf):
     return rounded(out, ["prediction"])
 
 
-@query("counterfactual_search")
+VARIED = ["temperature", "humidity", "load_lag_1h"]
+
+
+@query(
+    "counterfactual_search",
+    "model_rows",
+    f""", b AS (SELECT *, 50 + 0.6 * load_lag_1h + 0.2 * load_lag_24h + 1.5 * temperature + -0.3 * humidity AS current_prediction FROM model_rows),
+    span AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in VARIED)} FROM model_rows),
+    t AS (SELECT b.*, span.*, k, {', '.join(
+        f"""CASE WHEN {hash32_sql('series_id', 'timestamp', 'k', f"'pick:{c}:42'")} / 4294967296.0::DOUBLE < 1.0::DOUBLE / 3 + 0.25
+            THEN lo_{c} + (hi_{c} - lo_{c}) * ({hash32_sql('series_id', 'timestamp', 'k', f"'value:{c}:42'")} / 4294967296.0::DOUBLE) ELSE {c} END AS n_{c}"""
+        for c in VARIED)}
+        FROM b, span, range(1, 201) r(k)),
+    p AS (SELECT *, 50 + 0.6 * n_load_lag_1h + 0.2 * load_lag_24h + 1.5 * n_temperature + -0.3 * n_humidity AS prediction FROM t),
+    h AS (SELECT *, {' + '.join(f'(n_{c} <> {c})::INT' for c in VARIED)} AS n_changes,
+        {' + '.join(f'coalesce(abs(n_{c} - {c}) / nullif(hi_{c} - lo_{c}, 0), 0)' for c in VARIED)} AS distance FROM p
+        WHERE prediction BETWEEN least(0.8 * current_prediction * 0.95, 0.8 * current_prediction * 1.05)
+            AND greatest(0.8 * current_prediction * 0.95, 0.8 * current_prediction * 1.05)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY series_id, timestamp ORDER BY n_changes, distance, k) AS rank FROM h QUALIFY rank <= 3)
+    SELECT b.series_id, b.timestamp, {q6('b.current_prediction')} AS current_prediction, b.{', b.'.join(f'{c} AS {c}_original' for c in VARIED)},
+        {q6('prediction')} AS prediction, n_changes, {q6('distance')} AS distance, {', '.join(f"{q6(f'n_{c}')} AS {c}" for c in VARIED)},
+        rank::INT AS rank, (rank IS NOT NULL)::INT AS success
+    FROM b LEFT JOIN best ON best.series_id = b.series_id AND best.timestamp = b.timestamp""",
+)
 def _(spark, sf):
     rows = v.model_rows(spark, sf)
     goal = F.lit(0.8) * F.col("current_prediction")
-    return wi.counterfactual_search(rows, goal, score, ["temperature", "humidity", "load_lag_1h"], k=3, candidates=100)
+    out = wi.counterfactual_search(rows, goal, score, VARIED, k=3).drop("desired")
+    return rounded(out, ["current_prediction", "prediction", "distance", *VARIED])
 
 
 CF = """, cf AS (SELECT series_id, timestamp, k::INT AS cf_id, temperature AS t0, humidity AS h0, load_lag_1h AS l0,

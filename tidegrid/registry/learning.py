@@ -13,7 +13,7 @@ from tidegrid.plans import forecast as f
 from tidegrid.plans import importance as im
 from tidegrid.plans import learning as ln
 from tidegrid.plans import shapley as sh
-from tidegrid.registry.common import q6, query
+from tidegrid.registry.common import hash32_sql, q6, query
 from tidegrid.registry.explaining import score
 from tidegrid.session import cut_lineage
 from tidegrid.sources import views as v
@@ -110,15 +110,47 @@ def _(spark, sf):
     return ln.holdout_experiment(v.model_rows(spark, sf), FEATURES, 72, trees=8, depth=4, **SMALL)
 
 
-@query("sample_rows")
+SAMPLE = f"SELECT * FROM model_rows ORDER BY {hash32_sql('series_id', 'timestamp', '42')}, series_id, timestamp LIMIT {{n}}"
+
+
+@query("sample_rows", "model_rows", " " + SAMPLE.format(n=100))
 def _(spark, sf):
     return sh.sample_rows(v.model_rows(spark, sf), 100)
 
 
-def _tree_phi(spark, sf, n=40):
+def _tree_phi(spark, sf):
+    """Attributions of all rows."""
     rows = v.model_rows(spark, sf)
     model = ln.fit_gbt(rows, FEATURES, **SMALL)
-    return model, sh.sampling_shapley(sh.sample_rows(rows, n), FEATURES, lambda d: ln.predict(model, d), rows, 10)
+    return model, sh.sampling_shapley(rows, FEATURES, lambda d: ln.predict(model, d), rows, 10)
+
+
+# The same walk on the formula model, where the attribution is exact: weight times distance from the background's mean.
+@query(
+    "shap_values_formula",
+    "model_rows",
+    f""", bg AS ({SAMPLE.format(n=10)}), m AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} FROM bg)"""
+    + " UNION ALL ".join(
+        f""" SELECT series_id, timestamp, '{c}' AS feature, {q6(f'model_rows.{c}')} AS value, {q6(f'{w} * (model_rows.{c} - m.{c})')} AS phi
+        FROM model_rows, m"""
+        for c, w in v.MODEL_TERMS.items()
+    ),
+)
+def _(spark, sf):
+    rows = v.model_rows(spark, sf)
+    out = sh.sampling_shapley(rows, FEATURES, score, rows, 10)
+    return rounded(out.select("series_id", "timestamp", "feature", "value", "phi"), ["value", "phi"])
+
+
+# Without an interaction in the formula every value is zero.
+@query(
+    "interaction_values_formula",
+    "model_rows",
+    "SELECT series_id, timestamp, 'load_lag_1h' AS feature_a, 'temperature' AS feature_b, 0.0::DOUBLE AS interaction FROM model_rows",
+)
+def _(spark, sf):
+    rows = v.model_rows(spark, sf)
+    return rounded(sh.interaction_values(rows, FEATURES, ("load_lag_1h", "temperature"), score, rows, 10), ["interaction"])
 
 
 @query("shap_values_tree")
@@ -130,7 +162,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = v.model_rows(spark, sf)
     model = ln.fit_gbt(rows, FEATURES, **SMALL)
-    return sh.interaction_values(sh.sample_rows(rows, 40), FEATURES, ("load_lag_1h", "temperature"), lambda d: ln.predict(model, d), rows, 10)
+    return sh.interaction_values(rows, FEATURES, ("load_lag_1h", "temperature"), lambda d: ln.predict(model, d), rows, 10)
 
 
 @query("monotone_audit")

@@ -9,7 +9,7 @@ from tidegrid.operators.guards import r6, rounded
 from tidegrid.plans import experiments as ex
 from tidegrid.plans import monitoring as mo
 from tidegrid.plans import runs as rn
-from tidegrid.registry.common import q6, query
+from tidegrid.registry.common import hash32_sql, q6, query
 from tidegrid.session import scratch_path
 from tidegrid.sources import views as v
 
@@ -94,7 +94,12 @@ def _(spark, sf):
     return ex.ab_route(v.table(spark, sf, "events").select("event_id", "user_id", "value"), "event_id", method="modular")
 
 
-@query("ab_route_hash")
+@query(
+    "ab_route_hash",
+    "",
+    f"""SELECT CASE WHEN {hash32_sql('event_id', '42')} % 10000 < 1000 THEN 'challenger' ELSE 'champion' END AS arm,
+    count(*) AS n, {q6('avg(value)')} AS mean_value FROM events GROUP BY 1""",
+)
 def _(spark, sf):
     routed = ex.ab_route(v.table(spark, sf, "events").select("event_id", "value"), "event_id")
     return routed.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean_value"))
