@@ -24,6 +24,10 @@ VIEWS = {
         round(sum(value), 2) AS kw FROM events GROUP BY 1, 2""",
     "load_daily": """SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate)::TIMESTAMP AS timestamp,
         round(sum(o_totalprice), 2) AS load FROM orders GROUP BY 1, 2""",
+    "load_supplier_daily": """SELECT l_suppkey AS series_id, date_trunc('day', l_shipdate)::TIMESTAMP AS timestamp,
+        round(sum(l_extendedprice), 2) AS load FROM lineitem GROUP BY 1, 2""",
+    "load_user_hourly": """SELECT user_id AS series_id, date_trunc('hour', ts) AS timestamp, round(sum(value), 2) AS load
+        FROM events GROUP BY 1, 2""",
     "hour_keys": """SELECT date_trunc('hour', ts) AS timestamp,
         sum(cast(regexp_extract(props, '[0-9]+', 0) AS BIGINT)) AS sk, sum(event_id) AS se FROM events GROUP BY 1""",
     "weather": """SELECT timestamp, cast(sk % 450 AS DOUBLE) / 10 - 5 AS temperature,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions import temporal, weather
 from tidegrid.functions.holidays import calendar_features
 from tidegrid.operators import guards, series
+from tidegrid.operators.chunks import DAILY
 from tidegrid.operators.guards import r6
 from tidegrid.plans import feature_table as ft
 from tidegrid.registry.common import q6, query
@@ -194,6 +195,41 @@ def _(spark, sf):
     return series.lag_features(v.load_hourly(spark, sf))
 
 
+# Series whose number and length grow with the tables.
+SUPPLIER_LAGS = (1, 7, 28)
+
+
+@query(
+    "lag_features_supplier",
+    "load_supplier_daily",
+    f"""SELECT series_id, timestamp, load, {', '.join(f'lag(load, {k}) OVER w AS load_lag_{k}h' for k in SUPPLIER_LAGS)}
+    FROM load_supplier_daily {W_SQL}""",
+)
+def _(spark, sf):
+    return series.lag_features(v.load_supplier_daily(spark, sf), lags=SUPPLIER_LAGS, grid=DAILY)
+
+
+@query(
+    "rolling_features_supplier",
+    "load_supplier_daily",
+    "SELECT series_id, timestamp, "
+    + ", ".join(
+        f"{q6(f'{e} OVER (PARTITION BY series_id ORDER BY timestamp ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)', 3)} AS rolling_{n}h_{s}"
+        for n in (7, 28)
+        for s, e in (("mean", "avg(load)"), ("max", "max(load)"))
+    )
+    + " FROM load_supplier_daily",
+)
+def _(spark, sf):
+    out = series.rolling_features(v.load_supplier_daily(spark, sf), windows=(7, 28), stats=("mean", "max"), grid=DAILY)
+    return guards.rounded(out.drop("load"), [f"rolling_{n}h_{s}" for n in (7, 28) for s in ("mean", "max")], 3)
+
+
+@query("lag_features_user", "load_user_hourly", f"SELECT series_id, timestamp, load, lag(load, 1) OVER w AS load_lag_1h FROM load_user_hourly {W_SQL}")
+def _(spark, sf):
+    return series.lag_features(v.load_user_hourly(spark, sf), lags=(1,))
+
+
 @query(
     "lag_features_aligned",
     "load_hourly",

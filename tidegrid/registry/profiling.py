@@ -85,6 +85,11 @@ def _(spark, sf):
     return rounded(p.distribution_stats(v.load_hourly(spark, sf)), DIST)
 
 
+@query("distribution_stats_supplier", "load_supplier_daily", dist_sql("load_supplier_daily"))
+def _(spark, sf):
+    return rounded(p.distribution_stats(v.load_supplier_daily(spark, sf)), DIST)
+
+
 # The same operator on line-item prices per return flag: few keys, each with a third of all rows.
 @query(
     "distribution_stats_hot_keys",

@@ -42,6 +42,23 @@ def load_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def load_supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped value per supplier and day: as many series as suppliers, rows in proportion to the line items."""
+    items = table(spark, sf_dir, "lineitem")
+    day = F.date_trunc("day", F.col("l_shipdate").cast("timestamp"))
+    return items.groupBy(F.col("l_suppkey").alias("series_id"), day.alias("timestamp")).agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("load")
+    )
+
+
+def load_user_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values per user and hour."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.col("user_id").alias("series_id"), _hour().alias("timestamp")).agg(
+        F.round(F.sum("value"), 2).alias("load")
+    )
+
+
 def _hour_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
     return table(spark, sf_dir, "events").groupBy(_hour().alias("timestamp")).agg(
