@@ -7,6 +7,7 @@ from tidegrid.plans import importance as im
 from tidegrid.plans import narrative as nl
 from tidegrid.plans import shapley as sh
 from tidegrid.plans import whatif as wi
+from tidegrid.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +125,16 @@ def test_constraints(spark):
     names = spark.createDataFrame([("temperature",), ("temperature_lag_1h",), ("hour",)], "feature string")
     got = {r.feature: r.monotone_constraint for r in im.constraint_vector(names, {"temp": -1, "temperature": 1}).collect()}
     assert got == {"temperature": 1, "temperature_lag_1h": -1, "hour": 0}
+
+
+def test_drift_history_is_a_table_with_baselines(spark):
+    path = scratch_path(spark, "drift")
+    day = lambda d, a, b: [(d, "a", a), (d, "b", b)]
+    make = lambda rows: spark.createDataFrame(rows, "date string, feature string, importance double").withColumn("date", F.to_date("date"))
+    im.save_baseline(make(day("2024-01-01", 0.5, 0.5)), path, "2024-01-01")
+    im.record_drift(make(day("2024-01-02", 0.5, 0.5) + day("2024-01-03", 0.1, 0.9)), path)
+    im.record_drift(make(day("2024-01-03", 0.1, 0.9)), path, renew_on=("high",))
+    im.record_drift(make(day("2024-01-04", 0.1, 0.9)), path)
+    got = {str(r.date): (round(r.drift_score, 6), r.severity) for r in im.read_drift_history(spark, path).collect()}
+    assert got["2024-01-02"][0] == 0 and got["2024-01-03"] == (0.4, "high") and got["2024-01-04"][0] == 0
+    assert {r.feature: r.importance for r in im.read_baseline(spark, path, "2024-01-02").collect()} == {"a": 0.5, "b": 0.5}

@@ -102,3 +102,40 @@ def test_leave_one_out_draws():
     draws = cf.block_draws(30, 10)
     assert len(draws) == 30 and all(len(d) == 10 for d in draws)
     assert all(any(b not in d for d in draws) for b in range(10))
+
+
+def test_recursion_with_features_equals_a_loop(spark):
+    rows = spark.createDataFrame([("a", 1700000000 // 3600 * 3600 + 3600 * i, float(i % 5)) for i in range(30)], "series_id string, s long, load double")
+    rows = rows.selectExpr("series_id", "timestamp_seconds(s) AS timestamp", "load")
+
+    def features(d):
+        return d.withColumns({"lag": F.element_at("history", -2), "mean": F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / 4, "hour": F.hour("timestamp")})
+
+    out = ln.recursive_feature_forecast(lambda d: d.selectExpr("*", "lag * 0.5D + mean * 0.25D + hour * 0.1D AS prediction"), rows, features, 4, 30)
+    values, start = [float(i % 5) for i in range(30)], 1700000000 // 3600 * 3600
+    for r in out.orderBy("step").collect():
+        hour = (start + 3600 * len(values)) // 3600 % 24
+        values.append(values[-2] * 0.5 + sum(values[-4:]) / 4 * 0.25 + hour * 0.1)
+        assert r.y_pred == pytest.approx(values[-1]) and r.timestamp.timestamp() == start + 3600 * (len(values) - 1)
+    assert len(values) == 60
+
+
+def test_isotonic_recalibration_is_monotone(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(float(i % 50), float(i % 50) + rng.gauss(0, 5), 7.0) for i in range(2000)] + [(None, 1.0, 7.0)], "x double, load double, prediction double")
+    out = ln.isotonic_recalibration(rows, "x", 1)
+    means = [r.m for r in out.where("x IS NOT NULL").groupBy("x").agg(F.avg("recalibrated").alias("m")).orderBy("x").collect()]
+    assert means == sorted(means) and means[-1] - means[0] > 40
+    assert out.where("x IS NULL").first().recalibrated == 7.0 and out.count() == 2001
+    with pytest.raises(ValueError):
+        ln.isotonic_recalibration(rows, "x", 0)
+
+
+def test_quantiles_do_not_depend_on_the_unit(rows):
+    small = rows.withColumn("load", F.col("load") / 1000)
+    for q in (0.1, 0.9):
+        a, b = ln.quantile_regression(rows, ["x", "z"], q), ln.quantile_regression(small, ["x", "z"], q)
+        assert [y * 1000 for y in b] == pytest.approx(a, rel=1e-4, abs=1e-4)
+        column = ln.linear_column(a, ["x", "z"])
+        share = rows.agg(F.avg((F.col("load") <= column).cast("int"))).first()[0]
+        assert share == pytest.approx(q, abs=0.01)

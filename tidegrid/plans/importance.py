@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.chunks import edge_rows, Grid
 from tidegrid.operators.guards import flag, ratio
 from tidegrid.operators.ranks import percentiles
+from tidegrid.session import cut_lineage
 
 ROW = ("series_id", "timestamp")
 
@@ -192,6 +193,44 @@ def drift_history_summary(history: DataFrame, baseline: DataFrame, top: int = 10
     )
 
 
+def append_drift(scores: DataFrame, path: str) -> None:
+    """Add drift scores (with a ``date``) to the history table at ``path``; a date that is recorded again is replaced."""
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/history")
+
+
+def read_drift_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/history").withColumn("date", F.to_date("date"))
+
+
+def save_baseline(importance: DataFrame, path: str, since: str) -> None:
+    """Keep an importance table as the baseline from the day ``since`` on; earlier baselines stay readable."""
+    importance.select("feature", "importance").write.mode("overwrite").parquet(f"{path}/baseline/since={since}")
+
+
+def read_baseline(spark: SparkSession, path: str, on: str | None = None) -> DataFrame:
+    """The baseline in force on a day (default: the newest one): feature, importance."""
+    every = spark.read.parquet(f"{path}/baseline").withColumn("since", F.to_date("since"))
+    if on is not None:
+        every = every.where(F.col("since") <= F.lit(on).cast("date"))
+    newest = every.agg(F.max("since")).scalar()
+    return every.where(F.col("since") == newest).select("feature", "importance")
+
+
+def record_drift(current: DataFrame, path: str, renew_on: Sequence[str] = ()) -> DataFrame:
+    """Compare ``current`` (date, feature, importance) with the newest baseline, add the scores to the history, return them.
+
+    If the last of these days has a severity named in ``renew_on``, its importances become the baseline from then on.
+    """
+    spark = current.sparkSession
+    baseline = read_baseline(spark, path)
+    scores = cut_lineage(drift_summary(importance_drift(baseline, current, keys=["date"]), keys=["date"]).select("date", "drift_score", "severity"))
+    append_drift(scores, path)
+    last = scores.orderBy(F.desc("date")).first()
+    if last is not None and last.severity in renew_on:
+        save_baseline(current.where(F.col("date") == F.lit(last.date)), path, str(last.date))
+    return scores
+
+
 def importance_trend(history: DataFrame, window: int = 10) -> DataFrame:
     """The last ``window`` importances of each feature from a history (date, feature, importance)."""
     stamped = history.withColumn("_at", F.col("date").cast("timestamp"))

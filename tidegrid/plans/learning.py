@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -256,28 +256,70 @@ def direct_multi_horizon(
     return reduce(DataFrame.unionByName, [d[0] for d in done]), reduce(DataFrame.unionByName, [d[1] for d in done])
 
 
-def recursive_tree_forecast(
-    model: PipelineModel, df: DataFrame, lags: Sequence[int], horizon: int, column: str = "load", keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY
+def recursive_feature_forecast(
+    score: Callable[[DataFrame], DataFrame],
+    df: DataFrame,
+    make_features: Callable[[DataFrame], DataFrame],
+    depth: int,
+    horizon: int,
+    column: str = "load",
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    grid: Grid = HOURLY,
 ) -> DataFrame:
-    """Feed a fitted model with its own predictions: one pass per step over one row per series.
+    """Feed a model with its own predictions: one pass per step over one row per series.
 
-    ``lags`` are the only inputs (``<column>_lag_<k>h``); the state of a series is its last ``max(lags)`` values.
+    At each step ``make_features`` gets the rows (keys, ``ts`` of the step, ``history``: the last ``depth`` values, oldest
+    first, predictions included) and adds whatever the model reads: lags and rolling statistics of the history, calendar
+    columns of the timestamp, joined covariates.  ``score`` adds ``prediction``.  Series with fewer values are left out.
     """
-    depth = max(lags)
     recent = edge_rows(df, depth, keys, ts, grid, rank="_back")
-    state = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("o"), F.col(column).alias("v")))), lambda x: x["v"]
+    history = F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("o"), F.col(column).cast("double").alias("v")))), lambda x: x["v"]
     )
-    rows = recent.groupBy(*keys).agg(F.max(ts).alias(ts), state.alias("_state")).where(F.size("_state") == depth)
+    rows = recent.groupBy(*keys).agg(F.max(ts).alias("_from"), history.alias("_all")).where(F.size("_all") == depth)
     for step in range(1, horizon + 1):
-        inputs = rows.withColumns({f"{column}_lag_{k}h": F.element_at("_state", F.lit(-k)) for k in lags})
-        made = predict(model, inputs)
-        rows = made.withColumn("_state", F.concat("_state", F.array("prediction"))).select(*keys, ts, "_state")
+        at = F.timestamp_seconds(F.unix_seconds("_from") + F.lit(step * grid.step_seconds)).alias(ts)
+        inputs = make_features(rows.select(*keys, at, F.slice("_all", -depth, depth).alias("history"), "_from", "_all"))
+        rows = score(inputs).select(*keys, "_from", F.concat("_all", F.array(F.col("prediction").cast("double"))).alias("_all"))
         if step % 24 == 0 and step < horizon:
             rows = cut_lineage(rows)
-    out = rows.select(*keys, ts, F.posexplode(F.slice("_state", depth + 1, horizon)).alias("_pos", "y_pred"))
+    out = rows.select(*keys, "_from", F.posexplode(F.slice("_all", depth + 1, horizon)).alias("_pos", "y_pred"))
     step_no = F.col("_pos") + 1
-    return out.select(*keys, F.timestamp_seconds(F.unix_seconds(ts) + step_no * grid.step_seconds).alias(ts), step_no.alias("step"), "y_pred")
+    return out.select(*keys, F.timestamp_seconds(F.unix_seconds("_from") + step_no * grid.step_seconds).alias(ts), step_no.alias("step"), "y_pred")
+
+
+def recursive_tree_forecast(
+    model: PipelineModel, df: DataFrame, lags: Sequence[int], horizon: int, column: str = "load", keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY
+) -> DataFrame:
+    """The recursion for a model whose only inputs are lags (``<column>_lag_<k>h``)."""
+
+    def lagged(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"{column}_lag_{k}h": F.element_at("history", F.lit(-k)) for k in lags})
+
+    return recursive_feature_forecast(lambda d: predict(model, d), df, lagged, max(lags), horizon, column, keys, ts, grid)
+
+
+def isotonic_recalibration(
+    df: DataFrame, feature: str, sign: int, prediction: str = "prediction", label: str = "load", bins: int = 1000
+) -> DataFrame:
+    """Add ``recalibrated``: the prediction plus the difference that makes its mean monotone in ``feature``.
+
+    The mean prediction and the mean label per bin of the feature are compared; the isotonic fit of the label means
+    (rising for ``sign`` 1, falling for -1) replaces the prediction means.  Bins are equal parts of the feature's range, so
+    the fit sees ``bins`` rows at most, weighted by their counts.  Rows without the feature keep their prediction.
+    """
+    if sign not in (1, -1):
+        raise ValueError("sign must be 1 or -1")
+    span = df.agg(F.struct(F.min(feature).alias("lo"), F.max(feature).alias("hi"))).scalar()
+    part = F.least(F.floor(F.try_divide(F.col(feature) - F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo")) * bins), F.lit(bins - 1))
+    binned = df.withColumn("_span", span).withColumn("_bin", F.when(F.col(feature).isNotNull(), F.coalesce(part, F.lit(0))).cast("double"))
+    known = binned.where(F.col("_bin").isNotNull() & F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    means = known.groupBy("_bin").agg(F.avg(label).alias("_label"), F.avg(prediction).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_weight"))
+    fit = IsotonicRegression(featuresCol="_bin", labelCol="_label", weightCol="_weight", predictionCol="_fit", isotonic=sign > 0).fit(means)
+    shift = fit.transform(means).select("_bin", (F.col("_fit") - F.col("_mean")).alias("_shift"))
+    moved = F.col(prediction) + F.coalesce("_shift", F.lit(0.0))
+    return binned.join(shift, "_bin", "left").withColumn("recalibrated", moved).drop("_bin", "_span", "_shift")
 
 
 # --- linear models from sufficient statistics -------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from tidegrid.plans import importance as im
 from tidegrid.plans import narrative as nl
 from tidegrid.plans import whatif as wi
 from tidegrid.registry.common import hash32_sql, q6, query
+from tidegrid.session import cut_lineage, scratch_path
 from tidegrid.sources import views as v
 
 TERMS, BASE = v.MODEL_TERMS, v.MODEL_BASE
@@ -475,6 +476,18 @@ def _(spark, sf):
     return rounded(out.select("date", "drift_score", "severity"), ["drift_score"])
 
 
+# The table of the history: recorded in two parts, one of them twice, then read back.
+@query("drift_history_table", "phi", HISTORY + f" SELECT date, {q6('score')} AS drift_score, {SEVERITY_SQL} AS severity FROM history")
+def _(spark, sf):
+    baseline, daily = (cut_lineage(t) for t in _history(spark, sf))
+    path = scratch_path(spark, "drift")
+    im.save_baseline(baseline, path, "2024-01-01")
+    middle = F.lit("2024-01-15").cast("date")
+    for part in (daily.where(F.col("date") < middle), daily.where(F.col("date") >= middle), daily.where(F.col("date") >= middle)):
+        im.record_drift(part, path)
+    return rounded(im.read_drift_history(spark, path).select("date", "drift_score", "severity"), ["drift_score"])
+
+
 @query(
     "drift_history_summary",
     "phi",

@@ -73,6 +73,47 @@ def _(spark, sf):
     return ln.recursive_tree_forecast(model, v.load_hourly(spark, sf), (1, 24), 6)
 
 
+# A formula on lags, a rolling mean of the history and a calendar column, rolled forward.
+@query(
+    "recursive_feature_forecast",
+    "load_hourly",
+    f""", f AS (SELECT series_id, max(timestamp) AS t, list(load ORDER BY timestamp)[-24:] AS h, 0 AS step FROM load_hourly GROUP BY 1
+    UNION ALL SELECT series_id, t + INTERVAL 1 HOUR, list_append(h, 0.5 * h[-1] + 0.3 * list_avg(h[-3:]) + 0.1 * h[-24] + hour(t + INTERVAL 1 HOUR) * 0.2), step + 1
+        FROM f WHERE step < 48)
+    SELECT series_id, t AS timestamp, step, {q6('h[-1]', 4)} AS y_pred FROM f WHERE step > 0""",
+)
+def _(spark, sf):
+    def features(rows):
+        return rows.withColumns(
+            {
+                "load_lag_1h": F.element_at("history", -1),
+                "load_lag_24h": F.element_at("history", -24),
+                "rolling_3h_mean": F.aggregate(F.slice("history", -3, 3), F.lit(0.0), lambda a, x: a + x) / 3,
+                "hour": F.hour("timestamp"),
+            }
+        )
+
+    def formula(rows):
+        return rows.selectExpr("*", "0.5D * load_lag_1h + 0.3D * rolling_3h_mean + 0.1D * load_lag_24h + hour * 0.2D AS prediction")
+
+    out = ln.recursive_feature_forecast(formula, v.load_hourly(spark, sf), features, 24, 48)
+    return rounded(out, ["y_pred"], 4)
+
+
+# Labels are monotone in the bins of the feature by construction, so the isotonic fit gives back their means.
+@query(
+    "isotonic_recalibration",
+    "model_rows",
+    f"""SELECT floor(temperature / 5)::BIGINT AS cell, count(*) AS n, {q6('avg(2 * floor(temperature / 5) + 3)', 4)} AS mean_recalibrated
+    FROM model_rows GROUP BY 1""",
+)
+def _(spark, sf):
+    cell = F.floor(F.col("temperature") / 5)
+    rows = v.model_rows(spark, sf).select(cell.alias("cell"), (2 * cell + 3).cast("double").alias("load"), (F.col("humidity") / 10).alias("prediction"))
+    out = ln.isotonic_recalibration(rows, "cell", 1)
+    return rounded(out.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("recalibrated").alias("mean_recalibrated")), ["mean_recalibrated"], 4)
+
+
 @query(
     "linear_fit",
     "load_hourly weather",
@@ -202,6 +243,10 @@ def _(spark, sf):
         ),
         im.top_share(overall, 2).select(F.lit("share").alias("section"), F.lit("top 2").alias("item"), F.lit("").alias("feature"), F.col("top_share").alias("value")),
     ]
+    strongest = im.top_contributions(phi, 3).select(
+        F.lit("row").alias("section"), F.concat_ws(" ", "series_id", "timestamp", "rank").alias("item"), "feature", F.col("phi").alias("value")
+    )
+    parts.append(strongest)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
