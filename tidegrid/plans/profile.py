@@ -401,9 +401,14 @@ def source_summary(sources: Mapping[str, DataFrame], ts: str = TS) -> DataFrame:
 
 
 def profile_report(
-    df: DataFrame, covariates: Sequence[str], column: str = "load", keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY
+    df: DataFrame, covariates: Sequence[str], column: str = "load", keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY,
+    is_written: bool = False,
 ) -> DataFrame:
-    """All profile sections as one long table (keys, section, item, metric, value)."""
+    """All profile sections as one long table (keys, section, item, metric, value).
+
+    The sections read their columns from one written copy of the input (``is_written``: it is a plain table already).
+    """
+    df = df if is_written else settled(df, "profile")
 
     def section(name: str, part: DataFrame, item: str | None, metrics: Sequence[str]) -> DataFrame:
         label = F.col(item).cast("string") if item else F.lit("")
@@ -426,5 +431,12 @@ def profile_report(
         section("outliers_zscore", outliers_zscore(base, column, keys), None, ["n_outliers", "outlier_ratio"]),
         section("outliers_iqr", outliers_iqr(base, column, keys), None, ["n_outliers", "lower_bound", "upper_bound"]),
         section("correlation", load_weather_corr(df, covariates, column, keys), "column", ["correlation"]),
+        section("seasonality", seasonality(base, column, keys, ts).withColumn("at", F.concat_ws(" ", "grain", "bucket")), "at", ["mean", "std"]),
+        section("weekend", weekend_profile(base, column, keys, ts).withColumn("at", F.concat_ws(" ", "is_weekend", "hour")), "at", ["mean"]),
+        section("covariates", covariate_stats(df, covariates, keys), "column", ["mean", "std", "min", "max", "missing_ratio"]),
+        section("trend", linear_trend(df, covariates, column, keys), "column", ["slope", "intercept"]),
+        section("quality", quality_summary(data_quality(df, [column, *covariates], keys), keys), None, ["passed", "n_issues"]),
+        section("consistency", temporal_consistency(base, keys, ts, grid), None, ["n_duplicates", "n_gaps", "n_irregular", "usual_step_seconds"]),
+        section("acf", acf(base, column, keys=keys, ts=ts, grid=grid), "lag", ["acf"]),
     ]
     return reduce(DataFrame.unionByName, parts)

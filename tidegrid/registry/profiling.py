@@ -393,12 +393,36 @@ def _report_sql() -> str:
     add("outliers_iqr", "", "upper_bound", "max(hi)", "stats")
     for c in ("temperature", "humidity"):
         add("correlation", c, "correlation", f"corr(load, {c})")
+        for m, e in (("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"), ("max", "max({c})"), ("missing_ratio", "count(*) FILTER ({c} IS NULL) / count(*)")):
+            add("covariates", c, m, e.format(c=c))
+        add("trend", c, "slope", f"regr_slope(load, {c})")
+        add("trend", c, "intercept", f"regr_intercept(load, {c})")
+    grains = {"hour": "hour(timestamp)", "day_of_week": "isodow(timestamp) - 1", "month": "month(timestamp)"}
+    for grain, e in grains.items():
+        for m, value in (("mean", "avg(load)"), ("std", "stddev_samp(load)")):
+            parts.append(f"SELECT series_id, 'seasonality', '{grain} ' || ({e})::INT, '{m}', {q6(value)} FROM merged GROUP BY 1, {e}")
+    parts.append(f"SELECT series_id, 'weekend', (isodow(timestamp) >= 6)::INT || ' ' || hour(timestamp)::INT, 'mean', {q6('avg(load)')} FROM merged GROUP BY 1, 3")
+    issues = ["(count(*) < 8760)::INT", *[f"(count(*) FILTER ({c} IS NULL) / count(*) > 0.1)::INT" for c in ("load", "temperature", "humidity")]]
+    add("quality", "", "n_issues", " + ".join(issues))
+    add("quality", "", "passed", f"({' + '.join(issues)} = 0)::INT")
+    add("consistency", "", "n_duplicates", "count(*) - count(DISTINCT timestamp)")
+    add("consistency", "", "n_gaps", "(date_diff('hour', min(timestamp), max(timestamp)) + 1) - count(DISTINCT timestamp)")
+    for m, e in (("usual_step_seconds", "arg_min(step, -n * 1000000000 + step)"), ("n_irregular", "sum(n) - max(n)")):
+        add("consistency", "", m, e, "steps")
+    parts.append(f"""SELECT a.series_id, 'acf', k::INT::VARCHAR, 'acf', {q6('sum(a.d * b.d) / max(vv.v)')} FROM o a JOIN range(0, 169) t(k) ON true
+        JOIN o b ON b.series_id = a.series_id AND b.i = a.i - k JOIN vv ON vv.series_id = a.series_id GROUP BY a.series_id, k""")
     return (
         MERGED
         + f""", lags AS (SELECT series_id, load, {lag_cols} FROM load_hourly WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)),
         m AS (SELECT series_id, avg(load) AS m, stddev_pop(load) AS sd, quantile_cont(load, 0.25) AS q1,
             quantile_cont(load, 0.75) AS q3 FROM load_hourly GROUP BY 1),
-        stats AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM load_hourly JOIN m USING (series_id)) """
+        stats AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM load_hourly JOIN m USING (series_id)),
+        dd AS (SELECT series_id, epoch(timestamp)::BIGINT - epoch(lag(timestamp) OVER (PARTITION BY series_id ORDER BY timestamp))::BIGINT
+            AS step FROM load_hourly),
+        steps AS (SELECT series_id, step, count(*) AS n FROM dd WHERE step IS NOT NULL GROUP BY 1, 2),
+        o AS (SELECT series_id, load - avg(load) OVER (PARTITION BY series_id) AS d,
+            row_number() OVER (PARTITION BY series_id ORDER BY timestamp) AS i FROM load_hourly),
+        vv AS (SELECT series_id, sum(d * d) AS v FROM o GROUP BY 1) """
         + " UNION ALL ".join(parts)
     )
 
