@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegrid.llm.common import Scratch
+from tidegrid.llm.common import Scratch, setting
 
 #: The symbol that stands for a space, and the longest unit; longer runs without a space are cut there.
 SYMBOL = "▁"
 MAX_UNIT = 256
 #: Distinct units of a block dictionary: a block ends with the document that reaches them.
-BLOCK_UNITS = 300_000
+BLOCK_UNITS = 1_000_000
 #: Distinct units whose lattices are in one task.
 TASK_UNITS = 50_000
 #: The piece table is broadcast; a model with more pieces is refused.
@@ -74,7 +75,7 @@ def units(text: str, pattern: re.Pattern | None) -> list[str]:
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, their bytes plane by plane, compressed."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -82,11 +83,14 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-PARTS = "block long, id {id}, at binary, base int, units array<string>"
+PARTS = "block long, ids array<{id}>, at binary, base int, units array<string>"
 
 
 def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, block_units: int = BLOCK_UNITS) -> DataFrame:
-    """Documents as numbers of units (``at``), and rows with the ``units`` of a block, numbered from ``base``."""
+    """Documents of an Arrow batch as numbers of units, and rows with the ``units`` of a block, numbered from ``base``.
+
+    ``at`` holds the number of units of each of the documents ``ids``, then the numbers themselves.
+    """
     pattern = pieces.pattern if pieces.splits else None
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = PARTS.format(id=rows.schema["id"].dataType.simpleString())
@@ -94,23 +98,29 @@ def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, blo
     def run(batches):
         cut = re.compile(pattern, re.DOTALL) if pattern else None
         block, known = TaskContext.get().partitionId() << 32, {}
-        names = ["block", "id", "at", "base", "units"]
+
+        def row(kind, ids=None, at=None, base=None, words=None):
+            columns = [pa.array([block]), pa.array([ids], pa.list_(kind)), pa.array([at], pa.binary()), pa.array([base], pa.int32()), pa.array([words], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "at", "base", "units"])
 
         def dictionary(kind):
             words = list(known)
             for base in range(0, len(words), 2000):
-                part = [words[base : base + 2000]]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([base], pa.int32()), pa.array(part, pa.list_(pa.string()))], names=names)
+                yield row(kind, base=base, words=words[base : base + 2000])
 
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for i, text in enumerate(batch.column(1)):
-                at = [known.setdefault(u, len(known)) for u in units(text.as_py(), cut)]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), batch.column(0).slice(i, 1), pa.array([_packed(np.array(at, np.uint32))]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string()))], names=names)
-                if len(known) >= block_units:
-                    yield from dictionary(kind)
-                    block, known = block + 1, {}
+            numbers, sizes = [], []
+            for text in batch.column(1):
+                parts = units(text.as_py(), cut)
+                numbers += [known.setdefault(u, len(known)) for u in parts]
+                sizes.append(len(parts))
+            if sizes:
+                yield row(kind, ids=batch.column(0).to_pylist(), at=_packed(np.array(sizes + numbers, np.uint32)))
+            if len(known) >= block_units:
+                yield from dictionary(kind)
+                block, known = block + 1, {}
         if known:
             yield from dictionary(kind)
 
@@ -121,82 +131,102 @@ def unit_ids(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids): the best path of every distinct ``unit`` (not empty), by explode, equi-join, grouping and fold."""
     table = F.broadcast(pieces.table(distinct.sparkSession))
     n = F.char_length("unit")
-    at = distinct.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("i") + 1)))
-    parts = at.select("unit", "i", size.alias("l")).withColumn("piece", F.substr("unit", F.col("i"), F.col("l")))
-    # a character that is no piece has an edge too: its bytes
+    ends = distinct.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("e"))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("e"))))
+    parts = ends.select("unit", "e", size.alias("l")).withColumn("piece", F.substr("unit", F.col("e") - F.col("l") + 1, F.col("l")))
+    # a character that is no piece has an edge too, with its code point below zero: it becomes its bytes
     edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR l = 1")
-    edge = F.struct((F.col("i") + F.col("l") - 1).alias("e"), F.col("l"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.lowest)).alias("s"))
+    code = F.coalesce("id", -1 - F.ascii("piece"))
+    edge = F.struct("e", "l", code.alias("id"), F.coalesce("score", F.lit(pieces.lowest)).alias("s"))
     lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    start = F.expr("named_struct('best', array(0D), 'back', CAST(array(named_struct('l', 0, 'id', 0)) AS array<struct<l:int,id:int>>))")
+    # the best path to every place so far, as its score and ids; edges come by their end, the short ones first
+    start = F.expr("array(named_struct('t', 0D, 'ids', CAST(array() AS array<int>)))")
 
-    def step(a, x):
-        total = F.get(a["best"], x["e"] - x["l"]) + x["s"]
-        better = F.coalesce(total >= F.get(a["best"], x["e"]), F.lit(True))
-        best = F.concat(F.slice(a["best"], F.lit(1), x["e"]), F.array(total))
-        back = F.concat(F.slice(a["back"], F.lit(1), x["e"]), F.array(F.struct(x["l"].alias("l"), x["id"].alias("id"))))
-        return F.when(better, F.struct(best.alias("best"), back.alias("back"))).otherwise(a)
+    def step(best, x):
+        before, now = F.get(best, x["e"] - x["l"]), F.get(best, x["e"])
+        total = before["t"] + x["s"]
+        path = F.array(F.struct(total.alias("t"), F.concat(before["ids"], F.array(x["id"])).alias("ids")))
+        worse = F.coalesce(total < now["t"], F.lit(False))
+        return F.when(worse, best).otherwise(F.concat(F.slice(best, F.lit(1), x["e"]), path))
 
-    folded = lattice.select("unit", F.aggregate("edges", start, step, lambda a: a["back"]).alias("back"))
+    folded = lattice.select("unit", F.aggregate("edges", start, step, lambda best: F.element_at(best, -1)["ids"]).alias("ids"))
     bytes_of = F.array(*[F.lit(i) for i in pieces.byte_ids])
-    origin = F.struct((F.size("back") - 1).alias("e"), F.expr("CAST(array() AS array<int>)").alias("ids"))
 
-    def walk(a, _):
-        edge = F.get(F.col("back"), a["e"])
-        code = F.hex(F.encode(F.substr("unit", a["e"], F.lit(1)), "UTF-8"))
-        spelled = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(bytes_of, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        ids = F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(spelled)
-        return F.when(a["e"] > 0, F.struct((a["e"] - edge["l"]).alias("e"), F.concat(ids, a["ids"]).alias("ids"))).otherwise(a)
+    def spelled(x):
+        c = -1 - x
+        tail = lambda shift: F.shiftright(c, shift).bitwiseAND(63) + 128
+        one, two = F.array(c), F.array(F.shiftright(c, 6) + 192, tail(0))
+        three, four = F.array(F.shiftright(c, 12) + 224, tail(6), tail(0)), F.array(F.shiftright(c, 18) + 240, tail(12), tail(6), tail(0))
+        utf8 = F.when(c < 0x80, one).when(c < 0x800, two).when(c < 0x10000, three).otherwise(four)
+        return F.when(x >= 0, F.array(x)).otherwise(F.transform(utf8, lambda b: F.get(bytes_of, b)))
 
-    return folded.select("unit", F.aggregate(F.slice("back", F.lit(2), F.size("back")), origin, walk, lambda a: a["ids"]).alias("ids"))
+    whole = F.when(F.exists("ids", lambda x: x < 0), F.flatten(F.transform("ids", spelled))).otherwise(F.col("ids"))
+    return folded.select("unit", whole.alias("ids"))
 
 
-def _answers(batches):
-    """Encoded units of a partition, packed by block."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for block, at, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            held.setdefault(block, []).append((at, ids))
-    for block, found in held.items():
-        sizes = [len(ids) for _, ids in found]
-        numbers = np.array([len(found), *(at for at, _ in found), *sizes, *(i for _, ids in found for i in ids)], np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(numbers)])], names=["block", "answer"])
+def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``values`` that begin at ``starts``, one behind another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-def _assembled(surface: dict[int, bytes]):
+def _answers(batches):
+    """Encoded units of a partition, packed by block: count, steps between their numbers, sizes, ids."""
+    held = []
+    for batch in batches:
+        lists = batch.column(2)
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
+    if not held:
+        return
+    block, at, size, ids = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+    first, order = np.cumsum(size) - size, np.lexsort((at, block))
+    cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+    for part in np.split(order, cuts[1:]):
+        numbers = np.concatenate([[len(part)], np.diff(at[part], prepend=0), size[part], _ragged(ids, first[part], size[part])])
+        yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]]), pa.array([_packed(numbers)])], names=["block", "answer"])
+
+
+def _assembled(surface: dict[int, bytes], kind: pa.DataType):
     """Ids of a block's documents, and the digest of the text that they decode to."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        places, sizes, flat = [], [], []
+        none = np.zeros(0, np.int64)
+        places, sizes, flat = [none], [none], [none]
         for data in answers["answer"].to_pylist():
             numbers = _unpacked(data).astype(np.int64)
             n = numbers[0]
-            places.append(numbers[1 : n + 1])
+            places.append(np.cumsum(numbers[1 : n + 1]))
             sizes.append(numbers[n + 1 : 2 * n + 1])
             flat.append(numbers[2 * n + 1 :])
-        none = np.zeros(0, np.int64)
-        place, size, ids = (np.concatenate([none, *x]) for x in (places, sizes, flat))
-        first = np.empty(len(place), np.int64)
-        length = np.empty(len(place), np.int64)
+        place, size, ids = (np.concatenate(x) for x in (places, sizes, flat))
+        first, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
         first[place], length[place] = np.cumsum(size) - size, size
-        out, digests = [], []
-        for data in docs["at"].to_pylist():
-            at = _unpacked(data).astype(np.int64)
-            n = length[at]
-            ends = np.cumsum(n)
-            found = ids[np.repeat(first[at] - (ends - n), n) + np.arange(int(n.sum()))] if len(at) else none
-            out.append(pa.array(found, pa.int32()))
-            digests.append(hashlib.sha256(decoded(found.tolist(), surface)).hexdigest())
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
-        return pa.table({"id": docs["id"], "n_pieces": pa.array([len(x) for x in out], pa.int64()), "ids": lists, "decoded_sha256": pa.array(digests, pa.string())})
+        names, counts, found, digests = [], [none], [none], []
+        for own, data in zip(docs["ids"].to_pylist(), docs["at"].to_pylist(), strict=True):
+            numbers = _unpacked(data).astype(np.int64)
+            n_units, at = numbers[: len(own)], numbers[len(own) :]
+            pieces = _ragged(ids, first[at], length[at])
+            ends = np.concatenate([[0], np.cumsum(length[at])])[np.concatenate([[0], np.cumsum(n_units)])]
+            texts = list(map(surface.get, pieces.tolist()))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                digests.append(hashlib.sha256(_without_first_space(b"".join(filter(None, texts[a:b])))).hexdigest())
+            names += own
+            counts.append(np.diff(ends))
+            found.append(pieces)
+        n = np.concatenate(counts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+        return pa.table({"id": pa.array(names, kind), "n_pieces": pa.array(n, pa.int64()), "ids": lists, "decoded_sha256": pa.array(digests, pa.string())})
 
     return run
 
 
+def _without_first_space(text: bytes) -> bytes:
+    return text[1:] if text[:1] == b" " else text
+
+
 def decoded(ids: list[int], surface: dict[int, bytes]) -> bytes:
     """UTF-8 text of ids: pieces with spaces for the symbol, without the first one; ids that have no text are left out."""
-    text = b"".join([surface.get(i, b"") for i in ids])
-    return text[1:] if text[:1] == b" " else text
+    return _without_first_space(b"".join([surface.get(i, b"") for i in ids]))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_units: int = BLOCK_UNITS) -> DataFrame:
@@ -205,18 +235,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no pieces.  Decoding gives the text back, except that the space symbol itself comes back as a
     space, as in the library.  Other columns are ignored.
     """
-    pieces, scratch = Pieces(path), Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    pieces, scratch = Pieces(path), Scratch(spark)
     parts = scratch.write(block_parts(docs, pieces, id_col, text_col, block_units), "parts")
-    asked = parts.where("units IS NOT NULL").select("block", "base", F.posexplode("units").alias("p", "unit")).select("block", (F.col("base") + F.col("p")).alias("at"), "unit")
-    total = parts.where("units IS NOT NULL").agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
-    tasks = max(1, math.ceil(total / TASK_UNITS))
-    dealt = asked.repartition(tasks, "unit")
-    distinct = asked.select("unit").repartition(tasks, "unit").distinct()
+    words = parts.where("units IS NOT NULL")
+    asked = words.select("block", "base", F.posexplode("units").alias("p", "unit")).select("block", (F.col("base") + F.col("p")).alias("at"), "unit")
+    total = words.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
+    dealt = asked.repartition(max(1, math.ceil(total / TASK_UNITS)), "unit")
+    # the block and place are asked for too, so that this is the same exchange as the join's other side
+    distinct = dealt.groupBy("unit").agg(F.min("block").alias("b"), F.min("at").alias("a")).where("b >= 0 AND a >= 0").select("unit")
     answers = dealt.join(unit_ids(distinct, pieces).hint("shuffle_hash"), "unit").select("block", "at", "ids")
-    packed = scratch.write(answers.mapInArrow(_answers, "block long, answer binary"), "answers")
-    rows = parts.where("units IS NULL").select("block", "id", "at")
-    id_type = rows.schema["id"].dataType.simpleString()
-    found = rows.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_assembled(pieces.surface), f"id {id_type}, n_pieces long, ids array<int>, decoded_sha256 string")
+    # a task has a bounded number of units, whose edges fit in memory: no sort
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
+        packed = scratch.write(answers.mapInArrow(_answers, "block long, answer binary"), "answers")
+    rows = parts.where("units IS NULL").select("block", "ids", "at")
+    id_type = docs.schema[id_col].dataType
+    run = _assembled(pieces.surface, to_arrow_type(id_type))
+    found = rows.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, f"id {id_type.simpleString()}, n_pieces long, ids array<int>, decoded_sha256 string")
     return found.withColumnRenamed("id", id_col)
 
 
