@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from conftest import as_set
 from pyspark.sql import functions as F
 
 from tidegrid.plans import importance as im
@@ -127,6 +128,16 @@ def test_constraints(spark):
     assert got == {"temperature": 1, "temperature_lag_1h": -1, "hour": 0}
 
 
+def test_texts_need_no_shuffle_behind_the_scores(rows):
+    wide = im.linear_shap(rows, {"a": 2.0, "b": -1.0, "c": 0.5}, 1.0, background=rows.limit(5), long=False)
+    long = im.linear_shap(rows, {"a": 2.0, "b": -1.0, "c": 0.5}, 1.0, background=rows.limit(5))
+    names = ["series_id", "timestamp", "rank", "feature", "value", "phi"]
+    assert as_set(im.top_contributions(wide, 2).select(names)) == as_set(im.top_contributions(long, 2).select(names))
+    assert as_set(nl.explain_rows(wide)) == as_set(nl.explain_rows(long))
+    plan = nl.explain_rows(wide)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 0
+
+
 def test_drift_history_is_a_table_with_baselines(spark):
     path = scratch_path(spark, "drift")
     day = lambda d, a, b: [(d, "a", a), (d, "b", b)]

@@ -27,8 +27,13 @@ def linear_shap(
     intercept: float = 0.0,
     background: DataFrame | None = None,
     keys: Sequence[str] = ROW,
+    long: bool = True,
 ) -> DataFrame:
-    """Exact attributions of a linear model: weight times distance from the background mean."""
+    """Exact attributions of a linear model: weight times distance from the background mean.
+
+    ``long`` gives a row per feature; otherwise a row keeps its contributions as the array ``parts``, strongest first, which
+    the texts and ``top_contributions`` read without a shuffle.
+    """
     means = (df if background is None else background).agg(F.struct(*[F.avg(f).alias(f) for f in terms])).scalar()
     rows = df.select(*keys, *terms).withColumn("_mean", means)
     base = linear_score(terms, intercept, {f: F.col("_mean")[f] for f in terms})
@@ -43,7 +48,16 @@ def linear_shap(
         ]
     )
     scored = rows.select(*keys, linear_score(terms, intercept).alias("prediction"), base.alias("base_value"), parts.alias("_p"))
-    return scored.select(*keys, "prediction", "base_value", F.inline("_p"))
+    if long:
+        return scored.select(*keys, "prediction", "base_value", F.inline("_p"))
+    return scored.select(*keys, "prediction", "base_value", strongest_first("_p").alias("parts"))
+
+
+def strongest_first(parts: str) -> Column:
+    """An array of (feature, value, phi) by falling size of phi, then by feature, with that order in front."""
+    return F.array_sort(
+        F.transform(parts, lambda x: F.struct((-F.abs(x["phi"])).alias("o"), x["feature"].alias("feature"), x["value"].alias("value"), x["phi"].alias("phi")))
+    )
 
 
 def global_importance(phi: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -85,7 +99,10 @@ def importance_heatmap(phi: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_contributions(phi: DataFrame, n: int = 5, keys: Sequence[str] = ROW) -> DataFrame:
-    """The ``n`` strongest contributions of each explained row (a row has one entry per feature)."""
+    """The ``n`` strongest contributions of each explained row (a row has one entry per feature, or the array ``parts``)."""
+    if "parts" in phi.columns:
+        each = phi.select(*keys, F.posexplode(F.slice("parts", 1, n)).alias("_i", "_x"))
+        return each.select(*keys, (F.col("_i") + 1).alias("rank"), "_x.feature", "_x.value", "_x.phi", F.abs("_x.phi").alias("abs_phi"))
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("phi")), "feature")
     ranked = phi.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return ranked.select(*keys, "rank", "feature", "value", "phi", F.abs("phi").alias("abs_phi"))

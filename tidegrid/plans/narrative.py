@@ -93,7 +93,12 @@ def value_text(feature: Column, value: Column, unit: str) -> Column:
 
 
 def with_contributions(phi: DataFrame, keys: Sequence[str] = ROW, n: int = 5) -> DataFrame:
-    """One row per explained row with ``parts``: its ``n`` strongest contributions, strongest first."""
+    """One row per explained row with ``parts``: its ``n`` strongest contributions, strongest first.
+
+    A table that has ``parts`` already stays where it is; a long one is grouped.
+    """
+    if "parts" in phi.columns:
+        return phi.withColumn("parts", F.slice("parts", 1, n))
     part = F.struct(
         (-F.abs("phi")).alias("o"), F.col("feature").alias("feature"), F.col("value").alias("value"), F.col("phi").alias("phi")
     )
@@ -166,7 +171,8 @@ def summary_report(phi: DataFrame, group: Sequence[str] = ("series_id",), ts: st
         F.stddev_pop("prediction").alias("std"),
         F.max_by("parts", F.struct(F.col("prediction"), -F.unix_seconds(ts))).alias("peak_parts"),
     )
-    importance = phi.groupBy(*group, "feature").agg(F.avg(F.abs("phi")).alias("importance"))
+    long = phi.select(*group, F.inline("parts")) if "parts" in phi.columns else phi
+    importance = long.groupBy(*group, "feature").agg(F.avg(F.abs("phi")).alias("importance"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), F.col("feature").alias("f"))))
     drivers = importance.groupBy(*group).agg(F.slice(ranked, 1, 5).alias("drivers"))
     lines = F.concat(

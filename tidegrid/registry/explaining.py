@@ -23,8 +23,8 @@ def score(df):
 SPLIT = "TIMESTAMP '2024-01-16'"
 
 
-def phi(spark, sf):
-    return im.linear_shap(v.model_rows(spark, sf), TERMS, BASE)
+def phi(spark, sf, long=True):
+    return im.linear_shap(v.model_rows(spark, sf), TERMS, BASE, long=long)
 
 
 BASE_SQL = "50 + 0.6 * m1 + 0.2 * m24 + 1.5 * mt - 0.3 * mh"
@@ -112,7 +112,7 @@ RANKED = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, ti
     {q6('abs(phi)')} AS abs_phi FROM ranked WHERE rank <= 3""",
 )
 def _(spark, sf):
-    return rounded(im.top_contributions(phi(spark, sf), 3), ["value", "phi", "abs_phi"])
+    return rounded(im.top_contributions(phi(spark, sf, False), 3), ["value", "phi", "abs_phi"])
 
 
 def model_importance(spark, sf):
@@ -317,7 +317,7 @@ def bullets_sql(sign: str, word: str, title: str) -> str:
     FROM parts JOIN scored USING (series_id, timestamp), b""",
 )
 def _(spark, sf):
-    return nl.explain_rows(phi(spark, sf))
+    return nl.explain_rows(phi(spark, sf, False))
 
 
 @query(
@@ -333,7 +333,7 @@ def _(spark, sf):
     FROM parts JOIN scored USING (series_id, timestamp)""",
 )
 def _(spark, sf):
-    return nl.alert_rows(phi(spark, sf), 120.0)
+    return nl.alert_rows(phi(spark, sf, False), 120.0)
 
 
 @query(
@@ -358,7 +358,7 @@ def _(spark, sf):
     FROM s JOIN d USING (series_id) JOIN pl USING (series_id)""",
 )
 def _(spark, sf):
-    return nl.summary_report(phi(spark, sf))
+    return nl.summary_report(phi(spark, sf, False))
 
 
 def halves(spark, sf):
