@@ -36,8 +36,11 @@ def test_agrees_with_duckdb(spark, con, name):
 
 
 def test_every_text_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
-    assert not [n for n in entry.queries() if "pipeline" in n or re.match(r"op\d", n)]
+    queries = entry.queries()
+    assert set(ORACLES) <= set(queries)
+    # numbered queries and the pipeline come from optional modules, which may be absent
+    numbered = {fn.__module__ for n, fn in queries.items() if n == "pipeline" or re.match(r"op\d", n)}
+    assert numbered in (set(), {"tidegrid.llm.registry", "corpus_pipeline"})
 
 
 @pytest.mark.parametrize("module", PLANNED)
