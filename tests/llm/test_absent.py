@@ -1,0 +1,19 @@
+from __future__ import annotations
+
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).parents[2]
+
+
+def test_entry_works_without_the_optional_modules():
+    """Their absence leaves the other queries; nothing else imports them."""
+    code = "import sys\nsys.modules['tidegrid.llm'] = sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nprint(sorted(n for n in e.queries() if n[:2] == 'op' or n == 'pipeline'), len(e.queries()) > 150)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    assert out.strip().endswith("[] True")
+
+
+def test_nothing_else_imports_the_subpackage():
+    files = [p for p in (ROOT / "tidegrid").rglob("*.py") if "llm" not in p.parts] + [ROOT / "bench.py"]
+    assert not [p for p in files if "tidegrid.llm" in p.read_text()]
