@@ -3,7 +3,6 @@ from __future__ import annotations
 import collections
 import math
 import random
-import re
 import sys
 from pathlib import Path
 
@@ -252,12 +251,13 @@ def test_perspectives(spark, part):
 
 
 PIECES = sentencepiece_lattice.Pieces(MODEL)
+CUTTER = sentencepiece_lattice.Cutter(PIECES.pattern, PIECES.alone)
 
 
 @pytest.mark.parametrize("block", [3, 300_000])
 def test_lattice(spark, odd, odd_rows, nothing, block):
     found = sentencepiece_lattice.encode(odd, MODEL, block_units=block)
-    cut = re.compile(PIECES.pattern, re.DOTALL)
+    cut = CUTTER
     want = []
     for i, t in odd_rows:
         ids = [p for u in sentencepiece_lattice.units(t or "", cut) for p in brute.viterbi(u, PIECES)]
@@ -271,8 +271,8 @@ def test_lattice(spark, odd, odd_rows, nothing, block):
 @given(st.lists(st.sampled_from([b for b in BITS if b != "▁"]), max_size=14).map("".join))
 @settings(max_examples=200, deadline=None)
 def test_units_decode_to_the_text(text):
-    cut = re.compile(PIECES.pattern, re.DOTALL)
-    parts = sentencepiece_lattice.units(text, cut)
+    parts = sentencepiece_lattice.units(text, CUTTER)
+    assert parts == (CUTTER.pattern.findall("▁" + text.replace(" ", "▁")) if text else [])
     ids = [p for u in parts for p in brute.viterbi(u, PIECES)]
     assert sentencepiece_lattice.decoded(ids, PIECES.surface).decode() == text
     # no piece of the vocabulary crosses a cut: the whole text has the same best path
@@ -283,4 +283,4 @@ def test_units_decode_to_the_text(text):
 
 
 def test_long_units_are_cut():
-    assert [len(u) for u in sentencepiece_lattice.units("a" * 600, re.compile(PIECES.pattern))] == [256, 256, 89]
+    assert [len(u) for u in sentencepiece_lattice.units("a" * 600, CUTTER)] == [256, 256, 89]

@@ -51,17 +51,18 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``df`` as a table, in folders of its own for each value of ``by``."""
         path = scratch_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         # shuffle files of finished jobs go when the driver's objects for them are collected
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, table: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
+    def drop(self, table: DataFrame, folder: str = "") -> None:
+        """Delete a table, or one ``folder`` of it, that no later step reads."""
+        for name in {n for f in table.inputFiles() if (n := f.rpartition("/")[0]).endswith(folder)}:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

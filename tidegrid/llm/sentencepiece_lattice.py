@@ -56,18 +56,45 @@ class Pieces:
         group = "".join(map(re.escape, joined))
         # a symbol behind another character starts a unit; so does a character of no longer piece
         self.pattern = f"{SYMBOL}*[{group}]+|{SYMBOL}+|[^{group}{SYMBOL}]" if group else f"{SYMBOL}+|[^{SYMBOL}]"
+        self.alone = f"[^{group}{SYMBOL} ]"
         self.splits = not any(SYMBOL in p.lstrip(SYMBOL) for p, _, _ in self.rows)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
 
-def units(text: str, pattern: re.Pattern | None) -> list[str]:
-    """The parts of a text, with a symbol in front and for every space, that are encoded each on its own."""
+class Cutter:
+    """Cuts texts, with a symbol in front and for every space, into the parts that are encoded each on its own."""
+
+    def __init__(self, pieces_pattern: str | None, alone: str | None):
+        self.pattern = re.compile(pieces_pattern, re.DOTALL) if pieces_pattern else None
+        self.alone = re.compile(alone) if alone else None
+
+    def parts(self, text: str) -> list[str]:
+        if not self.pattern:
+            return [SYMBOL + text.replace(" ", SYMBOL)]
+        if "  " in text or SYMBOL in text or "\0" in text or text[:1] == " " or text[-1:] == " ":
+            return self.pattern.findall(SYMBOL + text.replace(" ", SYMBOL))
+        # the usual case, without the pattern: single spaces between words; characters of no longer piece stand alone
+        marked = self.alone.sub("\0\\g<0>\0", text).replace(" ", f"\0{SYMBOL}")
+        if "\0" not in marked:
+            return [SYMBOL + marked]
+        return list(filter(None, (SYMBOL + marked).split("\0")))
+
+
+class Numbers(dict):
+    """Numbers strings as they come."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+def units(text: str, cutter: Cutter) -> list[str]:
+    """The parts of a text that are encoded each on its own; an empty text has none."""
     if not text:
         return []
-    whole = SYMBOL + text.replace(" ", SYMBOL)
-    parts = pattern.findall(whole) if pattern else [whole]
+    parts = cutter.parts(text)
     if max(map(len, parts)) <= MAX_UNIT:
         return parts
     return [p[i : i + MAX_UNIT] for p in parts for i in range(0, len(p), MAX_UNIT)]
@@ -83,7 +110,36 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-PARTS = "block long, ids array<{id}>, at binary, base int, units array<string>"
+PARTS = "kind int, block long, ids array<{id}>, at binary, base int, units array<string>"
+DOCUMENTS, UNITS = 0, 1
+#: Bits of a number within a block: block and number are one long.
+AT_BITS = 31
+
+
+class _Block:
+    """Documents whose units share a dictionary."""
+
+    def __init__(self, number: int):
+        self.number, self.known, self.batches = number, Numbers(), []
+
+    def rows(self, kind: pa.DataType):
+        """The documents by batch, and the dictionary; the most frequent units get the smallest numbers."""
+
+        def row(what, ids=None, at=None, base=None, words=None):
+            columns = [pa.array([what], pa.int32()), pa.array([self.number]), pa.array([ids], pa.list_(kind)), pa.array([at], pa.binary()), pa.array([base], pa.int32()), pa.array([words], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "block", "ids", "at", "base", "units"])
+
+        count = np.zeros(len(self.known), np.int64)
+        for _, _, numbers in self.batches:
+            count += np.bincount(numbers, minlength=len(count))
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        for ids, sizes, numbers in self.batches:
+            yield row(DOCUMENTS, ids=ids, at=_packed(np.concatenate([sizes, rank[numbers]])))
+        words = list(self.known)
+        for base in range(0, len(words), 2000):
+            yield row(UNITS, base=base, words=[words[i] for i in order[base : base + 2000]])
 
 
 def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, block_units: int = BLOCK_UNITS) -> DataFrame:
@@ -91,38 +147,27 @@ def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, blo
 
     ``at`` holds the number of units of each of the documents ``ids``, then the numbers themselves.
     """
-    pattern = pieces.pattern if pieces.splits else None
+    pattern, alone = (pieces.pattern, pieces.alone) if pieces.splits else (None, None)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = PARTS.format(id=rows.schema["id"].dataType.simpleString())
 
     def run(batches):
-        cut = re.compile(pattern, re.DOTALL) if pattern else None
-        block, known = TaskContext.get().partitionId() << 32, {}
-
-        def row(kind, ids=None, at=None, base=None, words=None):
-            columns = [pa.array([block]), pa.array([ids], pa.list_(kind)), pa.array([at], pa.binary()), pa.array([base], pa.int32()), pa.array([words], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "at", "base", "units"])
-
-        def dictionary(kind):
-            words = list(known)
-            for base in range(0, len(words), 2000):
-                yield row(kind, base=base, words=words[base : base + 2000])
-
-        kind = None
+        cutter, block, kind = Cutter(pattern, alone), None, None
         for batch in batches:
             kind = batch.column(0).type
+            block = block or _Block(TaskContext.get().partitionId() << 12)
             numbers, sizes = [], []
             for text in batch.column(1):
-                parts = units(text.as_py(), cut)
-                numbers += [known.setdefault(u, len(known)) for u in parts]
+                parts = units(text.as_py(), cutter)
+                numbers += map(block.known.__getitem__, parts)
                 sizes.append(len(parts))
             if sizes:
-                yield row(kind, ids=batch.column(0).to_pylist(), at=_packed(np.array(sizes + numbers, np.uint32)))
-            if len(known) >= block_units:
-                yield from dictionary(kind)
-                block, known = block + 1, {}
-        if known:
-            yield from dictionary(kind)
+                block.batches.append((batch.column(0).to_pylist(), np.array(sizes, np.uint32), np.array(numbers, np.uint32)))
+            if len(block.known) >= block_units:
+                yield from block.rows(kind)
+                block = _Block(block.number + 1)
+        if block:
+            yield from block.rows(kind)
 
     return rows.mapInArrow(run, schema)
 
@@ -174,12 +219,13 @@ def _answers(batches):
     """Encoded units of a partition, packed by block: count, steps between their numbers, sizes, ids."""
     held = []
     for batch in batches:
-        lists = batch.column(2)
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
+        lists = batch.column(1)
+        held.append((batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
     if not held:
         return
-    block, at, size, ids = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
-    first, order = np.cumsum(size) - size, np.lexsort((at, block))
+    key, size, ids = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+    first, order = np.cumsum(size) - size, np.argsort(key, kind="stable")
+    block, at = key >> AT_BITS, key & ((1 << AT_BITS) - 1)
     cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
     for part in np.split(order, cuts[1:]):
         numbers = np.concatenate([[len(part)], np.diff(at[part], prepend=0), size[part], _ragged(ids, first[part], size[part])])
@@ -199,22 +245,28 @@ def _assembled(surface: dict[int, bytes], kind: pa.DataType):
             sizes.append(numbers[n + 1 : 2 * n + 1])
             flat.append(numbers[2 * n + 1 :])
         place, size, ids = (np.concatenate(x) for x in (places, sizes, flat))
+        ids = ids.astype(np.int32)
         first, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
         first[place], length[place] = np.cumsum(size) - size, size
-        names, counts, found, digests = [], [none], [none], []
-        for own, data in zip(docs["ids"].to_pylist(), docs["at"].to_pylist(), strict=True):
+        # every unit is decoded once, from its ids
+        own = list(map(surface.get, ids.tolist()))
+        texts = [b""] * len(place)
+        for k, a, b in zip(place.tolist(), (np.cumsum(size) - size).tolist(), np.cumsum(size).tolist(), strict=True):
+            texts[k] = b"".join(filter(None, own[a:b]))
+        del own, places, sizes, flat
+        names, counts, found, digests = [], [none], [none.astype(np.int32)], []
+        for names_here, data in zip(docs["ids"].to_pylist(), docs["at"].to_pylist(), strict=True):
             numbers = _unpacked(data).astype(np.int64)
-            n_units, at = numbers[: len(own)], numbers[len(own) :]
-            pieces = _ragged(ids, first[at], length[at])
-            ends = np.concatenate([[0], np.cumsum(length[at])])[np.concatenate([[0], np.cumsum(n_units)])]
-            texts = list(map(surface.get, pieces.tolist()))
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                digests.append(hashlib.sha256(_without_first_space(b"".join(filter(None, texts[a:b])))).hexdigest())
-            names += own
-            counts.append(np.diff(ends))
-            found.append(pieces)
-        n = np.concatenate(counts)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+            borders, at = np.concatenate([[0], np.cumsum(numbers[: len(names_here)])]), numbers[len(names_here) :]
+            decoded_units = list(map(texts.__getitem__, at.tolist()))
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                digests.append(hashlib.sha256(_without_first_space(b"".join(decoded_units[a:b]))).hexdigest())
+            names += names_here
+            counts.append(np.diff(np.concatenate([[0], np.cumsum(length[at])])[borders]))
+            found.append(_ragged(ids, first[at], length[at]))
+        n, flat = np.concatenate(counts), pa.array(np.concatenate(found))
+        del found, texts
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
         return pa.table({"id": pa.array(names, kind), "n_pieces": pa.array(n, pa.int64()), "ids": lists, "decoded_sha256": pa.array(digests, pa.string())})
 
     return run
@@ -237,18 +289,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     pieces, scratch = Pieces(path), Scratch(spark)
-    parts = scratch.write(block_parts(docs, pieces, id_col, text_col, block_units), "parts")
-    words = parts.where("units IS NOT NULL")
-    asked = words.select("block", "base", F.posexplode("units").alias("p", "unit")).select("block", (F.col("base") + F.col("p")).alias("at"), "unit")
+    parts = scratch.write(block_parts(docs, pieces, id_col, text_col, block_units), "parts", "kind")
+    words = parts.where(F.col("kind") == UNITS)
+    number = F.shiftleft("block", AT_BITS).bitwiseOR((F.col("base") + F.col("p")).cast("long"))
+    asked = words.select("block", "base", F.posexplode("units").alias("p", "unit")).select(number.alias("key"), "unit")
     total = words.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
     dealt = asked.repartition(max(1, math.ceil(total / TASK_UNITS)), "unit")
-    # the block and place are asked for too, so that this is the same exchange as the join's other side
-    distinct = dealt.groupBy("unit").agg(F.min("block").alias("b"), F.min("at").alias("a")).where("b >= 0 AND a >= 0").select("unit")
-    answers = dealt.join(unit_ids(distinct, pieces).hint("shuffle_hash"), "unit").select("block", "at", "ids")
+    # the key is asked for too, so that this is the same exchange as the join's other side
+    distinct = dealt.groupBy("unit").agg(F.min("key").alias("k")).where("k >= 0").select("unit")
+    answers = dealt.join(unit_ids(distinct, pieces).hint("shuffle_hash"), "unit").select("key", "ids")
     # a task has a bounded number of units, whose edges fit in memory: no sort
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
         packed = scratch.write(answers.mapInArrow(_answers, "block long, answer binary"), "answers")
-    rows = parts.where("units IS NULL").select("block", "ids", "at")
+    scratch.drop(parts, f"kind={UNITS}")
+    rows = parts.where(F.col("kind") == DOCUMENTS).select("block", "ids", "at")
     id_type = docs.schema[id_col].dataType
     run = _assembled(pieces.surface, to_arrow_type(id_type))
     found = rows.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, f"id {id_type.simpleString()}, n_pieces long, ids array<int>, decoded_sha256 string")
