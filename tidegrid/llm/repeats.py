@@ -99,14 +99,16 @@ def repeated_runs(rows: DataFrame, kind: type, window: int, gram: int, scratch:
     ``runs`` has copies (how often the run stands anywhere), sharers (distinct runs with its anchor hash) and one place.
     """
     found = scratch.write(text_runs(rows, kind, window, gram), "runs")
-    often = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # a written side: a join with an aggregate on the same key could not split the rows of a hot key
+    often = scratch.write(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "often")
     places = scratch.write(found.join(often, "key"), "places")
     scratch.drop(found)
+    scratch.drop(often)
     one = places.groupBy("key", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("_d", "_h", "first")).alias("at"), F.first("n").alias("n"), F.first("anchor").alias("anchor")
     )
     distinct = scratch.write(one.select("key", "digest", "copies", "n", "anchor", "at.*"), "distinct")
-    sharers = distinct.groupBy("key").agg(F.count("*").alias("sharers"))
+    sharers = scratch.write(distinct.groupBy("key").agg(F.count("*").alias("sharers")), "sharers")
     return places, distinct.join(sharers, "key")
 
 
