@@ -12,6 +12,8 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import row_key, written
+
 # The base patterns and their order of listing.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -79,8 +81,11 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The random strings are digests of the documents in three spellings, and the values that the base patterns find there.
     """
-    drawn = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    drawn = drawn.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(limit)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    keyed = rows.select("text", *row_key("id", "text"))
+    # the draw moves keys only; at most ``limit`` of them are broadcast
+    keys = keyed.select("_d", "_h").orderBy(F.xxhash64("_d"), "_h").limit(limit).distinct()
+    drawn = written(keyed.join(F.broadcast(keys), ["_d", "_h"]).limit(limit).select("text"), "sample")
     plain = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, pattern, " ")
