@@ -100,14 +100,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of every component, the one with the smallest id; all columns as they were.
-
-    Of different texts with that id the one with the least hash stays; null ids are chosen last.  Whole copies of the row that
-    stays are not told apart and stay too: remove them with exact dedup first.
-    """
-    prints = written(fingerprints(docs, id_col, text_col, size), "simhash")
-    rows = prints.join(_rooted(prints, max_bits), "fp")
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the row of the smallest id of every ``root``; ``rows`` (_d, _h, id, root) has the keys of all."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "_d", "_h")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     gone = rows.join(first, "root").where((F.col("first._d") != F.col("_d")) | (F.col("first._h") != F.col("_h"))).select("_d", "_h").distinct()
@@ -116,3 +110,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d, h = unused(docs, "_key_d"), unused(docs, "_key_h")
     marked = docs.select("*", key[0].alias(d), key[1].alias(h))
     return marked.join(gone, (marked[d] == gone["_d"]) & (marked[h] == gone["_h"]), "left_anti").drop(d, h)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one document of every component, the one with the smallest id; all columns as they were.
+
+    Of different texts with that id the one with the least hash stays; null ids are chosen last.  Whole copies of the row that
+    stays are not told apart and stay too: remove them with exact dedup first.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, size), "simhash")
+    return keep_first(docs, prints.join(_rooted(prints, max_bits), "fp"), id_col, text_col)
