@@ -2,7 +2,8 @@
 
 Texts are cut into units that no piece of the vocabulary crosses.  Of the distinct units all substrings of bounded length are
 exploded and equi-joined to the piece table; the matches of a unit are the edges of its lattice, grouped back and folded to
-the best path with ``aggregate``.  Documents travel as numbers of units in block dictionaries, not as text.
+the best path with ``aggregate``.  Longer units, which nothing cuts either, are folded one character after another with back
+pointers, in time and memory that follow their length.  Documents travel as numbers of units in block dictionaries, not as text.
 
 The path has the largest sum of piece scores; of equal sums the one whose last piece is longer, seen from every place.  A BPE
 model's own merge order can choose other pieces; decoding gives the same text.
@@ -24,11 +25,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidegrid.llm.common import Scratch, setting
 
-#: The symbol that stands for a space, and the longest unit; longer runs without a space are cut there.
+#: The symbol that stands for a space, and the longest unit whose lattice is exploded.
 SYMBOL = "▁"
 MAX_UNIT = 256
-#: Distinct units of a block dictionary: a block ends with the document that reaches them.
+#: Distinct units of a block dictionary and their characters: a block ends with the document that reaches either.
 BLOCK_UNITS = 1_000_000
+BLOCK_CHARACTERS = 32_000_000
+#: Units and characters of one row of a dictionary, unless a unit is longer.
+ROW_UNITS, ROW_CHARACTERS = 2000, 1_000_000
 #: Distinct units whose lattices are in one task.
 TASK_UNITS = 50_000
 #: The piece table is broadcast; a model with more pieces is refused.
@@ -83,21 +87,19 @@ class Cutter:
 
 
 class Numbers(dict):
-    """Numbers strings as they come."""
+    """Numbers strings as they come, and counts their characters."""
+
+    characters = 0
 
     def __missing__(self, unit: str) -> int:
         self[unit] = n = len(self)
+        self.characters += len(unit)
         return n
 
 
 def units(text: str, cutter: Cutter) -> list[str]:
-    """The parts of a text that are encoded each on its own; an empty text has none."""
-    if not text:
-        return []
-    parts = cutter.parts(text)
-    if max(map(len, parts)) <= MAX_UNIT:
-        return parts
-    return [p[i : i + MAX_UNIT] for p in parts for i in range(0, len(p), MAX_UNIT)]
+    """The parts of a text, however long, that are encoded each on its own; an empty text has none."""
+    return cutter.parts(text) if text else []
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -137,9 +139,13 @@ class _Block:
         rank[order] = np.arange(len(order), dtype=np.uint32)
         for ids, sizes, numbers in self.batches:
             yield row(DOCUMENTS, ids=ids, at=_packed(np.concatenate([sizes, rank[numbers]])))
-        words = list(self.known)
-        for base in range(0, len(words), 2000):
-            yield row(UNITS, base=base, words=[words[i] for i in order[base : base + 2000]])
+        words, held, size = list(self.known), [], 0
+        for k, i in enumerate(order.tolist(), 1):
+            held.append(words[i])
+            size += len(words[i])
+            if len(held) == ROW_UNITS or size >= ROW_CHARACTERS or k == len(words):
+                yield row(UNITS, base=k - len(held), words=held)
+                held, size = [], 0
 
 
 def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, block_units: int = BLOCK_UNITS) -> DataFrame:
@@ -163,7 +169,7 @@ def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, blo
                 sizes.append(len(parts))
             if sizes:
                 block.batches.append((batch.column(0).to_pylist(), np.array(sizes, np.uint32), np.array(numbers, np.uint32)))
-            if len(block.known) >= block_units:
+            if len(block.known) >= block_units or block.known.characters >= BLOCK_CHARACTERS:
                 yield from block.rows(kind)
                 block = _Block(block.number + 1)
         if block:
@@ -172,8 +178,42 @@ def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, blo
     return rows.mapInArrow(run, schema)
 
 
+def best_path(unit: str, table: dict[str, tuple[int, float]], longest: int, lowest: float, byte_ids: list[int]) -> list[int]:
+    """Ids of the best path of a unit of any length: its score and last edge are kept for every place."""
+    n = len(unit)
+    best, size, code = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for e in range(1, n + 1):
+        c = unit[e - 1]
+        i, s = table.get(c) or (-1 - ord(c), lowest)
+        top, l, at = best[e - 1] + s, 1, i
+        for k in range(2, min(longest, e) + 1):
+            edge = table.get(unit[e - k : e])
+            # of equal sums the longer last piece
+            if edge and (total := best[e - k] + edge[1]) >= top:
+                top, l, at = total, k, edge[0]
+        best[e], size[e], code[e] = top, l, at
+    out = []
+    while n:
+        out += [code[n]] if code[n] >= 0 else [byte_ids[b] for b in reversed(chr(-1 - code[n]).encode())]
+        n -= size[n]
+    return out[::-1]
+
+
+def long_unit_ids(distinct: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) as in ``unit_ids``, for units of any length."""
+    table, longest, lowest, byte_ids = {p: (i, s) for p, i, s in pieces.rows}, pieces.longest, pieces.lowest, pieces.byte_ids
+
+    def run(batches):
+        for batch in batches:
+            for unit in batch.column(0):
+                ids = best_path(unit.as_py(), table, longest, lowest, byte_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()], pa.string()), pa.array([ids], pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    return distinct.mapInArrow(run, "unit string, ids array<int>")
+
+
 def unit_ids(distinct: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids): the best path of every distinct ``unit`` (not empty), by explode, equi-join, grouping and fold."""
+    """(unit, ids): the best path of every distinct ``unit`` (not empty, MAX_UNIT at most), by explode, equi-join, grouping and fold."""
     table = F.broadcast(pieces.table(distinct.sparkSession))
     n = F.char_length("unit")
     ends = distinct.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("e"))
@@ -293,14 +333,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     words = parts.where(F.col("kind") == UNITS)
     number = F.shiftleft("block", AT_BITS).bitwiseOR((F.col("base") + F.col("p")).cast("long"))
     asked = words.select("block", "base", F.posexplode("units").alias("p", "unit")).select(number.alias("key"), "unit")
-    total = words.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
+    # a long unit counts as the units that its characters could be
+    weight = F.aggregate("units", F.lit(0).cast("long"), lambda n, u: n + 1 + F.floor(F.char_length(u) / MAX_UNIT))
+    longer = F.exists("units", lambda u: F.char_length(u) > MAX_UNIT)
+    total, any_long = words.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.bool_or(longer), F.lit(False))).first()
     dealt = asked.repartition(max(1, math.ceil(total / TASK_UNITS)), "unit")
     # the key is asked for too, so that this is the same exchange as the join's other side
     distinct = dealt.groupBy("unit").agg(F.min("key").alias("k")).where("k >= 0").select("unit")
-    answers = dealt.join(unit_ids(distinct, pieces).hint("shuffle_hash"), "unit").select("key", "ids")
+    short = F.char_length("unit") <= MAX_UNIT
+    answers = dealt.where(short).join(unit_ids(distinct.where(short), pieces).hint("shuffle_hash"), "unit").select("key", "ids")
     # a task has a bounded number of units, whose edges fit in memory: no sort
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
         packed = scratch.write(answers.mapInArrow(_answers, "block long, answer binary"), "answers")
+    if any_long:
+        # few and long: their ids are gathered by their numbers from a shuffle of their own
+        found = long_unit_ids(distinct.where(~short), pieces)
+        rest = dealt.where(~short).join(found, "unit").select("key", "ids")
+        packed = packed.unionByName(scratch.write(rest.mapInArrow(_answers, "block long, answer binary"), "answers"))
     rows = parts.where(F.col("kind") == DOCUMENTS).select("block", "ids", "at")
     id_type = docs.schema[id_col].dataType
     run = _assembled(pieces.surface, to_arrow_type(id_type))
