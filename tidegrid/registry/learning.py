@@ -55,9 +55,7 @@ def _(spark, sf):
 @query("random_search")
 def _(spark, sf):
     rows = _daily(spark, sf)
-    # settings of its own choice: the drawn ones have hundreds of trees, too many for a query that is only checked
-    grid = [{"maxIter": n, "maxDepth": 4, "stepSize": s} for n, s in ((4, 0.3), (8, 0.1))]
-    return ln.random_search(rows, f.rolling_origin_splits(v.load_daily(spark, sf), 2), DAILY_FEATURES, settings=grid)
+    return ln.random_search(rows, f.rolling_origin_splits(v.load_daily(spark, sf), 3), DAILY_FEATURES)
 
 
 @query("direct_multi_horizon")
