@@ -300,26 +300,29 @@ def recursive_tree_forecast(
     return recursive_feature_forecast(lambda d: predict(model, d), df, lagged, max(lags), horizon, column, keys, ts, grid)
 
 
-def isotonic_recalibration(
-    df: DataFrame, feature: str, sign: int, prediction: str = "prediction", label: str = "load", bins: int = 1000
-) -> DataFrame:
+def isotonic_recalibration(df: DataFrame, feature: str, sign: int, prediction: str = "prediction", label: str = "load") -> DataFrame:
     """Add ``recalibrated``: the prediction plus the difference that makes its mean monotone in ``feature``.
 
-    The mean prediction and the mean label per bin of the feature are compared; the isotonic fit of the label means
-    (rising for ``sign`` 1, falling for -1) replaces the prediction means.  Bins are equal parts of the feature's range, so
-    the fit sees ``bins`` rows at most, weighted by their counts.  Rows without the feature keep their prediction.
+    The mean prediction and the mean label of every value of the feature are compared; the isotonic fit of the label means,
+    weighted by their counts (rising for ``sign`` 1, falling for -1), replaces the prediction means.  Values without a label
+    take the fit between their neighbours.  Rows without the feature keep their prediction.  The fit gathers the pooled runs
+    of values on the driver: as many as there are different fitted means, at most two for each value.
     """
     if sign not in (1, -1):
         raise ValueError("sign must be 1 or -1")
-    span = df.agg(F.struct(F.min(feature).alias("lo"), F.max(feature).alias("hi"))).scalar()
-    part = F.least(F.floor(F.try_divide(F.col(feature) - F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo")) * bins), F.lit(bins - 1))
-    binned = df.withColumn("_span", span).withColumn("_bin", F.when(F.col(feature).isNotNull(), F.coalesce(part, F.lit(0))).cast("double"))
-    known = binned.where(F.col("_bin").isNotNull() & F.col(label).isNotNull() & F.col(prediction).isNotNull())
-    means = known.groupBy("_bin").agg(F.avg(label).alias("_label"), F.avg(prediction).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_weight"))
-    fit = IsotonicRegression(featuresCol="_bin", labelCol="_label", weightCol="_weight", predictionCol="_fit", isotonic=sign > 0).fit(means)
-    shift = fit.transform(means).select("_bin", (F.col("_fit") - F.col("_mean")).alias("_shift"))
+    value = F.nullif(F.col(feature).cast("double"), F.lit(float("nan"))) + F.lit(0.0)
+    keyed = df.withColumn("_value", value)
+    known = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    means = keyed.where(F.col("_value").isNotNull() & F.col(prediction).isNotNull()).groupBy("_value").agg(
+        F.avg(F.when(known, F.col(label))).alias("_label"),
+        F.coalesce(F.avg(F.when(known, F.col(prediction))), F.avg(prediction)).alias("_mean"),
+        F.count_if(known).cast("double").alias("_weight"),
+    )
+    means = cut_lineage(means)
+    fit = IsotonicRegression(featuresCol="_value", labelCol="_label", weightCol="_weight", predictionCol="_fit", isotonic=sign > 0).fit(means.where("_weight > 0"))
+    shift = fit.transform(means).select("_value", (F.col("_fit") - F.col("_mean")).alias("_shift"))
     moved = F.col(prediction) + F.coalesce("_shift", F.lit(0.0))
-    return binned.join(shift, "_bin", "left").withColumn("recalibrated", moved).drop("_bin", "_span", "_shift")
+    return keyed.join(shift, "_value", "left").withColumn("recalibrated", moved).drop("_value", "_shift")
 
 
 # --- linear models from sufficient statistics -------------------------------------------------------------------------

@@ -112,6 +112,19 @@ def _(spark, sf):
     return rounded(out.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("recalibrated").alias("mean_recalibrated")), ["mean_recalibrated"], 4)
 
 
+# The same on a skewed feature with a value for nearly every row: cubes of a lag.
+@query(
+    "isotonic_recalibration_skewed",
+    "model_rows",
+    f"""SELECT series_id, timestamp, {q6('2 * load_lag_1h + 3', 4)} AS recalibrated FROM model_rows""",
+)
+def _(spark, sf):
+    skewed = F.pow(F.col("load_lag_1h"), F.lit(3))
+    rows = v.model_rows(spark, sf).select("series_id", "timestamp", skewed.alias("skewed"), (2 * F.col("load_lag_1h") + 3).alias("load"), F.lit(0.0).alias("prediction"))
+    out = ln.isotonic_recalibration(rows, "skewed", 1)
+    return rounded(out.select("series_id", "timestamp", "recalibrated"), ["recalibrated"], 4)
+
+
 @query(
     "linear_fit",
     "load_hourly weather",
