@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import decontaminate, exact_dedup, language_id, sentencepiece_lattice, shingle_dedup
+from tidegrid.llm import decontaminate, exact_dedup, language_id, sentencepiece_lattice, simhash
 from tidegrid.llm.common import prepared, table, written
 from tidegrid.llm.registry import tokenizer_path
 
@@ -22,9 +22,9 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts that share four fifths of their five-word shingles the document with the smallest id stays."""
+    """Of each group of fingerprints linked at two or fewer bits (three-word shingles) the document with the smallest id stays."""
     prepared(spark)
-    return shingle_dedup.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, size=3, max_bits=2)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("sentencepiece_encoding", encoded),
 ]
 
-#: Classes of near copies and the lattice have no SQL form; the tests hold the rows against a brute-force version.
+#: Groups of fingerprints and the lattice have no SQL form; the tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
