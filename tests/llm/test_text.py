@@ -282,5 +282,5 @@ def test_units_decode_to_the_text(text):
     assert LENGTHS.model.decode(ids) == text
 
 
-def test_long_units_are_cut():
-    assert [len(u) for u in sentencepiece_lattice.units("a" * 600, CUTTER)] == [256, 256, 89]
+def test_long_units_stay_whole():
+    assert sentencepiece_lattice.units("a" * 600, CUTTER) == ["▁" + "a" * 600]
