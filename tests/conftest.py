@@ -61,7 +61,3 @@ def gappy(spark):
                 rows.append((name, 1700000000 // 3600 * 3600 + 3600 * i, float(rng.randint(0, 50))))
     df = spark.createDataFrame(rows, "series_id string, s long, load double")
     return df.selectExpr("series_id", "timestamp_seconds(s) AS timestamp", "load").cache()
-
-
-def as_set(df):
-    return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=str)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import as_set
+from rowsets import as_set
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_set
+from rowsets import as_set
 from pyspark.sql import functions as F
 
 from tidegrid.plans import importance as im

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import as_set
+from rowsets import as_set
 from pyspark.sql import functions as F
 
 from tidegrid.functions.temporal import cyclical_features
