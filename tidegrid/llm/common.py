@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,3 +120,22 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^31 in size, signs folded into the last bit, their bytes plane by plane, compressed."""
+    numbers = numbers.astype(np.int64)
+    folded = (np.abs(numbers) << 1 | (numbers < 0)).astype("<u4")
+    return zlib.compress(folded.view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    folded = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.where(folded & 1, -(folded >> 1), folded >> 1)
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``values`` that begin at ``starts``, one behind another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]

@@ -145,3 +145,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegrid.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.token_alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
