@@ -48,7 +48,7 @@ def test_registered():
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = QUERIES[name](spark, SF).toPandas()
     want = con.execute(ORACLES[name]).df()

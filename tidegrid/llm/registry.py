@@ -152,3 +152,72 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegrid.llm.token_alignment import align_tokens
 
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+# A word is listed with its place; windows are compared as lists of words.
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+g AS (
+  SELECT r, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS words
+  FROM w WHERE len(ws) > 8),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, words) AS n FROM g),
+p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM k WHERE n > 1) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+m AS (
+  SELECT w.r, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(p.n_repeat_words, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS BIGINT) AS n_alpha_words,
+    CAST(len(list_filter(ws, lambda x: length(x) > 1 AND regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '[\p{Ll}\p{Lt}]'))) AS BIGINT) AS n_shouted,
+    CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_echoed
+  FROM w JOIN l USING (r) LEFT JOIN p USING (r)),
+b AS (
+  SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (4 * n_symbols > n_words)::INT
+    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT
+    + 64 * (100 * n_alpha_words < 70 * n_words)::INT + 128 * (100 * n_shouted > 60 * n_words)::INT + 256 * (100 * n_echoed > 30 * n_words)::INT AS BIGINT) AS fail_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_alpha_words, n_shouted, n_echoed, fail_bits,
+  fail_bits AS policy_bits, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, 'standard-1' AS policy
+FROM b
+"""
+
+
+@query("op12_quality_rules", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.quality_rules import quality_digest
+
+    return quality_digest(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """The rounds written out: a table of centroids (c, d, x) and of assignments for each."""
+    steps = [
+        f"""e AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})""",
+        "v AS (SELECT r, unnest(range(1, len(embedding) + 1)) AS d, unnest(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM e)",
+        "s AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM e)",
+        f"c0 AS MATERIALIZED (SELECT s.c, v.d, v.x FROM s JOIN v USING (r) WHERE s.c < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"d{n} AS (SELECT v.r, c.c, sum((v.x - c.x) * (v.x - c.x)) AS away FROM v JOIN c{n} c ON v.d = c.d GROUP BY v.r, c.c)")
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, min(c) AS c, min(away) AS away FROM (SELECT *, min(away) OVER (PARTITION BY r) AS least FROM d{n}) WHERE away = least GROUP BY r)")
+        if n < rounds:
+            mean = "CAST((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            new = f"SELECT a.c, v.d, {mean} AS x FROM a{n} a JOIN v ON a.r = v.r GROUP BY a.c, v.d"
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.c, c.d, coalesce(n.x, c.x) AS x FROM c{n} c LEFT JOIN ({new}) n ON c.c = n.c AND c.d = n.d)")
+    h = f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)"
+    return (
+        "WITH " + ",\n".join([*steps, h])
+        + f"""
+SELECT e.vec_id, CAST(a.c AS INT) AS cluster, CAST(a.away AS BIGINT) AS distance, CAST(sum(a.away) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.away) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN e USING (r) JOIN h ON a.c = h.c"""
+    )
+
+
+@query("op13_centroid_clusters", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegrid.llm.centroid_clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
