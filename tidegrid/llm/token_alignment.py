@@ -24,19 +24,21 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Scratch, packed_numbers, ragged, unpacked_numbers
 
-#: Characters of text that are cut and aligned together; longer texts are taken in parts that end at a cut.
-BATCH_CHARACTERS = 2_000_000
+#: Characters of text that are cut and aligned together (so fewer than 2**19 cuts); longer texts are taken in parts that end at a cut.
+BATCH_CHARACTERS = 1_000_000
 #: Cuts that a worker remembers, and their characters; beyond either it forgets all of them.
 CACHE, CACHE_CHARACTERS = 200_000, 16_000_000
 #: (text, pair) entries of a block; it ends with the batch that reaches them.
 BLOCK_ENTRIES = 4_000_000
 #: Pairs of one row of a block's list.
 ROW_PAIRS = 50_000
-#: A pair is one long: the A id above these bits, the B id below.
-SHIFT = 24
+#: A pair is one long: the A id above these bits, the B id below; a cut or text of a batch above twice as many.
+SHIFT = 22
 SPACE_SYMBOL = "▁"
 #: A space that begins a token in both vocabularies: another character before it, no white space behind it.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+#: How byte-level files split a text before merging (fixed value).
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -86,6 +88,7 @@ class Aligner:
         crossing = any(SPACE_SYMBOL in p.lstrip(SPACE_SYMBOL) for p in pieces)
         #: whether texts may be cut at all
         self.safe = words and not crossing
+        self.joint = self._ranked(spec) if self.safe else None
         self.known = Aligned()
 
     def cuts(self, text: str) -> list[str]:
@@ -96,13 +99,50 @@ class Aligner:
         # printable text has no white space but single spaces
         return text.split(" ")
 
+    def _ranked(self, spec: dict):
+        """A's vocabulary as ranks, which encodes many cuts in one call; None if its merges are not in the order of their ids."""
+        import tiktoken
+
+        vocabulary, merged = spec["model"]["vocab"], []
+        for merge in spec["model"]["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            merged.append(vocabulary[left + right])
+        special = {x["id"] for x in spec.get("added_tokens", [])}
+        ranks = {b: i for i, b in enumerate(self.bytes_a) if i not in special}
+        first = [i for i, b in enumerate(self.bytes_a) if len(b) == 1]
+        ordered = merged == sorted(merged) and len(first) == 256 and len(ranks) == 256 + len(merged) and max(first) < min(merged, default=256)
+        return tiktoken.Encoding("joint", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if ordered else None
+
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of tokens and the tokens of every text, a space in front: of A, then of B."""
-        a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
         flat = lambda x: np.fromiter(itertools.chain.from_iterable(x), np.int64)
         sizes = lambda x: np.fromiter(map(len, x), np.int64, len(x))
-        return sizes(a), flat(a), sizes(b), flat(b)
+        n_a, a = self._joined(texts) if self.joint else (None, None)
+        if n_a is None:
+            ids = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+            n_a, a = sizes(ids), flat(ids)
+        b = self.b.encode(texts, num_threads=1)
+        return n_a, a, sizes(b), flat(b)
+
+    def _joined(self, texts: list[str]):
+        """A's tokens of cuts, in one call for those that neither begin nor end with white space: between them a token ends."""
+        plain = np.fromiter((bool(t) and not t[0].isspace() and not t[-1].isspace() for t in texts), bool, len(texts))
+        own = {i: self.a.encode(" " + texts[i], add_special_tokens=False).ids for i in np.flatnonzero(~plain).tolist()}
+        regular = [" " + t for t, ok in zip(texts, plain.tolist(), strict=True) if ok]
+        ids = np.array(self.joint.encode_ordinary("".join(regular)), np.int64)
+        wanted = np.cumsum(np.fromiter((len(t.encode()) for t in regular), np.int64, len(regular)))
+        ends = np.cumsum(self.length_a[ids])
+        at = np.searchsorted(ends, wanted)
+        if len(regular) and (at[-1] >= len(ends) or (ends[at] != wanted).any()):
+            return None, None
+        n_a = np.zeros(len(texts), np.int64)
+        n_a[plain] = np.diff(at, prepend=-1)
+        if not own:
+            return n_a, ids
+        parts = np.split(ids, np.cumsum(n_a)[:-1])
+        for i, x in own.items():
+            parts[i], n_a[i] = np.array(x, np.int64), len(x)
+        return n_a, np.concatenate(parts)
 
     def learn(self, new: list[str]) -> None:
         """Align cuts that are not known yet."""
@@ -201,12 +241,14 @@ class Aligner:
 
 def _summed(of: np.ndarray, pair: np.ndarray, times: np.ndarray):
     """Distinct (of, pair) with their summed times, in order: (pair, times, of)."""
-    order = np.lexsort((pair, of))
-    of, pair, times = of[order], pair[order], times[order]
-    if not len(of):
+    key = of << (2 * SHIFT) | pair
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    if not len(key):
         return pair, times, of
-    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (pair[1:] != pair[:-1])]))
-    return pair[new], np.add.reduceat(times, new), of[new]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key = key[new]
+    return key & ((1 << (2 * SHIFT)) - 1), np.add.reduceat(times, new), key >> (2 * SHIFT)
 
 
 @functools.lru_cache(maxsize=2)
