@@ -1,14 +1,17 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators.metrics import winkler_score
+from tidegrid.operators.series import lag_features
 from tidegrid.plans import conformal as cf
 from tidegrid.plans import forecast as f
 from tidegrid.plans import learning as ln
 
-SMALL = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3}
+SMALL = {"trees": 30, "step": 0.3, "leaves": 16}
 
 
 @pytest.fixture(scope="module")
@@ -67,23 +70,27 @@ def test_gbt_beats_the_mean(rows):
     assert ln.gain_importance(model, rows.sparkSession).count() == 2
 
 
-def test_saved_model_predicts_the_same(rows, spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
-    model = ln.fit_gbt(rows, ["x"], **SMALL)
-    model.write().overwrite().save(str(tmp_path / "m"))
-    again = PipelineModel.load(str(tmp_path / "m"))
-    a, b = ln.predict(model, rows.limit(50)), ln.predict(again, rows.limit(50))
-    assert a.select("timestamp", "prediction").exceptAll(b.select("timestamp", "prediction")).count() == 0
+def test_constraints_are_kept(rows):
+    model = ln.fit_gbt(rows, ["x", "z"], monotone={"x": -1}, **SMALL)
+    wrong = ln.predict(model, rows).agg(F.corr("x", "prediction")).first()[0]
+    assert wrong is None or wrong <= 0
+    assert ln.signs(["temperature_lag_1h", "hour", "load"], {"temperature": 1, "load": -1}) == (1, 0, -1)
+    assert ln.signs(["hour"], {"temperature": 1}) == () == ln.signs(["x"], None)
 
 
 def test_cross_validation_and_search(rows):
     splits = f.rolling_origin_splits(rows, 2, 5, 10)
     out = ln.cross_validate(rows, splits, ["x"], **SMALL).orderBy("split").collect()
     assert [r.split for r in out] == [0, 1] and out[0].n_train == 241 and out[0].test_start >= out[0].train_end
-    trials = ln.random_search(rows, splits, ["x"], settings=[{"maxIter": 3, "maxDepth": 2}, {"maxIter": 3, "maxDepth": 3}]).collect()
-    assert [r.settings["maxDepth"] for r in trials] == ["2", "3"]
-    assert sum(r.is_best for r in trials) == 1 and min(r.mean_rmse for r in trials) == [r.mean_rmse for r in trials if r.is_best][0]
+    # the same sizes and a like error as a fit of one split alone
+    tagged = f.tag_splits(rows, splits).where("split = 1")
+    model = ln.fit_gbt(tagged.where("part = 'train'"), ["x"], patience=0, **SMALL)
+    test = ln.predict(model, tagged.where("part = 'test'"))
+    n, rmse = test.agg(F.count("*"), F.sqrt(F.avg(F.pow(F.col("load") - F.col("prediction"), F.lit(2))))).first()
+    assert out[1].n_test == n and out[1].rmse == pytest.approx(rmse, rel=0.1)
+    trials = ln.random_search(rows, splits, ["x"], settings=[{"trees": 3, "leaves": 2}, {"trees": 60, "leaves": 8, "step": 0.2}]).orderBy("trial").collect()
+    assert [r.settings["leaves"] for r in trials] == ["2", "8"] and [r.n_folds for r in trials] == [2, 2]
+    assert [r.is_best for r in trials] == [0, 1] and trials[1].mean_rmse < trials[0].mean_rmse
 
 
 def test_multi_horizon_skips_short_data(rows):
@@ -91,6 +98,36 @@ def test_multi_horizon_skips_short_data(rows):
     assert [r.horizon for r in measured.collect()] == [1] and predictions.count() > 100
 
 
+def test_recursion_equals_stepwise_prediction(spark):
+    rng = random.Random(4)
+    data = [(s, 1700000000 // 3600 * 3600 + 3600 * i, 10 + 5 * math.sin(i / 4) + rng.random()) for s in ("a", "b") for i in range(200)] + [("short", 1700000000, 1.0)]
+    rows = spark.createDataFrame(data, "series_id string, s long, load double").selectExpr("series_id", "timestamp_seconds(s) AS timestamp", "load")
+    lagged = lag_features(rows, lags=(1, 5))
+    model = ln.fit_gbt(lagged, ["load_lag_1h", "load_lag_5h"], **SMALL)
+    out = ln.recursive_tree_forecast(model, rows, (1, 5))
+    found = {(r.series_id, r.step): (r.timestamp.timestamp(), r.y_pred) for r in out.collect()}
+    assert len(found) == 2 * 168
+    for name in ("a", "b"):
+        values = [v for s, _, v in data if s == name]
+        for step in range(1, 169):
+            values.append(float(model.scores(np.array([[values[-1]], [values[-5]]]))[0]))
+            at, value = found[name, step]
+            assert value == values[-1] and at == data[199][1] + 3600 * step
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    hours = lambda history, seconds: np.stack([history[:, -1], (seconds // 3600 % 24).astype(float)])
+    assert ln.recursive_tree_forecast(model, rows, (1,), 10, inputs=hours, depth=3).count() == 20
+
+
+def test_tree_quantiles_on_held_out_rows(rows):
+    role = F.when(F.unix_seconds("timestamp") % 10800 == 0, 0).otherwise(1)
+    out = ln.quantile_tree_forecast(rows, ["x", "z"], role=role, trees=80, step=0.1, leaves=8)
+    share = out.groupBy((role == 1).alias("seen")).agg(*[F.avg((F.col("load") <= F.col(q)).cast("int")) for q in ("q10", "q50", "q90")]).orderBy("seen").collect()
+    assert list(share[1])[1:] == pytest.approx([0.1, 0.5, 0.9], abs=0.03)
+    assert list(share[0])[1:] == pytest.approx([0.1, 0.5, 0.9], abs=0.1)
+    assert out.where("lower > upper").count() == 0
+
+
 def test_enbpi_covers(rows):
     parts = f.holdout_split(rows, 200)
     out = cf.conformal_enbpi(parts.where("split <> 'test'"), parts.where("split = 'test'"), ["x", "z"], confidence=0.9)

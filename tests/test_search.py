@@ -1,6 +1,7 @@
 import math
 
 import __spark_entry__ as entry
+from tidegrid.plans import boosting
 from tidegrid.plans import learning as ln
 
 
@@ -8,24 +9,26 @@ def test_drawn_settings():
     drawn = ln.trial_settings(400)
     assert ln.trial_settings(400) == drawn and ln.trial_settings(400, 7) != drawn
     assert ln.trial_settings(50) == drawn[:50] and len({tuple(x.values()) for x in drawn}) == 400
-    assert {x["maxDepth"] for x in drawn} == set(range(3, 13))
-    bounds = {"maxIter": (100, 1000), "stepSize": (0.01, 0.3), "minInstancesPerNode": (5, 100), "subsamplingRate": (0.6, 1.0), "featureSubsetStrategy": (0.5, 1.0)}
+    assert {x["depth"] for x in drawn} == set(range(3, 13))
+    bounds = {"leaves": (16, 128), "trees": (100, 1000), "step": (0.01, 0.3), "min_rows": (10, 100), "row_share": (0.5, 1.0), "feature_share": (0.5, 1.0), "l1": (1e-8, 10.0), "l2": (1e-8, 10.0)}
     for name, (low, high) in bounds.items():
-        values = [float(x[name]) for x in drawn]
-        assert low <= min(values) < low + 0.05 * (high - low) and high - 0.05 * (high - low) < max(values) <= high
-    # drawn on a log scale: half of the step sizes are below the geometric mean of the ends
-    below = sum(x["stepSize"] < math.sqrt(0.01 * 0.3) for x in drawn)
-    assert 160 < below < 240
+        values = [x[name] for x in drawn]
+        assert low <= min(values) and high - 0.1 * (high - low) < max(values) <= high
+    # drawn on a log scale: half of the values are below the geometric mean of the ends
+    for name, (low, high) in {n: bounds[n] for n in ("step", "l1", "l2")}.items():
+        assert 160 < sum(x[name] < math.sqrt(low * high) for x in drawn) < 240
 
 
 def test_registered_search_fits_fifty_drawn_trials_over_three_folds(spark, monkeypatch):
     asked = []
 
-    def fit(df, splits, features, label, is_written, **settings):
-        asked.append((settings, splits))
-        return spark.createDataFrame([(float(len(asked)),)], "rmse double")
+    def fit(binned, fits):
+        asked.extend(fits)
+        return [type("Model", (), {"history": [float(n + 1)]}) for n in range(len(fits))]
 
-    monkeypatch.setattr(ln, "cross_validate", fit)
+    monkeypatch.setattr(boosting, "fit_all", fit)
     trials = entry.queries()["random_search"](spark, "/root/testdata/sf0.001").collect()
-    assert [settings for settings, _ in asked] == ln.trial_settings(50) and len(trials) == 50
-    assert asked[0][1].select("split").distinct().count() == 3
+    assert len(asked) == 150 and {f.role for f in asked} == {0, 1, 2} and len(trials) == 50
+    for n, drawn in enumerate(ln.trial_settings(50)):
+        for fit_of in asked[3 * n : 3 * n + 3]:
+            assert all(getattr(fit_of.settings, k) == x for k, x in drawn.items())

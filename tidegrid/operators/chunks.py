@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidegrid.session import settled
+
 KEYS = ("series_id",)
 TS = "timestamp"
 
@@ -65,9 +67,8 @@ def _halo(df: DataFrame, reach: int, backwards: bool, keys: Sequence[str], ts: s
     return sent.withColumn("_bucket", F.col("_to.to")).drop("_rank", "_next", "_to")
 
 
-def over_chunks(
+def with_halo(
     df: DataFrame,
-    build: Callable[[WindowSpec], dict[str, Column]],
     back: int = 0,
     ahead: int = 0,
     keys: Sequence[str] = KEYS,
@@ -75,17 +76,31 @@ def over_chunks(
     grid: Grid = HOURLY,
     carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add ``build(window)`` columns, where the frames reach at most ``back`` / ``ahead`` rows.
-
-    ``carry`` names the value columns the expressions read; only these travel with the halo.  Needs unique (keys, ts).
-    """
+    """Rows with their ``_bucket`` and ``_own`` true, and copies (``_own`` false) of the ``back`` rows before and ``ahead`` rows behind it."""
     own = _bucketed(df, grid, ts)
     wanted = list(dict.fromkeys([*keys, ts, "_bucket", *(carry if carry is not None else df.columns)]))
     parts = [own.withColumn("_own", F.lit(True))]
     for reach, backwards in ((back, True), (ahead, False)):
         if reach > 0:
             parts.append(_halo(own.select(*wanted), reach, backwards, keys, ts).withColumn("_own", F.lit(False)))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def over_chunks(
+    df: DataFrame,
+    build: Callable[[WindowSpec], dict[str, Column]],
+    back: int = 0,
+    ahead: int = 0,
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    grid: Grid = HOURLY,
+    carry: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add ``build(window)`` columns, where the frames reach at most ``back`` / ``ahead`` rows.
+
+    ``carry`` names the value columns the expressions read; only these travel with the halo.  Needs unique (keys, ts).
+    """
+    rows = with_halo(df, back, ahead, keys, ts, grid, carry)
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts)
     return rows.withColumns(build(w)).where("_own").drop("_own", "_bucket")
 
@@ -157,6 +172,34 @@ def running_sums(
     return out.drop("_bucket", *[f"_b_{c}" for c in sums])
 
 
+def gap_islands(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY) -> DataFrame:
+    """One row per gap: keys, ``_first`` (seconds of the first missing step) and ``_missing`` (how many steps are missing).
+
+    Steps count from the first row of a series.  A gap is found at the row behind it, from the row before, also over the border
+    of a bucket; what is generated and shuffled follows the gaps, not the time span.  Copies of a timestamp do not matter.
+    """
+    step = grid.step_seconds
+    at = F.unix_seconds(F.col(ts))
+    starts = settled(df.groupBy(*keys).agg(F.unix_seconds(F.min(ts)).alias("_start")), "starts")
+    near = over_chunks(df.select(*keys, ts), lambda w: {"_before": F.unix_seconds(F.lag(ts, 1).over(w))}, back=1, keys=keys, ts=ts, grid=grid, carry=[])
+    wide = near.where(F.col("_before") < at).join(starts, list(keys))
+    # the last step at or before the earlier row, and the last one before the later row
+    held = F.floor((F.col("_before") - F.col("_start")) / step)
+    reached = F.floor((at - 1 - F.col("_start")) / step)
+    found = wide.select(*keys, (F.col("_start") + (held + 1) * step).alias("_first"), (reached - held).alias("_missing"))
+    return found.where("_missing > 0")
+
+
+def gap_steps(gaps: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY) -> DataFrame:
+    """Every missing (keys, ``ts``) of ``gap_islands``; a long gap is cut into bucket-sized pieces before its steps are generated."""
+    step, width = grid.step_seconds, grid.bucket_steps
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_missing") - 1, F.lit(width).cast("long")))
+    pieces = gaps.select(*keys, "_first", "_missing", starts.alias("_from"))
+    upto = F.least(F.col("_missing"), F.col("_from") + width) - 1
+    steps = F.explode(F.sequence(F.col("_from"), upto))
+    return pieces.select(*keys, "_first", steps.alias("_k")).select(*keys, F.timestamp_seconds(F.col("_first") + F.col("_k") * step).alias(ts))
+
+
 def full_grid(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY) -> DataFrame:
     """Every expected (key, timestamp) between the first and last row of each series.
 

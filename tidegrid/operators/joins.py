@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, full_grid
+from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, gap_islands, gap_steps
 from tidegrid.operators.guards import flag
 
 
@@ -23,12 +23,18 @@ def sample_join(left: DataFrame, right: DataFrame, start: str, end: str, ts: str
 
 
 def merge_load_weather(load: DataFrame, weather: DataFrame, how: str = "left", ts: str = TS, check: bool = True) -> DataFrame:
-    """Equi-join on the timestamp.  Raises if the time ranges do not overlap; clashing names get ``_weather``."""
+    """Equi-join on the timestamp; clashing names get ``_weather``.
+
+    The query fails if the time ranges do not overlap: the ranges are scalar subqueries of the plan, so nothing runs before it does.
+    (An empty load table has no rows to fail for.)
+    """
     if check:
-        span = weather.agg(F.struct(F.min(ts).alias("c"), F.max(ts).alias("d"))).scalar()
-        r = load.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).withColumn("_w", span).select("a", "b", "_w.*").first()
-        if None in (r.a, r.b, r.c, r.d) or r.a > r.d or r.c > r.b:
-            raise ValueError(f"No overlap between load ({r.a} .. {r.b}) and weather ({r.c} .. {r.d})")
+        mine = load.agg(F.struct(F.min(ts).alias("a"), F.max(ts).alias("b"))).scalar()
+        other = weather.agg(F.struct(F.min(ts).alias("a"), F.max(ts).alias("b"))).scalar()
+        apart = other["a"].isNull() | (mine["a"] > other["b"]) | (other["a"] > mine["b"])
+        text = lambda c: F.coalesce(c.cast("string"), F.lit("nothing"))
+        message = F.concat(F.lit("No overlap between load ("), text(mine["a"]), F.lit(" .. "), text(mine["b"]), F.lit(") and weather ("), text(other["a"]), F.lit(" .. "), text(other["b"]), F.lit(")"))
+        load = load.where(F.when(apart, F.raise_error(message).cast("boolean")).otherwise(True))
     clash = {c: f"{c}_weather" for c in weather.columns if c in load.columns and c != ts}
     return load.join(weather.withColumnsRenamed(clash), ts, how)
 
@@ -47,19 +53,24 @@ def grid_event_flag(df: DataFrame, events: DataFrame, ts: str = TS) -> DataFrame
 def grid_event_interval_flag(df: DataFrame, events: DataFrame, ts: str = TS, grid: Grid = HOURLY) -> DataFrame:
     """``has_grid_event`` = start <= timestamp < start + duration.
 
-    Each event is spread over the grid cells it touches and merged per cell, so the range join is an equi-join on the
-    cell; only the first start and the last end within a cell can matter beyond full cover.
+    Each event is spread over the grid cells it touches.  In a cell only the last end of every start counts (a maximum with map-side
+    combine: at most as many rows as a cell has seconds); a sweep in order of the starts merges these to disjoint spans, so the
+    array of a cell is bounded, however many events overlap there.  The range join is an equi-join on the cell.
     """
     step = grid.step_seconds
     begin = F.unix_seconds(F.col(ts))
     spans = events.select(begin.alias("_from"), (begin + (F.col("duration_hours") * 3600).cast("bigint")).alias("_to"))
-    spans = spans.where(F.col("_to") > F.col("_from")).distinct()
+    spans = spans.where(F.col("_to") > F.col("_from")).groupBy("_from").agg(F.max("_to").alias("_to"))
     cells = spans.withColumn(
         "_cell", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor((F.col("_to") - 1) / step)))
     )
     low, high = F.col("_cell") * step, (F.col("_cell") + 1) * step
-    inside = F.struct(F.greatest("_from", low).alias("s"), F.least("_to", high).alias("e"))
-    per_cell = cells.groupBy("_cell").agg(F.collect_set(inside).alias("_spans"))
+    starts = cells.groupBy("_cell", F.greatest("_from", low).alias("_s")).agg(F.max(F.least("_to", high)).alias("_e"))
+    along = Window.partitionBy("_cell").orderBy("_s")
+    reached = F.max("_e").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = starts.withColumn("_new", flag(reached.isNull() | (F.col("_s") > reached)))
+    islands = marked.withColumn("_island", F.sum("_new").over(along)).groupBy("_cell", "_island").agg(F.min("_s").alias("s"), F.max("_e").alias("e"))
+    per_cell = islands.groupBy("_cell").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
     at = F.unix_seconds(F.col(ts))
     joined = df.withColumn("_cell", F.floor(at / step)).join(per_cell, "_cell", "left")
     hit = F.exists("_spans", lambda x: (x["s"] <= F.unix_seconds(F.col(ts))) & (F.unix_seconds(F.col(ts)) < x["e"]))
@@ -67,8 +78,8 @@ def grid_event_interval_flag(df: DataFrame, events: DataFrame, ts: str = TS, gri
 
 
 def missing_timestamps(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY) -> DataFrame:
-    """Expected grid minus actual rows (anti join)."""
-    return full_grid(df, keys, ts, grid).join(df.select(*keys, ts), [*keys, ts], "left_anti")
+    """Steps between the first and the last row of a series that have no row; only gaps are expanded."""
+    return gap_steps(gap_islands(df, keys, ts, grid), keys, ts, grid)
 
 
 def align_predictions(truth: DataFrame, predicted: DataFrame, on: Sequence[str] = (*KEYS, TS)) -> DataFrame:

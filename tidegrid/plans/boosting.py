@@ -38,6 +38,7 @@ PINBALL_UNIT = 2.0**-20
 WRITE_TREES = 10
 #: Bytes of histograms that a task holds at once; more fits than that take turns.
 HISTOGRAM_BYTES = 256_000_000
+#: Roles of a row; one that has both is TRAIN + VALID.
 NONE, TRAIN, VALID = 0, 1, 2
 #: Bits of the cells in which a residual's rank is looked for, first and last.
 RANK_BITS = 14
@@ -47,15 +48,15 @@ RANK_BITS = 14
 class Settings:
     """What a fit is told.  ``quantile`` None means squared error; ``monotone`` has a sign for every feature, or none."""
 
-    trees: int = 100
+    trees: int = 500
     step: float = 0.05
     leaves: int = 31
-    depth: int = 8
+    depth: int = 16
     min_rows: int = 20
     row_share: float = 0.8
     feature_share: float = 0.8
-    l1: float = 0.0
-    l2: float = 0.0
+    l1: float = 0.1
+    l2: float = 0.1
     patience: int = 50
     quantile: float | None = None
     monotone: tuple[int, ...] = ()
@@ -79,12 +80,8 @@ class Binned:
     edges: list[np.ndarray]
     blocks: DataFrame
     unit: float
-    #: rows by (role column, role)
-    sizes: dict[tuple[int, int], int]
-
-    @property
-    def rows(self) -> int:
-        return max(self.sizes.values(), default=0)
+    #: rows by (label, role column, TRAIN or VALID)
+    sizes: dict[tuple[int, int, int], int]
 
 
 @dataclasses.dataclass
@@ -122,7 +119,7 @@ def _unit(largest: float) -> float:
 def bin_rows(df: DataFrame, features: Sequence[str], labels: Sequence[str], roles: Sequence[Column], bins: int = BINS) -> Binned:
     """The rows of ``df`` without nulls in ``features``, binned at quantiles of each feature and written in blocks.
 
-    ``roles`` are whole numbers: NONE, TRAIN or VALID.  A row counts for a fit only where its label is not null.
+    ``roles`` are whole numbers: NONE, TRAIN, VALID or the sum of both.  A row counts for a fit only where its label is not null.
     """
     require_columns(df, [*features, *labels], "training table")
     spark, p, k, m = df.sparkSession, len(features), len(labels), len(roles)
@@ -168,18 +165,21 @@ def bin_rows(df: DataFrame, features: Sequence[str], labels: Sequence[str], role
     table = spark.read.schema(schema).parquet(path)
 
     def counts(batches):
-        total = np.zeros((k, m, 3), np.int64)
+        total = np.zeros((k, m, 4), np.int64)
         for batch in batches:
             for n, y, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 y, r = np.frombuffer(y, "<i8").reshape(k, n), np.frombuffer(r, np.uint8).reshape(m, n)
                 for a in range(k):
                     for b in range(m):
-                        total[a, b] += np.bincount(r[b][y[a] != np.iinfo(np.int64).min], minlength=3)[:3]
+                        total[a, b] += np.bincount(r[b][y[a] != np.iinfo(np.int64).min], minlength=4)[:4]
         at = np.indices(total.shape).reshape(3, -1)
         yield pa.RecordBatch.from_arrays([*[pa.array(a) for a in at], pa.array(total.ravel())], names=["label", "role", "part", "n"])
 
     counted = table.select("n", "labels", "roles").mapInArrow(counts, "label long, role long, part long, n long")
-    sizes = {(r.label, r.role, r.part): r.n for r in counted.groupBy("label", "role", "part").agg(F.sum("n").alias("n")).collect()}
+    sizes: dict[tuple[int, int, int], int] = {}
+    for r in counted.groupBy("label", "role", "part").agg(F.sum("n").alias("n")).collect():
+        for part in (TRAIN, VALID):
+            sizes[r.label, r.role, part] = sizes.get((r.label, r.role, part), 0) + (r.n if r.part & part else 0)
     return Binned(list(features), edges, table, unit, sizes)
 
 
@@ -192,7 +192,7 @@ class Block:
         self.y = np.frombuffer(labels, "<i8").reshape(-1, n)[fit.label]
         role = np.frombuffer(roles, np.uint8).reshape(-1, n)[fit.role]
         known = self.y != np.iinfo(np.int64).min
-        self.train, self.valid = (role == TRAIN) & known, (role == VALID) & known
+        self.train, self.valid = (role & TRAIN > 0) & known, (role & VALID > 0) & known
 
     def drawn(self, settings: Settings, tree: int) -> np.ndarray:
         """The training rows that tree number ``tree`` sees: a draw that depends on seed, tree and block only."""
@@ -739,6 +739,23 @@ class Ensemble:
         return cls(state["features"], state["start"], *(arrays[n] for n in ("feature", "threshold", "left", "value", "gain", "roots", "depth")), state["history"])
 
 
+def column_of(models: dict[int, Ensemble], selector: Column) -> Column:
+    """The prediction of the model that ``selector`` names; null for numbers without a model.  All read the same features."""
+    features = next(iter(models.values())).features
+
+    @F.pandas_udf("double")
+    def walk(number: pd.Series, *columns: pd.Series) -> pd.Series:
+        x = np.stack([c.to_numpy(np.float64, na_value=np.nan) for c in columns])
+        out, wanted = np.full(len(number), np.nan), number.to_numpy(np.float64, na_value=np.nan)
+        for k, model in models.items():
+            rows = np.flatnonzero(wanted == k)
+            if len(rows):
+                out[rows] = model.scores(x[:, rows])
+        return pd.Series(out)
+
+    return F.nanvl(walk(selector.cast("double"), *[F.col(f).cast("double") for f in features]), F.lit(None))
+
+
 def fit_all(binned: Binned, fits: Sequence[Fit]) -> list[Ensemble | None]:
     """A model for every fit; None where a fit has no training rows."""
     size = lambda f: sum(binned.sizes.get((f.label, f.role, part), 0) for part in (TRAIN, VALID))

@@ -1,4 +1,4 @@
-"""Models fitted with Spark ML, and everything that needs several fits."""
+"""Boosted trees, forests and linear models, and everything that needs several fits."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,35 +20,45 @@ from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows
 from tidegrid.operators.guards import flag, require_columns
 from tidegrid.operators.metrics import metric_columns
 from tidegrid.operators.series import horizon_targets
-from tidegrid.plans.forecast import compare_baselines, holdout_split, quantile_name, tag_splits
-from tidegrid.session import cut_lineage
+from tidegrid.plans import boosting
+from tidegrid.plans.boosting import NONE, TRAIN, VALID, Ensemble, Fit, Settings
+from tidegrid.plans.forecast import compare_baselines, holdout_split, quantile_name
+from tidegrid.session import cut_lineage, settled
 
-# Default boosting settings (depth is limited by the tree format to what one pass can hold).
-GBT = {"maxIter": 100, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 PARALLEL_FITS = 4
 
 
+def signs(features: Sequence[str], constraints: Mapping[str, int] | None) -> tuple[int, ...]:
+    """The sign of every feature; a feature without one of its own takes that of the first name that it contains."""
+    if not constraints:
+        return ()
+    found = [constraints.get(f, next((s for name, s in constraints.items() if name in f), 0)) for f in features]
+    return tuple(found) if any(found) else ()
+
+
 def fit_gbt(
-    train: DataFrame, features: Sequence[str], label: str = "load", validation: str | None = None, **settings
-) -> PipelineModel:
-    """Boosted trees; with a boolean ``validation`` column boosting stops when its error stops falling."""
-    require_columns(train, [*features, label], "training table")
-    booster = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", **{**GBT, **settings})
-    if validation:
-        booster = booster.setValidationIndicatorCol(validation)
-    rows = train.dropna(subset=[label, *features])
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), booster]).fit(rows)
-
-
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    train: DataFrame, features: Sequence[str], label: str = "load", validation: str | None = None, monotone: Mapping[str, int] | None = None, **settings
+) -> Ensemble:
+    """Boosted trees; with a boolean ``validation`` column boosting stops when its error stops falling.
+
+    ``monotone`` gives the sign that the prediction must follow in a feature; ``settings`` are those of boosting.Settings.
+    """
+    role = F.when(F.col(validation), VALID).otherwise(TRAIN) if validation else F.lit(TRAIN)
+    binned = boosting.bin_rows(train, features, [label], [role])
+    model = boosting.fit_all(binned, [Fit(Settings(monotone=signs(features, monotone), **settings))])[0]
+    if model is None:
+        raise ValueError("no training rows")
+    return model
+
+
+def predict(model, df: DataFrame) -> DataFrame:
+    """``df`` with the ``prediction`` of a fitted model."""
     return model.transform(df).drop("_features")
 
 
-def gain_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
+def gain_importance(model: Ensemble, spark: SparkSession) -> DataFrame:
     """(feature, importance) of a fitted tree model; one row per feature."""
-    names = model.stages[0].getInputCols()
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(n, float(x)) for n, x in zip(names, values)], "feature string, importance double")
+    return spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
 
 
 def _run_all(jobs: Sequence[Callable[[], object]]) -> list:
@@ -58,7 +69,7 @@ def _run_all(jobs: Sequence[Callable[[], object]]) -> list:
 
 def gbt_forecast(
     df: DataFrame, features: Sequence[str], test_rows: int, label: str = "load", keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY, **settings
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[Ensemble, DataFrame]:
     """Fit on the training part, stop early on the validation part, score the test part."""
     rows = df.dropna(subset=[label, *features])
     split = holdout_split(rows, test_rows, keys=keys, ts=ts, grid=grid).withColumn("_val", F.col("split") == "validation")
@@ -75,7 +86,7 @@ BUCKET_ROWS = 6000
 
 
 def permutation_importance(
-    model: PipelineModel,
+    model,
     df: DataFrame,
     features: Sequence[str],
     label: str = "load",
@@ -138,85 +149,108 @@ def permutation_prune(
 # --- temporal validation ----------------------------------------------------------------------------------------------
 
 
+def split_roles(df: DataFrame, splits: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> tuple[DataFrame, list[int], list[Column]]:
+    """``df`` with the bounds of its series' splits, the split numbers, and the role of a row in each (at most ten or so).
+
+    All bounds are inclusive; a row at the border of a split without a gap is in both parts.
+    """
+    numbers = [r[0] for r in splits.select("split").distinct().orderBy("split").collect()]
+    bounds = F.map_from_entries(F.collect_list(F.struct("split", F.struct("train_start", "train_end", "test_start", "test_end"))))
+    rows = df.join(settled(splits.groupBy(*keys).agg(bounds.alias("_bounds"))), list(keys), "left")
+    roles = []
+    for n in numbers:
+        own = F.col("_bounds")[F.lit(n)]
+        inside = lambda a, b, own=own, part=NONE: F.when(F.col(ts).between(own[a], own[b]), part).otherwise(NONE)
+        roles.append(F.coalesce(inside("train_start", "train_end", part=TRAIN) + inside("test_start", "test_end", part=VALID), F.lit(NONE)))
+    return rows, numbers, roles
+
+
 def cross_validate(
     df: DataFrame,
     splits: DataFrame,
     features: Sequence[str],
     label: str = "load",
-    fit: Callable[[DataFrame], PipelineModel] | None = None,
     keys: Sequence[str] = KEYS,
     ts: str = TS,
-    is_written: bool = False,
+    monotone: Mapping[str, int] | None = None,
     **settings,
 ) -> DataFrame:
-    """One fit per split (at most ten or so), metrics and sizes per split; splits without rows are left out.
+    """One fit per split, metrics and sizes per split; splits without rows are left out.
 
-    The rows are written once (``is_written``: they already are); every split reads those within its bounds.
+    The rows are binned and written once, all splits are fitted together, and one scan scores the test parts.
     """
-    rows = df if is_written else cut_lineage(df.dropna(subset=[label, *features]))
-    tagged = tag_splits(rows, splits, keys, ts)
-    numbers = [r[0] for r in splits.select("split").distinct().orderBy("split").collect()]
-    make = fit or (lambda train: fit_gbt(train, features, label, **settings))
-
-    def one(number: int) -> DataFrame | None:
-        part = tagged.where(F.col("split") == number)
-        train, test = part.where("part = 'train'"), part.where("part = 'test'")
-        if train.isEmpty() or test.isEmpty():
-            return None
-        scored = predict(make(train), test)
-        measured = scored.agg(
-            *[c.alias(n) for n, c in metric_columns(label, "prediction").items() if n != "n"],
-            F.count(F.lit(1)).alias("n_test"),
-            F.min(ts).alias("test_start"),
-            F.max(ts).alias("test_end"),
-        )
-        sizes = train.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min(ts).alias("a"), F.max(ts).alias("b"))).scalar()
-        out = measured.select(F.lit(number).alias("split"), "*", sizes.alias("_t"))
-        return out.select(
-            "*", F.col("_t.n").alias("n_train"), F.col("_t.a").alias("train_start"), F.col("_t.b").alias("train_end")
-        ).drop("_t")
-
-    parts = [p for p in _run_all([lambda n=n: one(n) for n in numbers]) if p is not None]
-    if not parts:
+    rows, numbers, roles = split_roles(df.dropna(subset=[label, *features]), splits, keys, ts)
+    parts = F.array(*[F.struct(F.lit(n).alias("split"), r.alias("role")) for n, r in zip(numbers, roles, strict=True)])
+    rows = cut_lineage(rows.select(*keys, ts, label, *features, parts.alias("_parts")))
+    binned = boosting.bin_rows(rows, features, [label], [F.col("_parts")[i]["role"] for i in range(len(numbers))])
+    models = boosting.fit_all(binned, [Fit(Settings(patience=0, monotone=signs(features, monotone), **settings), role=i) for i in range(len(numbers))])
+    fitted = {n: m for i, (n, m) in enumerate(zip(numbers, models, strict=True)) if m and binned.sizes.get((0, i, VALID))}
+    if not fitted:
         raise ValueError("no split has both training and test rows")
-    return reduce(DataFrame.unionByName, parts)
+    tagged = rows.select(*keys, ts, label, *features, F.explode("_parts").alias("_p")).where(F.col("_p.role") != NONE)
+    tagged = tagged.select("*", F.col("_p.split").alias("split"), F.col("_p.role").alias("_role")).where(F.col("split").isin(list(fitted)))
+    test = F.col("_role").bitwiseAND(VALID) != 0
+    train = F.col("_role").bitwiseAND(TRAIN) != 0
+    scored = tagged.withColumn("prediction", boosting.column_of(fitted, F.when(test, F.col("split"))))
+    return scored.withColumn("_y", F.when(test, F.col(label))).groupBy("split").agg(
+        *[c.alias(n) for n, c in metric_columns("_y", "prediction").items() if n != "n"],
+        F.count_if(test).alias("n_test"),
+        F.min(F.when(test, F.col(ts))).alias("test_start"),
+        F.max(F.when(test, F.col(ts))).alias("test_end"),
+        F.count_if(train).alias("n_train"),
+        F.min(F.when(train, F.col(ts))).alias("train_start"),
+        F.max(F.when(train, F.col(ts))).alias("train_end"),
+    )
 
 
 def trial_settings(n_trials: int, seed: int = 42) -> list[dict]:
-    """Seeded random settings; the step size and the leaf size are drawn on a log scale."""
+    """Seeded random settings; the step size and both penalties are drawn on a log scale."""
     rng = random.Random(seed)
-    out = []
-    for _ in range(n_trials):
-        out.append(
-            {
-                "maxDepth": rng.randint(3, 12),
-                "maxIter": rng.randint(100, 1000),
-                "stepSize": round(math.exp(rng.uniform(math.log(0.01), math.log(0.3))), 5),
-                "minInstancesPerNode": int(round(math.exp(rng.uniform(math.log(5), math.log(100))))),
-                "subsamplingRate": round(rng.uniform(0.6, 1.0), 3),
-                "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 3)),
-            }
-        )
-    return out
+    log = lambda low, high: math.exp(rng.uniform(math.log(low), math.log(high)))
+    return [
+        {
+            "leaves": rng.randint(16, 128),
+            "depth": rng.randint(3, 12),
+            "step": round(log(0.01, 0.3), 5),
+            "trees": rng.randint(100, 1000),
+            "min_rows": rng.randint(10, 100),
+            "row_share": round(rng.uniform(0.5, 1.0), 3),
+            "feature_share": round(rng.uniform(0.5, 1.0), 3),
+            "l1": log(1e-8, 10.0),
+            "l2": log(1e-8, 10.0),
+        }
+        for _ in range(n_trials)
+    ]
 
 
 def random_search(
-    df: DataFrame, splits: DataFrame, features: Sequence[str], label: str = "load", n_trials: int = 50, seed: int = 42, settings: Sequence[dict] | None = None, **kw
+    df: DataFrame,
+    splits: DataFrame,
+    features: Sequence[str],
+    label: str = "load",
+    n_trials: int = 50,
+    seed: int = 42,
+    patience: int = 30,
+    settings: Sequence[dict] | None = None,
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
 ) -> DataFrame:
-    """Trial table (trial, settings, mean RMSE over the folds, best flag).
+    """Trial table (trial, settings, n_folds, mean RMSE over the folds, best flag); all trials and folds are fitted together.
 
-    ``settings`` replaces the drawn settings; the table reports what every trial was fitted with.
+    A fold's RMSE is that of its best number of trees on the test part.  ``settings`` replaces the drawn settings; the table
+    reports what every trial was fitted with.
     """
-    spark = df.sparkSession
-    df = cut_lineage(df.dropna(subset=[label, *features]))
-    rows = []
-    for number, drawn in enumerate(trial_settings(n_trials, seed) if settings is None else settings):
-        try:
-            mean = cross_validate(df, splits, features, label, is_written=True, **kw, **drawn).agg(F.avg("rmse")).first()[0]
-        except ValueError:
-            mean = None
-        rows.append((number, {k: str(x) for k, x in drawn.items()}, float(mean) if mean is not None else None))
-    trials = spark.createDataFrame(rows, "trial int, settings map<string,string>, mean_rmse double")
+    rows, numbers, roles = split_roles(df.dropna(subset=[label, *features]), splits, keys, ts)
+    binned = boosting.bin_rows(rows, features, [label], roles)
+    folds = [i for i in range(len(numbers)) if binned.sizes.get((0, i, TRAIN)) and binned.sizes.get((0, i, VALID))]
+    drawn = trial_settings(n_trials, seed) if settings is None else list(settings)
+    asked = [(n, Fit(Settings(patience=patience, seed=seed, **one), role=i)) for n, one in enumerate(drawn) for i in folds]
+    models = boosting.fit_all(binned, [f for _, f in asked])
+    reached: dict[int, list[float]] = {n: [] for n in range(len(drawn))}
+    for (n, _), model in zip(asked, models, strict=True):
+        reached[n].append(min(model.history))
+    out = [(n, {k: str(x) for k, x in one.items()}, len(reached[n]), sum(reached[n]) / len(reached[n]) if reached[n] else None) for n, one in enumerate(drawn)]
+    trials = df.sparkSession.createDataFrame(out, "trial int, settings map<string,string>, n_folds int, mean_rmse double")
     best = trials.agg(F.min_by("trial", F.struct(F.col("mean_rmse").isNull(), "mean_rmse", "trial"))).scalar()
     return trials.withColumn("is_best", flag(F.col("trial") == best))
 
@@ -233,27 +267,26 @@ def direct_multi_horizon(
     grid: Grid = HOURLY,
     **settings,
 ) -> tuple[DataFrame, DataFrame]:
-    """One model per horizon on a temporal 80/20 split: (predictions, metrics); horizons with few rows are skipped."""
+    """One model per horizon on a temporal 80/20 split: (predictions, metrics); horizons with few rows are skipped.
+
+    The features are binned once, with a label for every horizon, and all horizons are fitted together.
+    """
     wide = cut_lineage(
         holdout_split(horizon_targets(df.dropna(subset=list(features)), label, horizons, grid, keys=keys, ts=ts), 0, 0.2, keys, ts, grid)
     )
-
-    def one(h: int) -> tuple[DataFrame, DataFrame] | None:
-        rows = wide.where(F.col(f"target_{h}h").isNotNull()).withColumnRenamed(f"target_{h}h", "y_true")
-        train, val = rows.where("split = 'train'"), rows.where("split = 'validation'")
-        sizes = rows.groupBy("split").count().collect()
-        sizes = {r[0]: r[1] for r in sizes}
-        if sizes.get("train", 0) < min_train or sizes.get("validation", 0) < min_val:
-            return None
-        model = fit_gbt(train, features, "y_true", **settings)
-        scored = predict(model, val).select(*keys, ts, F.lit(h).alias("horizon"), "y_true", "prediction")
-        measured = scored.agg(*[c.alias(n) for n, c in metric_columns("y_true", "prediction").items() if n in ("rmse", "mae", "n")])
-        return scored, measured.select(F.lit(h).alias("horizon"), "*")
-
-    done = [r for r in _run_all([lambda h=h: one(h) for h in horizons]) if r is not None]
-    if not done:
+    targets = [f"target_{h}h" for h in horizons]
+    binned = boosting.bin_rows(wide, features, targets, [F.when(F.col("split") == "train", TRAIN).when(F.col("split") == "validation", VALID).otherwise(NONE)])
+    enough = [i for i in range(len(horizons)) if binned.sizes.get((i, 0, TRAIN), 0) >= min_train and binned.sizes.get((i, 0, VALID), 0) >= min_val]
+    if not enough:
         raise ValueError("no horizon has enough rows")
-    return reduce(DataFrame.unionByName, [d[0] for d in done]), reduce(DataFrame.unionByName, [d[1] for d in done])
+    models = boosting.fit_all(binned, [Fit(Settings(**settings), label=i) for i in enough])
+    fitted = {horizons[i]: m for i, m in zip(enough, models, strict=True)}
+    pairs = F.explode(F.array(*[F.struct(F.lit(horizons[i]).alias("horizon"), F.col(targets[i]).cast("double").alias("y_true")) for i in enough]))
+    long = wide.where("split = 'validation'").select(*keys, ts, *features, pairs.alias("_h")).where("_h.y_true IS NOT NULL")
+    long = long.select(*keys, ts, *features, F.col("_h.horizon").alias("horizon"), F.col("_h.y_true").alias("y_true"))
+    scored = long.withColumn("prediction", boosting.column_of(fitted, F.col("horizon"))).select(*keys, ts, "horizon", "y_true", "prediction")
+    measured = scored.groupBy("horizon").agg(*[c.alias(n) for n, c in metric_columns("y_true", "prediction").items() if n in ("rmse", "mae", "n")])
+    return scored, measured
 
 
 def recursive_feature_forecast(
@@ -290,14 +323,46 @@ def recursive_feature_forecast(
 
 
 def recursive_tree_forecast(
-    model: PipelineModel, df: DataFrame, lags: Sequence[int], horizon: int, column: str = "load", keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY
+    model: Ensemble,
+    df: DataFrame,
+    lags: Sequence[int],
+    horizon: int = 168,
+    column: str = "load",
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    grid: Grid = HOURLY,
+    inputs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    depth: int | None = None,
 ) -> DataFrame:
-    """The recursion for a model whose only inputs are lags (``<column>_lag_<k>h``)."""
-
-    def lagged(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({f"{column}_lag_{k}h": F.element_at("history", F.lit(-k)) for k in lags})
+    """The recursion for a tree model, all steps in one stage: (keys, ``ts``, step, y_pred).
 
-    return recursive_feature_forecast(lambda d: predict(model, d), df, lagged, max(lags), horizon, column, keys, ts, grid)
+    A row per series holds its last values; its task walks the trees for a whole batch of series and appends the prediction, step
+    after step.  Without ``inputs`` the model's features are lags, in the order of ``lags``; else ``inputs`` makes them (features
+    by series) from the last ``depth`` values (series by place, oldest first) and the seconds of the step.  Series with fewer values
+    are left out.
+    """
+    depth = depth or max(lags)
+    recent = edge_rows(df, depth, keys, ts, grid, rank="_back")
+    values = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("o"), F.col(column).cast("double").alias("v")))), lambda x: x["v"])
+    rows = recent.groupBy(*keys).agg(F.max(ts).alias("_from"), values.alias("_all")).where(F.size("_all") == depth)
+    rows = rows.select(*keys, F.unix_seconds("_from").alias("_s"), "_all")
+    picked = [depth - k for k in lags]
+
+    def run(batches):
+        for batch in batches:
+            known = np.array(batch.column(batch.num_columns - 1).to_pylist(), np.float64).reshape(-1, depth)
+            seconds = batch.column(batch.num_columns - 2).to_numpy()
+            whole = np.concatenate([known, np.empty((len(known), horizon))], 1)
+            for step in range(horizon):
+                now = whole[:, step : step + depth]
+                x = now[:, picked].T if inputs is None else inputs(now, seconds + (step + 1) * grid.step_seconds)
+                whole[:, depth + step] = model.scores(np.ascontiguousarray(x))
+            found = pa.array(list(whole[:, depth:]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=batch.schema.names)
+
+    out = rows.mapInArrow(run, rows.schema).select(*keys, "_s", F.posexplode("_all").alias("_p", "y_pred"))
+    step = F.col("_p") + 1
+    return out.select(*keys, F.timestamp_seconds(F.col("_s") + step * grid.step_seconds).alias(ts), step.alias("step"), "y_pred")
 
 
 def isotonic_recalibration(df: DataFrame, feature: str, sign: int, prediction: str = "prediction", label: str = "load") -> DataFrame:
@@ -393,11 +458,34 @@ def quantile_forecast(
     return out.withColumns({"lower": F.least(*names) if len(names) > 1 else F.col(names[0]), "upper": F.greatest(*names) if len(names) > 1 else F.col(names[0])})
 
 
+def quantile_tree_forecast(
+    df: DataFrame,
+    features: Sequence[str],
+    quantiles: Sequence[float] = (0.1, 0.5, 0.9),
+    label: str = "load",
+    role: Column | None = None,
+    **settings,
+) -> DataFrame:
+    """Boosted trees for every quantile, fitted together: one column each (``q10`` ...) plus ``lower`` and ``upper``.
+
+    Trees follow the gradients of the pinball loss; every leaf gets the exact quantile of its residuals.  ``role`` says which rows
+    train and which stop the boosting early (default: all train); all rows are predicted.
+    """
+    rows = cut_lineage(df.dropna(subset=[label, *features]))
+    binned = boosting.bin_rows(rows, features, [label], [F.lit(TRAIN) if role is None else role])
+    models = boosting.fit_all(binned, [Fit(Settings(quantile=q, **settings)) for q in quantiles])
+    if None in models:
+        raise ValueError("no training rows")
+    out = rows.withColumns({quantile_name(q): m.column() for q, m in zip(quantiles, models, strict=True)})
+    names = [quantile_name(q) for q in sorted(quantiles)]
+    return out.withColumns({"lower": F.least(*names) if len(names) > 1 else F.col(names[0]), "upper": F.greatest(*names) if len(names) > 1 else F.col(names[0])})
+
+
 # --- whole experiment -------------------------------------------------------------------------------------------------
 
 
 def holdout_experiment(
-    df: DataFrame, features: Sequence[str], test_rows: int, label: str = "load", trees: int = 20, depth: int = 6, repeats: int = 2, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY, **settings
+    df: DataFrame, features: Sequence[str], test_rows: int, label: str = "load", forest: int = 50, forest_depth: int = 10, repeats: int = 5, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY, **settings
 ) -> DataFrame:
     """Split, naive baselines, pruning, fit, metrics: one results row per method, each over all test rows together."""
     spark = df.sparkSession
@@ -405,7 +493,7 @@ def holdout_experiment(
     train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
     naive = compare_baselines(train, test, test_rows, column=label, keys=keys, ts=ts, grid=grid, pooled=True)
     naive = naive.select("method", "rmse", "mae", "mape", "r2", "max_error")
-    pruned = permutation_prune(rows.where("split = 'train'"), features, label, repeats=repeats, trees=trees, depth=depth)
+    pruned = permutation_prune(rows.where("split = 'train'"), features, label, repeats=repeats, trees=forest, depth=forest_depth)
     kept = [r[0] for r in pruned.where("kept = 1").orderBy("feature").collect()] or list(features)
     model = fit_gbt(train.withColumn("_val", F.col("split") == "validation"), kept, label, "_val", **settings)
     scored = predict(model, test)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, full_grid, over_chunks
+from tidegrid.operators.chunks import HOURLY, KEYS, TS, Grid, edge_rows, gap_islands, gap_steps, over_chunks, with_halo
 from tidegrid.operators.guards import flag, ratio, safe_corr
 from tidegrid.operators.ranks import percentiles
 from tidegrid.operators.series import LAGS
@@ -248,8 +250,11 @@ def temporal_consistency(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS
         F.min_by("_step", F.struct(-F.col("_k"), F.col("_step"))).alias("usual_step_seconds"),
         (F.sum("_k") - F.max("_k")).alias("n_irregular"),
     )
-    gone = full_grid(points, keys, ts, grid).join(points.select(*keys, ts), [*keys, ts], "left_anti")
-    gaps = gone.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gaps"))
+    islands = settled(gap_islands(points, keys, ts, grid), "gaps")
+    gaps = islands.groupBy(*keys).agg(F.sum("_missing").alias("n_gaps"))
+    # the first ten missing steps are in the first ten gaps, and in the first ten steps of each
+    early = edge_rows(islands.withColumn(ts, F.timestamp_seconds("_first")), 10, keys, ts, grid, last=False).drop(ts)
+    gone = gap_steps(early.withColumn("_missing", F.least("_missing", F.lit(10))), keys, ts, grid)
     shown = edge_rows(gone, 10, keys, ts, grid, last=False).groupBy(*keys).agg(
         F.array_join(F.array_sort(F.collect_list(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))), ",").alias("first_gaps")
     )
@@ -299,25 +304,44 @@ def autocorr_lags(
     return rows.withColumn("lag", F.col("lag").cast("int")).where("autocorrelation IS NOT NULL")
 
 
+def lagged_products(own: np.ndarray, known: np.ndarray, max_lag: int) -> np.ndarray:
+    """Sums of ``own[i]`` times the value k places before it, for k = 0 .. ``max_lag`` or as far as there are values.
+
+    ``own`` are the last values of ``known``.  One forward and one inverse FFT, instead of a product per value and lag.
+    """
+    size = 1 << max(1, (2 * len(known) - 1).bit_length())
+    padded = np.zeros(len(known))
+    padded[len(known) - len(own) :] = own
+    products = np.fft.irfft(np.fft.rfft(padded, size) * np.conj(np.fft.rfft(known, size)), size)
+    return products[: min(max_lag, len(known) - 1) + 1]
+
+
 def acf(
     df: DataFrame, column: str = "load", max_lag: int = 168, keys: Sequence[str] = KEYS, ts: str = TS, grid: Grid = HOURLY
 ) -> DataFrame:
-    """Autocorrelation with the full-series mean and variance, for lags 0 .. ``max_lag``."""
-    present = df.where(F.col(column).isNotNull()).select(*keys, ts, F.col(column).alias("_x"))
+    """Autocorrelation with the full-series mean and variance, for lags 0 .. ``max_lag``.
+
+    Every bucket with the ``max_lag`` rows before it is correlated by FFT in one Arrow group; what is shuffled after that are
+    buckets times lags, however many rows there are.
+    """
+    present = df.where(F.col(column).isNotNull()).select(*keys, ts, F.col(column).cast("double").alias("_x"))
     means = settled(present.groupBy(*keys).agg(F.avg("_x").alias("_m")))
     centred = present.join(means, list(keys)).select(*keys, ts, (F.col("_x") - F.col("_m")).alias("_d"))
-    # the frame holds at most max_lag + 1 values; products are summed per lag before the shuffle
-    framed = over_chunks(
-        centred,
-        lambda w: {"_past": F.collect_list("_d").over(w.rowsBetween(-max_lag, 0))},
-        back=max_lag, keys=keys, ts=ts, grid=grid, carry=["_d"],
-    )
-    pairs = framed.select(*keys, "_d", F.size("_past").alias("_len"), F.posexplode("_past").alias("_pos", "_other"))
-    sums = pairs.groupBy(*keys, (F.col("_len") - 1 - F.col("_pos")).alias("lag")).agg(
-        F.sum(F.col("_d") * F.col("_other")).alias("_c")
-    )
+    rows = with_halo(centred, max_lag, keys=keys, ts=ts, grid=grid).select(*keys, "_bucket", ts, "_d", "_own")
+    named = [f"{k} {kind}" for k, kind in rows.dtypes if k in keys]
+
+    def correlate(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by(ts)
+        own = np.asarray(table["_own"].to_pylist(), bool)
+        values = table["_d"].to_numpy()
+        sums = lagged_products(values[own], values, max_lag)
+        columns = {k: pa.array([key[i].as_py()] * len(sums), key[i].type) for i, k in enumerate(keys)}
+        return pa.table({**columns, "lag": pa.array(np.arange(len(sums)), pa.int32()), "_c": pa.array(sums)})
+
+    parts = rows.groupBy(*keys, "_bucket").applyInArrow(correlate, ", ".join([*named, "lag int", "_c double"]))
+    sums = parts.groupBy(*keys, "lag").agg(F.sum("_c").alias("_c"))
     zero = F.max(F.when(F.col("lag") == 0, F.col("_c"))).over(Window.partitionBy(*keys))
-    return sums.select(*keys, F.col("lag").cast("int").alias("lag"), ratio(F.col("_c"), zero).alias("acf"))
+    return sums.select(*keys, "lag", ratio(F.col("_c"), zero).alias("acf"))
 
 
 def _durbin_levinson(rho: list[float]) -> list[float]:

@@ -289,9 +289,28 @@ def _(spark, sf):
     return rounded(p.acf(v.load_hourly(spark, sf)), ["acf"])
 
 
-@query("pacf")
+# The recursion on the list of autocorrelations: phi holds the coefficients of order k - 1.
+@query(
+    "pacf",
+    "load_hourly",
+    f""", o AS (SELECT series_id, load - avg(load) OVER (PARTITION BY series_id) AS d,
+        row_number() OVER (PARTITION BY series_id ORDER BY timestamp) AS i FROM load_hourly),
+    v AS (SELECT series_id, sum(d * d) AS v FROM o GROUP BY 1),
+    a AS (SELECT a.series_id, k, sum(a.d * b.d) / max(v.v) AS rho FROM o a JOIN range(0, 51) t(k) ON true
+        JOIN o b ON b.series_id = a.series_id AND b.i = a.i - k JOIN v ON v.series_id = a.series_id GROUP BY 1, 2),
+    r AS (SELECT series_id, list(rho ORDER BY k) AS rho FROM a GROUP BY 1),
+    s AS (
+      SELECT series_id, rho, 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1.0::DOUBLE AS last FROM r
+      UNION ALL
+      SELECT series_id, rho, k + 1, list_append(list_transform(phi, lambda x, j: x - now * phi[len(phi) - j + 1]), now), now FROM (
+        SELECT series_id, rho, k, phi, coalesce(
+          (rho[k + 2] - coalesce(list_sum(list_transform(phi, lambda x, j: x * rho[k + 2 - j])), 0))
+          / nullif(1 - coalesce(list_sum(list_transform(phi, lambda x, j: x * rho[j + 1])), 0), 0), 0) AS now
+        FROM s WHERE k + 1 < len(rho)))
+    SELECT series_id, k::INT AS lag, {q6('last', 4)} AS pacf FROM s""",
+)
 def _(spark, sf):
-    return rounded(p.pacf(v.load_hourly(spark, sf)), ["pacf"])
+    return rounded(p.pacf(v.load_hourly(spark, sf)), ["pacf"], 4)
 
 
 @query(

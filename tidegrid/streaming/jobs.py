@@ -47,10 +47,17 @@ def stream_resample_hourly(df: DataFrame, column: str = "value", key: str = "ser
 def stream_sliding_mean(
     df: DataFrame, column: str = "value", key: str = "series_id", ts: str = "timestamp", size: str = "24 hours", slide: str = "1 hour", delay: str = "2 hours"
 ) -> DataFrame:
-    grouped = df.withWatermark(ts, delay).groupBy(F.window(ts, size, slide), key).agg(
-        F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n")
+    """Mean and count of every sliding window, from panes of one slide: each event counts in one pane, each pane in its windows.
+
+    ``size`` must be a multiple of ``slide``.  A window comes out once the watermark has passed its end; later rows are dropped.
+    """
+    panes = df.withWatermark(ts, delay).groupBy(F.window(ts, slide).alias("_pane"), key).agg(
+        F.sum(column).alias("_sum"), F.count(column).alias("_n"), F.count(F.lit(1)).alias("_rows")
+    )
+    windows = panes.groupBy(F.window(F.window_time("_pane"), size, slide).alias("window"), key).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean"), F.sum("_rows").alias("n")
     )
-    return grouped.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "mean", "n")
+    return windows.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "mean", "n")
 
 
 def stream_dedupe(df: DataFrame, keys: Sequence[str] = ("series_id", "timestamp"), ts: str = "timestamp", delay: str = "2 hours") -> DataFrame:
