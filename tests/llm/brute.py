@@ -94,12 +94,17 @@ def shingles(text, size=5):
     return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
+def word_runs(text, size):
+    w = shingle_words(text)
+    return {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
 def contaminated(rows, items, threshold=0.8):
     found = {}
     for i, t in rows:
-        own = shingles(t)
         for item, text in items:
             wanted = shingles(text)
+            own = word_runs(t, min(5, len(shingle_words(text)) or 5))
             if wanted and len(own & wanted) / len(wanted) >= threshold:
                 value = (len(own & wanted) / len(wanted), len(own & wanted), len(wanted))
                 found[i, item] = max(value, found.get((i, item), value))

@@ -3,7 +3,9 @@ from __future__ import annotations
 import collections
 import math
 import random
+import re
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -185,6 +187,50 @@ def test_secret_spans(spark, model):
     assert added == [(5, "Zk3vQ9xP1bT7rW2mN8yLq5Gh")]
 
 
+def test_spans_equal_the_sorted_union_of_all_kinds(spark, model, monkeypatch):
+    """Every candidate with a high ratio that touches no base span is added, in texts of many matches and in any piece size."""
+    rng = random.Random(6)
+    token = lambda n: "".join(rng.choice(secrets.ALPHABET.replace("=", "")) for _ in range(n))
+    kinds = [lambda: "token=" + token(24), lambda: "AKIA" + "ABCD" * 4, lambda: "0123456789abcdef" * 3, lambda: token(40), lambda: "ordinary_identifier_name", lambda: "x" + token(30) + "0123456789abcdef" * 2, lambda: "é"]
+    docs = [(n, " ".join(rng.choice(kinds)() for _ in range(n))) for n in (0, 1, 5, 400)]
+    found = {}
+    for piece in (128, 3):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        out = secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+        found[piece] = {r.doc_id: [tuple(s) for s in r.spans] for r in out}
+    assert found[128] == found[3]
+    ratio = {c: x for c, x in ((r.c, r.x) for r in spark.createDataFrame([(m,) for _, t in docs for m in re.findall(secrets.CANDIDATE, t)] or [("",)], "c string").distinct().select("c", secrets.log_ratio(F.col("c"), model).alias("x")).collect())}
+    for i, t in docs:
+        base = brute.secrets(t)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(secrets.CANDIDATE, t) if ratio[m[0]] >= secrets.THRESHOLD]
+        free = [m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+        assert found[128][i] == sorted(base + free)
+
+
+def test_many_matches_in_linear_time(spark, model):
+    """A megabyte of hexadecimal strings (32,000 matches, all of them candidates too)."""
+    text = " ".join("0123456789abcdef" * 2 for _ in range(32_000))
+    start = time.perf_counter()
+    r = secrets.secret_digest(secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model)).first()
+    assert r.n_hex == 32_000 and time.perf_counter() - start < 30
+
+
+def test_markov_recall_and_false_alarms(spark):
+    """Planted tokens of several kinds are found, ordinary identifiers and words are not."""
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trained = secrets.train_markov(secrets.labelled_samples(docs))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [letters.upper() + letters + digits + "+/", letters.upper() + letters + digits, letters.upper() + digits, letters + digits]
+    planted = [(i, "see " + "".join(rng.choice(alphabets[i % 4]) for _ in range(24 + i % 17)) + " here") for i in range(400)]
+    words = ["value", "index", "count", "total", "server", "update", "handle", "request", "buffer", "name", "user", "message", "default"]
+    plain = [(1000 + i, "see " + rng.choice("_-").join(rng.choice(words) for _ in range(4 + i % 3)) + " here") for i in range(400)]
+    found = secrets.find_secrets(spark.createDataFrame(planted + plain, "doc_id long, text string"), trained)
+    hits = {r.doc_id for r in found.where(F.size("spans") > 0).collect()}
+    assert len([i for i, _ in planted if i in hits]) >= 0.9 * len(planted)
+    assert len([i for i, _ in plain if i in hits]) <= 0.05 * len(plain)
+
+
 def test_secrets_of_odd_rows(odd, odd_rows, nothing, model):
     found = secrets.secret_digest(secrets.find_secrets(odd, model))
     assert found.count() == len(odd_rows)
@@ -194,6 +240,16 @@ def test_secrets_of_odd_rows(odd, odd_rows, nothing, model):
     assert secrets.labelled_samples(odd, limit=3).where("random").count() <= 3 * 3
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) for _ in range(n))
+    items = [(1, "What is x?"), (2, "zebra"), (3, "two zebras"), (4, "one two three four"), (5, "q w e r t y u i o p")]
+    docs = [(10, filler(3000) + " what IS, x " + filler(3000)), (11, filler(50) + " zebra " + filler(50)), (12, "two zebras"), (13, "two big zebras"), (14, "is x what"), (15, "four"), (16, filler(9) + " one-two three; four"), (17, None)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(10, 1), (11, 2), (12, 3), (16, 4)]
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, brute.contaminated(docs, items)))
+
+
 def test_contamination(spark, odd, odd_rows, nothing):
     rng = random.Random(6)
     texts = [t for _, t in odd_rows if t]

@@ -42,14 +42,14 @@ WITH rows AS (
 w AS (
   SELECT side, id, text, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
   FROM rows),
+z AS (SELECT DISTINCT least(len(ws), 5) AS size FROM w WHERE side = 1 AND len(ws) > 0),
 s AS (
-  SELECT DISTINCT side, id, text, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
-  FROM w WHERE len(ws) > 0),
-b AS (SELECT id AS item_id, text, g, count(*) OVER (PARTITION BY id, text) AS n_item FROM s WHERE side = 1),
+  SELECT DISTINCT side, id, text, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS g
+  FROM w JOIN z ON len(ws) >= size AND (side = 0 OR size = least(len(ws), 5))),
+b AS (SELECT id AS item_id, text, size, g, count(*) OVER (PARTITION BY id, text) AS n_item FROM s WHERE side = 1),
 p AS (
   SELECT d.id AS doc_id, b.item_id, b.n_item, count(*) AS n_shared
-  FROM s d JOIN b ON d.g = b.g WHERE d.side = 0 GROUP BY d.id, d.text, b.item_id, b.text, b.n_item)
+  FROM s d JOIN b ON d.g = b.g AND d.size = b.size WHERE d.side = 0 GROUP BY d.id, d.text, b.item_id, b.text, b.n_item)
 SELECT doc_id, item_id, max(n_item) AS n_item, max(n_shared) AS n_shared, max(n_shared / n_item) AS containment
 FROM p WHERE n_shared / n_item >= 0.8 GROUP BY doc_id, item_id
 """

@@ -5,7 +5,6 @@ Column functions only.  Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-import json
 import math
 import string
 
@@ -29,11 +28,15 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}"
 THRESHOLD = 10.0
 #: Transitions that the plain character frequencies count for after each character.
 BACKOFF = 10.0
+#: Words of an identifier made for the model of ordinary strings.
+JOINED_WORDS = 4
 #: Documents whose words and secrets train the models.
 SAMPLE_DOCUMENTS = 2000
 SIZE = len(ALPHABET) + 1
 
 SPAN = "struct<start:int,kind:int,end:int>"
+#: Matches that are folded into one array.
+PIECE = 128
 
 
 def _codes(text: F.Column) -> F.Column:
@@ -67,7 +70,8 @@ def train_markov(samples: DataFrame, text_col: str = "text", random_col: str = "
 
 def log_ratio(text: F.Column, model: list[float]) -> F.Column:
     """Log-likelihood ratio of a string: positive if it looks random."""
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    # constants, which the optimizer folds to one value; a function of a text would be evaluated again for every character
+    table = F.expr(f"array({', '.join(f'{x!r}D' for x in model)})")
     start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"))
 
     def step(a, c):
@@ -79,17 +83,24 @@ def log_ratio(text: F.Column, model: list[float]) -> F.Column:
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """(text, random): words of at most ``limit`` documents, drawn by hash of the id, and random strings.
 
-    The random strings are digests of the documents in three spellings, and the values that the base patterns find there.
+    Ordinary strings are the words, and identifiers joined of neighbouring ones.  The random strings are digests of the documents
+    in three spellings, and the values that the base patterns find there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     keyed = rows.select("text", *row_key("id", "text"))
     # the draw moves keys only; at most ``limit`` of them are broadcast
     keys = keyed.select("_d", "_h").orderBy(F.xxhash64("_d"), "_h").limit(limit).distinct()
-    drawn = written(keyed.join(F.broadcast(keys), ["_d", "_h"]).limit(limit).select("text"), "sample")
+    # of copies of a row one is drawn, so the sample does not depend on how the rows are dealt out
+    drawn = written(keyed.join(F.broadcast(keys), ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select("text"), "sample")
     plain = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, pattern, " ")
-    words = drawn.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("text"), F.lit(False).alias("random"))
+    said = F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
+    # words of a text joined as identifiers are: with underscores, with hyphens, or by capitals
+    starts = F.sequence(F.lit(1), F.greatest(F.size("said"), F.lit(1)), F.lit(JOINED_WORDS))
+    runs = F.transform(starts, lambda i: F.slice("said", i, F.lit(JOINED_WORDS)))
+    joined = F.flatten(F.transform(runs, lambda r: F.array(F.lower(F.array_join(r, "_")), F.lower(F.array_join(r, "-")), F.array_join(F.transform(r, F.initcap), ""))))
+    words = drawn.select(said.alias("said")).select(F.explode(F.concat("said", joined)).alias("text"), F.lit(False).alias("random"))
     code = F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("text"), 256))), "=", "")
     digests = F.array(code, F.md5("text"), F.regexp_replace(F.upper(code), "[+/]", ""))
     found = F.concat(digests, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)))
@@ -97,19 +108,61 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return words.unionByName(secrets)
 
 
-def _spans(text: F.Column, found: F.Column, pattern: str, kind: str, keep) -> F.Column:
-    """Spans of those matches that ``keep`` accepts; ``found`` are all matches of ``pattern`` in ``text``."""
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("out"))
+def _scan(column: str, state: F.Column, none: F.Column, step) -> F.Column:
+    """The arrays that ``step(state, item)`` gives beside its next state over the items of an array column, one behind another.
 
-    def step(a, p):
-        begin = a["at"] + F.char_length(p["gap"])
+    Pieces of PIECE items are folded to an array each, and these are joined at the end, so the time follows the number of items.
+    The items must be a column of the table: an expression would be evaluated again for every piece.
+    """
+    items = F.col(column)
+    last = F.greatest(F.size(items) - 1, F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), last, F.lit(PIECE)), lambda i: F.slice(items, i + 1, F.lit(PIECE)))
+
+    def one(a, item):
+        now, found = step(a["state"], item)
+        return F.struct(now.alias("state"), F.concat(a["out"], found).alias("out"))
+
+    def piece(a, some):
+        folded = F.aggregate(some, F.struct(a["state"].alias("state"), none.alias("out")), one)
+        return F.struct(folded["state"].alias("state"), F.concat(a["out"], F.array(folded["out"])).alias("out"))
+
+    begin = F.struct(state.alias("state"), F.filter(F.array(none), lambda x: F.lit(False)).alias("out"))
+    return F.aggregate(pieces, begin, piece, lambda a: F.flatten(a["out"]))
+
+
+def _no_spans() -> F.Column:
+    return F.expr(f"CAST(array() AS array<{SPAN}>)")
+
+
+def _parts(text: F.Column, found: F.Column, pattern: str, kept: F.Column) -> F.Column:
+    """Every match of ``pattern`` in ``text``, given as ``found``, with the gap before it and its place in ``kept``."""
+    return F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("match"), kept.alias("keep"))
+
+
+def _spans(parts: str, kind: str) -> F.Column:
+    """Spans of the matches in the column ``parts`` that are kept."""
+
+    def step(at, p):
+        begin = at + F.char_length(p["gap"])
         end = begin + F.char_length(p["match"])
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep(p["match"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        return end, F.when(p["keep"], F.array(span)).otherwise(_no_spans())
+
+    return F.when(F.size(parts) > 0, _scan(parts, F.lit(0), _no_spans(), step)).otherwise(_no_spans())
+
+
+def _apart(spans: str, backwards: bool) -> F.Column:
+    """The column ``spans``, in order of their starts or ``backwards``, without the markov ones that touch a base span met before them."""
+    markov = F.lit(KINDS.index("markov"))
+
+    def step(reached, s):
+        if backwards:
+            now, clear = F.when(s["kind"] == markov, reached).otherwise(F.least(reached, s["start"])), s["end"] <= reached
+        else:
+            now, clear = F.when(s["kind"] == markov, reached).otherwise(F.greatest(reached, s["end"])), s["start"] >= reached
+        return now, F.when((s["kind"] != markov) | clear, F.array(s)).otherwise(_no_spans())
 
-    none = F.expr(f"CAST(array() AS array<{SPAN}>)")
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none)
+    return _scan(spans, F.lit(2**31 - 1 if backwards else 0), _no_spans(), step)
 
 
 def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -129,16 +182,25 @@ def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
         F.regexp_extract_all(t, F.lit(HEX), F.lit(0)).alias("hex"),
         F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("candidates"),
     )
-    rows = rows.withColumn("random", F.array_distinct(F.filter("candidates", lambda c: log_ratio(c, model) >= threshold)))
-    always = lambda m: F.lit(True)
-    value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LENGTH
-    base = F.array_sort(F.concat(_spans(t, F.col("assign"), ASSIGN, "assign", value), _spans(t, F.col("access"), ACCESS, "access", always), _spans(t, F.col("hex"), HEX, "hex", always)))
-    is_random = lambda m: F.array_contains("random", m)
-    none = F.expr(f"CAST(array() AS array<{SPAN}>)")
-    markov = F.when(F.size("random") > 0, _spans(t, F.col("candidates"), CANDIDATE, "markov", is_random)).otherwise(none)
-    rows = rows.select(id_col, "text", base.alias("base"), markov.alias("markov"))
-    free = F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(id_col, "text", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    rows = rows.withColumn("random", F.transform("candidates", lambda c: log_ratio(c, model) >= threshold))
+    every = lambda found: F.transform(found, lambda m: F.lit(True))
+    valued = F.transform("assign", lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LENGTH)
+    some = F.exists("random", lambda x: x)
+    none = F.expr("CAST(array() AS array<struct<gap:string,match:string,keep:boolean>>)")
+    # every step is a column of its own
+    rows = rows.select(
+        id_col,
+        "text",
+        _parts(t, F.col("assign"), ASSIGN, valued).alias("assign"),
+        _parts(t, F.col("access"), ACCESS, every("access")).alias("access"),
+        _parts(t, F.col("hex"), HEX, every("hex")).alias("hex"),
+        F.when(some, _parts(t, F.col("candidates"), CANDIDATE, F.col("random"))).otherwise(none).alias("markov"),
+    )
+    rows = rows.select(id_col, "text", F.array_sort(F.concat(*[_spans(k, k) for k in KINDS[:3]])).alias("base"), _spans("markov", "markov").alias("markov"))
+    rows = rows.select(id_col, "text", "base", F.size("markov").alias("more"), F.array_sort(F.concat("base", "markov")).alias("spans"))
+    # a candidate is held against the base spans before it, then against those behind its start: two sweeps
+    rows = rows.select(id_col, "text", "base", "more", F.when(F.col("more") > 0, F.reverse(_apart("spans", False))).otherwise(_no_spans()).alias("spans"))
+    return rows.select(id_col, "text", "base", F.when(F.col("more") > 0, F.reverse(_apart("spans", True))).otherwise(F.col("base")).alias("spans"))
 
 
 def listed(spans: str) -> F.Column:
