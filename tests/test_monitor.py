@@ -83,3 +83,32 @@ def test_promotion_and_rollback(spark):
     up = events.unionByName(rn.promote(events, events.where("version = 3").select("name", "version").distinct(), "Production"))
     assert state(up) == {1: "Archived", 2: "Archived", 3: "Production"}
     assert state(up.unionByName(rn.rollback(up))) == {1: "Archived", 2: "Production", 3: "Archived"}
+
+
+def test_close_values_fill_many_parts(spark):
+    """200,000 values between 1 and 1.0001 are one cell; no part of it has more than a few of them."""
+    from tidegrid.operators import ranks
+
+    rows = spark.range(200_000).selectExpr("'k' AS k", "1 + id / 2e9 AS v", "id % 3 AS side")
+    cells = rows.groupBy(F.expr(ranks.value_bucket("v"))).count().collect()
+    assert len(cells) == 1
+    out = ranks.cumulative_counts(rows, ["k"], "v", {"a": F.count_if(F.col("side") == 0), "b": F.count_if(F.col("side") != 0)})
+    r = out.agg(F.count("*"), F.max("a_upto"), F.max("b_upto"), F.count_if(F.col("a_upto") + F.col("b_upto") != F.round((F.col("v") - 1) * 2e9) + 1)).first()
+    assert tuple(r) == (200_000, 66_667, 133_333, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+
+
+def test_sketches_merge_and_bound_the_distance(spark):
+    reference = spark.range(60_000).selectExpr("id", "randn(1) AS x", "rand(2) AS y", "cast(id % 7 AS double) AS z")
+    current = spark.range(20_000).selectExpr("randn(3) + 0.3 AS x", "rand(4) AS y", "cast(id % 7 AS double) AS z")
+    names = ["x", "y", "z"]
+    windows = [mo.sketches(reference.where(f"id % 3 = {i}"), names) for i in range(3)]
+    merged = mo.merged_sketches(windows[0].unionByName(windows[1]).unionByName(windows[2]))
+    found = {r.feature: r for r in mo.sketch_drift(merged, mo.sketches(current, names)).collect()}
+    exact = {r.feature: r.ks_statistic for r in mo.ks_drift(reference, current, names).collect()}
+    for name in names:
+        r = found[name]
+        assert (r.n_reference, r.n_current) == (60_000, 20_000) and r.ks_low <= exact[name] <= r.ks_high
+    assert found["x"].drift == 1 and found["y"].drift == 0 and found["z"].drift == 0
+    assert mo.sketches(reference.where("id < 0"), names).count() == 0

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.session import settled
+
 CELLS = 4096
 
 
@@ -33,24 +35,35 @@ def value_bucket(v: str) -> str:
 def cumulative_counts(
     df: DataFrame, keys: Sequence[str], value: str, counts: dict[str, Column] | None = None
 ) -> DataFrame:
-    """One row per (keys, value): for each count ``c`` the columns ``c``, ``c_upto`` (running) and ``c_total``."""
+    """One row per (keys, value): for each count ``c`` the columns ``c``, ``c_upto`` (running) and ``c_total``.
+
+    Running sums come from the totals of cells, of equal parts of each cell's own range, and of the values in a part: values that
+    lie close together fill many parts, so they are not sorted in one task.
+    """
     counts = counts or {"n": F.count(F.lit(1))}
     key_list = ", ".join(f"`{k}`" for k in keys)
-    cells = df.where(f"`{value}` IS NOT NULL").groupBy(*keys, value).agg(*[e.alias(c) for c, e in counts.items()])
-    cells = cells.withColumn("_cell", F.expr(value_bucket(f"`{value}`")))
+    values = df.where(f"`{value}` IS NOT NULL").groupBy(*keys, value).agg(*[e.alias(c) for c, e in counts.items()])
+    values = values.withColumn("_cell", F.expr(value_bucket(f"`{value}`")))
     at = [*keys, "_cell"]
-    totals = cells.groupBy(*at).agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
+    totals = values.groupBy(*at).agg(F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"), *[F.sum(c).alias(f"_s_{c}") for c in counts])
     # one row per key and cell: a few thousand per power of two, however many values there are
-    offsets = totals.selectExpr(
-        *[f"`{k}`" for k in at],
+    cells = totals.selectExpr(
+        *[f"`{k}`" for k in at], "_min", "_max",
         *[f"sum(_s_{c}) OVER (PARTITION BY {key_list} ORDER BY _cell) - _s_{c} AS _before_{c}" for c in counts],
         *[f"sum(_s_{c}) OVER (PARTITION BY {key_list}) AS {c}_total" for c in counts],
     )
-    local = f"OVER (PARTITION BY {key_list}, _cell ORDER BY `{value}` ROWS UNBOUNDED PRECEDING)"
-    return cells.join(offsets, at).selectExpr(
+    share = f"CASE WHEN _max > _min THEN least(floor((`{value}` - _min) / (_max - _min) * {CELLS}), {CELLS} - 1) ELSE 0 END"
+    placed = values.join(settled(cells, "cells"), at).withColumn("_part", F.expr(share)).drop("_min", "_max")
+    inner = [*at, "_part"]
+    sizes = placed.groupBy(*inner).agg(*[F.sum(c).alias(f"_p_{c}") for c in counts])
+    parts = sizes.selectExpr(
+        *[f"`{k}`" for k in inner], *[f"sum(_p_{c}) OVER (PARTITION BY {key_list}, _cell ORDER BY _part) - _p_{c} AS _within_{c}" for c in counts]
+    )
+    local = f"OVER (PARTITION BY {key_list}, _cell, _part ORDER BY `{value}` ROWS UNBOUNDED PRECEDING)"
+    return placed.join(parts, inner).selectExpr(
         *[f"`{k}`" for k in keys],
         f"`{value}`",
-        *[x for c in counts for x in (c, f"_before_{c} + sum({c}) {local} AS {c}_upto", f"{c}_total")],
+        *[x for c in counts for x in (c, f"_before_{c} + _within_{c} + sum({c}) {local} AS {c}_upto", f"{c}_total")],
     )
 
 

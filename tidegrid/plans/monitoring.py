@@ -82,6 +82,44 @@ def prediction_drift(reference: DataFrame, current: DataFrame, column: str = "y_
     return ks_drift(reference.select(column), current.select(column), [column], threshold)
 
 
+#: Size of a KLL sketch, and the share of rows by which a rank read from it can be off (99 % confidence).
+SKETCH_K, RANK_ERROR = 1000, 0.0033
+#: Points of each sketch at which the two are compared.
+SKETCH_POINTS = 500
+
+
+def sketches(df: DataFrame, features: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """(feature, n, sketch): a mergeable KLL sketch of every numeric feature; null and NaN values are left out."""
+    long = long_columns(df, features, []).where("value IS NOT NULL AND NOT isnan(value)")
+    return long.groupBy(F.col("column").alias("feature")).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame) -> DataFrame:
+    """One sketch per feature from the sketches of several windows, whose rows are not read again."""
+    return parts.groupBy("feature").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_drift(reference: DataFrame, current: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """KS test on two tables of ``sketches``: the distance with its bounds, its p-value and whether the lower bound is significant.
+
+    Both distributions are read as quantiles at SKETCH_POINTS steps and compared at all of these; the true distance is at most
+    the rank error of each sketch and one step of each side away.
+    """
+    both = reference.select("feature", F.col("n").alias("n_reference"), F.col("sketch").alias("_r")).join(
+        current.select("feature", F.col("n").alias("n_current"), F.col("sketch").alias("_c")), "feature"
+    )
+    shares = F.array(*[F.lit(i / SKETCH_POINTS) for i in range(1, SKETCH_POINTS + 1)])
+    read = both.select("feature", "n_reference", "n_current", *[F.kll_sketch_get_quantile_double(s, shares).alias(s) for s in ("_r", "_c")])
+    below = lambda side, x: F.size(F.filter(side, lambda q: q <= x)) / SKETCH_POINTS
+    gaps = F.transform(F.array_distinct(F.concat("_r", "_c")), lambda x: F.abs(below("_r", x) - below("_c", x)))
+    out = read.select("feature", "n_reference", "n_current", F.array_max(gaps).alias("ks_statistic"))
+    n, m = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
+    slack = 2 * (RANK_ERROR + 1 / SKETCH_POINTS)
+    low, high = F.greatest(F.col("ks_statistic") - slack, F.lit(0.0)), F.least(F.col("ks_statistic") + slack, F.lit(1.0))
+    out = out.withColumns({"ks_low": low, "ks_high": high, "p_value": kolmogorov_p(F.col("ks_statistic"), n, m)})
+    return out.withColumn("drift", flag(kolmogorov_p(F.col("ks_low"), n, m) < threshold))
+
+
 def save_reference(reference: DataFrame, features: Sequence[str], path: str) -> None:
     reference_stats(reference, features).write.mode("overwrite").parquet(path)
 

@@ -271,6 +271,18 @@ def _(spark, sf):
     return rounded(out, ["y_pred", "lower", "upper"], 4)
 
 
+# A band for every test row, not upside down, around a prediction.
+@query(
+    "conformal_check",
+    "model_rows",
+    "SELECT series_id, least(count(*), 72)::BIGINT AS n, 1 AS is_ordered FROM model_rows GROUP BY 1",
+)
+def _(spark, sf):
+    rows = cut_lineage(f.holdout_split(v.model_rows(spark, sf), 72))
+    out = cf.conformal_enbpi(rows.where("split <> 'test'"), rows.where("split = 'test'"), FEATURES)
+    return out.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min(flag((F.col("lower") <= F.col("upper")) & F.col("y_pred").isNotNull())).alias("is_ordered"))
+
+
 @query("conformal_scores")
 def _(spark, sf):
     rows = cut_lineage(f.holdout_split(v.model_rows(spark, sf), 72))
@@ -283,6 +295,24 @@ def _(spark, sf):
     return ln.holdout_experiment(v.model_rows(spark, sf), FEATURES, 72)
 
 
+# Sizes of both parts and the methods compared over the same test rows.
+@query(
+    "holdout_experiment_check",
+    "model_rows",
+    """SELECT method, sum(greatest(n - 72, 0))::BIGINT AS n_train, sum(least(n, 72))::BIGINT AS n_test, 4 AS n_features, 1 AS is_ordered
+    FROM (SELECT series_id, count(*) AS n FROM model_rows GROUP BY 1), (VALUES ('persistence'), ('seasonal_naive'), ('moving_average'), ('gbt')) m(method) GROUP BY 1""",
+)
+def _(spark, sf):
+    out = ln.holdout_experiment(v.model_rows(spark, sf), FEATURES, 72)
+    return out.select("method", "n_train", "n_test", "n_features", flag(F.col("mae") <= F.col("rmse") + 1e-9).alias("is_ordered"))
+
+
+@query("permutation_prune_check", "", "SELECT 4::BIGINT AS n_features, 1 AS is_consistent")
+def _(spark, sf):
+    out = ln.permutation_prune(v.model_rows(spark, sf), FEATURES)
+    return out.agg(F.count(F.lit(1)).alias("n_features"), F.min(flag((F.col("kept") == 1) == (F.col("importance") > 0.001))).alias("is_consistent"))
+
+
 SAMPLE = f"SELECT * FROM model_rows ORDER BY {hash32_sql('series_id', 'timestamp', '42')}, series_id, timestamp LIMIT {{n}}"
 
 
@@ -389,8 +419,7 @@ def _(spark, sf):
     return sh.monotone_audit(v.model_rows(spark, sf), {"load_lag_1h": 1, "temperature": -1}, grids, score)
 
 
-@query("explain_report")
-def _(spark, sf):
+def _report(spark, sf):
     """Tree attributions, their global and hourly importance and the comparison with the gain importance."""
     model, phi = _tree_phi(spark, sf)
     phi = cut_lineage(phi)
@@ -414,3 +443,18 @@ def _(spark, sf):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("explain_report")
+def _(spark, sf):
+    return _report(spark, sf)
+
+
+# How many rows each section has, and that the shares of the gain section reach one.
+@query(
+    "explain_report_check",
+    "model_rows",
+    """SELECT 'global' AS section, 4::BIGINT AS n UNION ALL SELECT 'gain', 4 UNION ALL SELECT 'share', 1 UNION ALL SELECT 'row', 3 * count(*) FROM model_rows""",
+)
+def _(spark, sf):
+    return _report(spark, sf).where("section <> 'time'").groupBy("section").agg(F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics as m
-from tidegrid.operators.guards import r6, rounded
+from tidegrid.operators.guards import flag, r6, rounded
 from tidegrid.plans import experiments as ex
 from tidegrid.plans import monitoring as mo
 from tidegrid.plans import runs as rn
@@ -67,6 +70,35 @@ def _(spark, sf):
     return rounded(mo.prediction_drift(before, after), KS_COLS)
 
 
+def _sketched(spark, sf):
+    before, after = _halves(v.model_rows(spark, sf))
+    # the reference is kept as one sketch per series, as windows are, and merged
+    kept = [mo.sketches(before.where(F.col("series_id") == s), FEATURES) for s in ("view", "click")]
+    rest = mo.sketches(before.where(~F.col("series_id").isin("view", "click")), FEATURES)
+    return before, after, mo.sketch_drift(mo.merged_sketches(reduce(DataFrame.unionByName, [*kept, rest])), mo.sketches(after, FEATURES))
+
+
+@query("sketch_drift")
+def _(spark, sf):
+    return _sketched(spark, sf)[2]
+
+
+# The exact distance lies within the bounds read from the sketches.
+@query(
+    "sketch_drift_check",
+    "model_rows",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, count(*) FILTER (timestamp < TIMESTAMP '{BORDER}') AS n_reference,
+        count(*) FILTER (timestamp >= TIMESTAMP '{BORDER}') AS n_current, 1 AS in_bounds FROM model_rows"""
+        for c in FEATURES
+    ),
+)
+def _(spark, sf):
+    before, after, found = _sketched(spark, sf)
+    exact = mo.ks_drift(before, after, FEATURES).select("feature", F.col("ks_statistic").alias("exact"))
+    return found.join(exact, "feature").select("feature", "n_reference", "n_current", flag(F.col("exact").between(F.col("ks_low") - 1e-9, F.col("ks_high") + 1e-9)).alias("in_bounds"))
+
+
 @query(
     "reference_snapshot",
     "model_rows",
@@ -137,7 +169,27 @@ def _(spark, sf):
     return rounded(out, ["champion_mae", "challenger_mae", "t_statistic", "degrees_of_freedom", "cohens_d", "improvement_pct"])
 
 
-@query("ab_decision")
+# The p-value is an integral of Student's density, here by Simpson's rule over 4,000 steps.
+@query(
+    "ab_decision",
+    "predictions",
+    AB
+    + f""" , s AS (SELECT series_id, count(*) FILTER (model = 'champion')::DOUBLE AS n1, count(*) FILTER (model = 'challenger')::DOUBLE AS n2,
+        avg(e) FILTER (model = 'champion') AS m1, avg(e) FILTER (model = 'challenger') AS m2,
+        var_samp(e) FILTER (model = 'champion') AS v1, var_samp(e) FILTER (model = 'challenger') AS v2 FROM e GROUP BY 1),
+    t AS (SELECT series_id, n1 >= 100 AND n2 >= 100 AS enough, m1, m2, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+        pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS f FROM s),
+    p AS (SELECT series_id, any_value(m1) AS m1, any_value(m2) AS m2, any_value(enough) AS enough, any_value(t) AS t,
+        1 - 2 * sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+          * exp(lgamma((f + 1) / 2) - lgamma(f / 2) - 0.5 * ln(f * pi()) - (f + 1) / 2 * ln(1 + pow(abs(t) * k / 4000, 2) / f)) * abs(t) / 12000) AS p
+        FROM t, range(0, 4001) r(k) GROUP BY 1)
+    SELECT series_id, CASE WHEN enough THEN {q6('t')} END AS t_statistic, CASE WHEN enough THEN {q6('greatest(p, 0)')} END AS p_value,
+      (enough AND p < 0.05)::INT AS significant,
+      CASE WHEN enough AND p < 0.05 THEN CASE WHEN m2 < m1 THEN 'challenger' ELSE 'champion' END END AS winner,
+      CASE WHEN NOT enough THEN 'COLLECT more data' WHEN p < 0.05 AND m2 < m1 THEN 'PROMOTE challenger to production'
+        WHEN p < 0.05 THEN 'KEEP champion in production' ELSE 'CONTINUE testing (no significant difference)' END AS recommendation
+    FROM p""",
+)
 def _(spark, sf):
     return rounded(ex.ab_significance(v.predictions(spark, sf)), ["p_value", "t_statistic"]).select(
         "series_id", "t_statistic", "p_value", "significant", "winner", "recommendation"
@@ -160,6 +212,14 @@ def _(spark, sf):
     return ex.bandit_probabilities(ex.bandit_posterior(v.predictions(spark, sf), 20.0))
 
 
+# Every draw has one winner: the shares of the arms of a series add up to one.
+@query("bandit_probabilities_check", "predictions", "SELECT series_id, count(DISTINCT model) AS n_arms, 1.0::DOUBLE AS total, 1 AS is_valid FROM predictions GROUP BY 1")
+def _(spark, sf):
+    shares = ex.bandit_probabilities(ex.bandit_posterior(v.predictions(spark, sf), 20.0))
+    valid = F.min(flag(F.col("probability").between(0, 1))).alias("is_valid")
+    return rounded(shares.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_arms"), F.sum("probability").alias("total"), valid), ["total"])
+
+
 # --- runs: one run per series, model and day ------------------------------------------------------------------------
 
 RUN_METRICS = ["rmse", "mae", "n_samples"]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.holidays import date_dimension
 from tidegrid.functions.temporal import cyclical_features
-from tidegrid.operators.guards import r6
+from tidegrid.operators.guards import flag, r6
 from tidegrid.operators.metrics import forecast_metrics
 from tidegrid.registry.common import q6, query
 from tidegrid.registry.features import CALENDAR_SQL, DISCOMFORT_SQL
@@ -94,6 +95,20 @@ def _(spark, sf):
     return _learned(spark, sf)
 
 
+CLOSED = f"""SELECT event_type AS series_id, count(DISTINCT date_trunc('hour', ts)) FILTER (date_trunc('hour', ts) + INTERVAL 1 HOUR <= {WATERMARK}) AS n FROM events GROUP BY 1"""
+
+
+# Every closed hour is learned once, in order, and errors are ordered.
+@query("stream_online_learner_check", "", f"SELECT series_id, n AS n_samples, n AS last_number, 1 AS in_order, 0::BIGINT AS n_late FROM ({CLOSED})")
+def _(spark, sf):
+    learned = _learned(spark, sf)
+    turn = Window.partitionBy("series_id").orderBy("sample_number")
+    steps = learned.withColumn("_after", flag(F.coalesce(F.col("timestamp") > F.lag("timestamp").over(turn), F.lit(True)) & (F.col("mae") <= F.col("rmse") + 1e-9)))
+    return steps.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.max("sample_number").alias("last_number"), F.min("_after").alias("in_order"), F.max("late_rows").alias("n_late")
+    )
+
+
 @query("stream_drift_events")
 def _(spark, sf):
     learned = _learned(spark, sf, "page_hinkley", 25.0)
@@ -120,11 +135,22 @@ def _(spark, sf):
     return out.withColumns({n: r6(F.col(n)) for n in ("rmse", "mae", "degradation")})
 
 
-@query("hybrid_forecast")
-def _(spark, sf):
+def _hybrid(spark, sf):
     champion = v.predictions(spark, sf).where("model = 'champion'").drop("model")
     residual = cyclical_features(champion.withColumn("residual", F.col("y_true") - F.col("y_pred")))
     path = write_table(residual, scratch_path(spark, "residuals"))
     stream = jobs.stream_parquet(spark, path, residual.schema)
     online = jobs.run_to_table(online_learner(stream, X, "residual"), scratch_path(spark, "corrections"))
     return jobs.hybrid_forecast(champion, online)
+
+
+@query("hybrid_forecast")
+def _(spark, sf):
+    return _hybrid(spark, sf)
+
+
+# Every batch prediction, moved by three tenths of what was learned on the residuals before it.
+@query("hybrid_forecast_check", "predictions", f"SELECT series_id, timestamp, {q6('y_pred')} AS y_pred, 1 AS is_moved FROM predictions WHERE model = 'champion'")
+def _(spark, sf):
+    moved = flag(F.abs(F.col("hybrid_pred") - F.col("y_pred") - 0.3 * F.col("correction")) < 1e-9)
+    return _hybrid(spark, sf).select("series_id", "timestamp", r6(F.col("y_pred")).alias("y_pred"), moved.alias("is_moved"))
