@@ -113,8 +113,7 @@ def test_recursion_equals_stepwise_prediction(spark):
             values.append(float(model.scores(np.array([[values[-1]], [values[-5]]]))[0]))
             at, value = found[name, step]
             assert value == values[-1] and at == data[199][1] + 3600 * step
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     hours = lambda history, seconds: np.stack([history[:, -1], (seconds // 3600 % 24).astype(float)])
     assert ln.recursive_tree_forecast(model, rows, (1,), 10, inputs=hours, depth=3).count() == 20
 
