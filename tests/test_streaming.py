@@ -78,6 +78,42 @@ def test_learner_skips_old_rows(spark, load):
     assert out.count() == 21 and out.agg(F.max("late_rows")).first()[0] == 10
 
 
+def _in_one_go(rows):
+    model = OnlineLinear(2)
+    return [model.learn([r.hour_sin, r.hour_cos], r.load)[0] for r in rows]
+
+
+@pytest.mark.parametrize("pane", [6, 1])
+def test_late_rows_inside_the_watermark_are_learned_in_order(spark, load, pane):
+    rows = cyclical_features(load).select("series_id", "timestamp", "load", *X)
+    hour = ((F.unix_seconds("timestamp") - 1672531200) / 3600).cast("int")
+    # odd hours of each stretch come a batch after the even ones
+    parts = [rows.where((hour >= a) & (hour < a + 240) & (hour % 2 == odd)) for a in (0, 240, 480) for odd in (0, 1)]
+    stream = online_learner(feed(spark, parts), X, delay="20 days", pane_hours=pane)
+    got = jobs.run_to_table(stream, scratch_path(spark, "ordered")).orderBy("sample_number").collect()
+    # closed: panes that end 20 days before the newest hour
+    whole = rows.orderBy("timestamp").limit((719 - 480) // pane * pane).collect()
+    assert [r.timestamp for r in got] == [r.timestamp for r in whole]
+    assert [r.y_pred for r in got] == pytest.approx(_in_one_go(whole))
+    assert all(r.late_rows == 0 for r in got)
+
+
+def test_learner_holds_one_pane_of_a_batch(spark, load):
+    """A batch of many chunks, in no order, with gaps, copies and rows without a value."""
+    rows = cyclical_features(load).select("series_id", "timestamp", "load", *X)
+    gaps = rows.withColumn("load", F.when(F.hour("timestamp") != 5, F.col("load")))
+    mixed = gaps.unionByName(gaps.where("hour(timestamp) = 7")).orderBy(F.hash("timestamp"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = jobs.run_to_table(online_learner(feed(spark, [mixed]), X, pane_hours=10), scratch_path(spark, "panes")).orderBy("sample_number").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = rows.where("hour(timestamp) <> 5").orderBy("timestamp").collect()
+    assert [r.timestamp for r in got] == [r.timestamp for r in whole] and got[-1].late_rows == 30
+    assert [r.y_pred for r in got] == pytest.approx(_in_one_go(whole))
+
+
 def test_learner_converges():
     rng, model = random.Random(1), OnlineLinear(1, detector=None)
     for _ in range(3000):

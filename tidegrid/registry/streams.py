@@ -82,11 +82,11 @@ def _(spark, sf):
     )
 
 
-def _learned(spark, sf, detector="adwin", threshold=None):
+def _learned(spark, sf, detector="adwin", threshold=None, delay=None):
     jobs_path = scratch_path(spark, "hourly")
     table = jobs.run_to_table(jobs.stream_resample_hourly(event_stream(spark, sf)), jobs_path)
     second = cyclical_features(jobs.stream_parquet(spark, jobs_path, table.schema))
-    learned = online_learner(second, X, detector=detector, threshold=threshold)
+    learned = online_learner(second, X, detector=detector, threshold=threshold, delay=delay)
     return jobs.run_to_table(learned, scratch_path(spark, "learned"))
 
 
@@ -101,7 +101,22 @@ CLOSED = f"""SELECT event_type AS series_id, count(DISTINCT date_trunc('hour', t
 # Every closed hour is learned once, in order, and errors are ordered.
 @query("stream_online_learner_check", "", f"SELECT series_id, n AS n_samples, n AS last_number, 1 AS in_order, 0::BIGINT AS n_late FROM ({CLOSED})")
 def _(spark, sf):
-    learned = _learned(spark, sf)
+    return _steps(_learned(spark, sf))
+
+
+# With a delay of a day: the hours of days that ended a day before the newest closed hour.
+@query(
+    "stream_delayed_learner_check",
+    "",
+    f""", h AS (SELECT DISTINCT event_type AS series_id, date_trunc('hour', ts) AS t FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {WATERMARK})
+    SELECT series_id, count(*) AS n_samples, count(*) AS last_number, 1 AS in_order, 0::BIGINT AS n_late FROM h
+    WHERE date_trunc('day', t) + INTERVAL 1 DAY <= (SELECT max(t) FROM h) - INTERVAL 1 DAY GROUP BY 1""".replace(", h AS", "WITH h AS", 1),
+)
+def _(spark, sf):
+    return _steps(_learned(spark, sf, delay="1 day"))
+
+
+def _steps(learned):
     turn = Window.partitionBy("series_id").orderBy("sample_number")
     steps = learned.withColumn("_after", flag(F.coalesce(F.col("timestamp") > F.lag("timestamp").over(turn), F.lit(True)) & (F.col("mae") <= F.col("rmse") + 1e-9)))
     return steps.groupBy("series_id").agg(
