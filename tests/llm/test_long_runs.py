@@ -15,6 +15,7 @@ from tidegrid.llm.common import prepared
 from tidegrid.llm.registry import tokenizer_path
 
 PIECES = sl.Pieces(tokenizer_path())
+TABLE = {p: (i, s) for p, i, s in PIECES.rows}
 
 
 def runs():
@@ -51,7 +52,17 @@ def test_a_model_whose_pieces_cross_spaces_is_not_cut(spark, monkeypatch):
 
 
 def test_long_run_takes_time_by_its_length():
-    table = {p: (i, s) for p, i, s in PIECES.rows}
-    ids = sl.best_path("▁" + "ab" * 100_000, table, PIECES.longest, PIECES.lowest, PIECES.byte_ids)
+    ids = sl.best_path("▁" + "ab" * 100_000, TABLE, PIECES.longest, PIECES.lowest, PIECES.byte_ids)
     same = sl.decoded(ids, PIECES.surface) == b"ab" * 100_000
     assert same
+
+
+def test_units_end_where_no_piece_joins_characters():
+    cutter = sl.Cutter(PIECES.pattern, PIECES.alone, PIECES.borders)
+    assert sl.units("ends. (a,b) 42", cutter) == ["▁ends", ".", "▁(", "a", ",", "b", ")", "▁", "4", "2"]
+    rng, letters = random.Random(8), "ab zé.,()'\"/-_42ж漢🙂\0▁\n"
+    for _ in range(300):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 40)))
+        parts = sl.units(text, cutter)
+        ids = [i for u in parts for i in sl.best_path(u, TABLE, PIECES.longest, PIECES.lowest, PIECES.byte_ids)]
+        assert ids == want(text)

@@ -307,7 +307,7 @@ def test_perspectives(spark, part):
 
 
 PIECES = sentencepiece_lattice.Pieces(MODEL)
-CUTTER = sentencepiece_lattice.Cutter(PIECES.pattern, PIECES.alone)
+CUTTER = sentencepiece_lattice.Cutter(PIECES.pattern, PIECES.alone, PIECES.borders)
 
 
 @pytest.mark.parametrize("block", [3, 300_000])

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding (operator 9): a relational lattice and a Viterbi fold.
 
-Texts are cut into units that no piece of the vocabulary crosses.  Of the distinct units all substrings of bounded length are
+Texts are cut into units that no piece of the vocabulary crosses: at spaces, and between characters that no chain of pieces joins
+(letters and marks, in most models).  Of the distinct units all substrings of bounded length are
 exploded and equi-joined to the piece table; the matches of a unit are the edges of its lattice, grouped back and folded to
 the best path with ``aggregate``.  Longer units, which nothing cuts either, are folded one character after another with back
 pointers, in time and memory that follow their length.  Documents travel as numbers of units in block dictionaries, not as text.
@@ -39,6 +40,16 @@ TASK_UNITS = 50_000
 MAX_PIECES = 1_000_000
 
 
+def _classes(words: list[str]) -> list[set[str]]:
+    """Classes of the characters that stand together in words, directly or through others; the largest first."""
+    of: dict[str, set[str]] = {}
+    for word in words:
+        joined = set(word).union(*(of.get(c, ()) for c in word))
+        of.update(dict.fromkeys(joined, joined))
+    classes = {id(c): c for c in of.values()}.values()
+    return sorted(classes, key=lambda c: (-len(c), min(c)))
+
+
 class Pieces:
     """Vocabulary of a model file: surface pieces with ids and scores, byte pieces, and the units' pattern."""
 
@@ -56,11 +67,16 @@ class Pieces:
         in_bytes = {m.id_to_piece(i): i for i in ids if m.is_byte(i)}
         self.byte_ids = [in_bytes.get(f"<0x{b:02X}>", m.unk_id()) for b in range(256)]
         self.surface = {i: p.replace(SYMBOL, " ").encode() for p, i, _ in self.rows} | {i: bytes([int(p[1:-1], 16)]) for p, i in in_bytes.items()}
-        joined = sorted({c for p, _, _ in self.rows if len(p) > 1 for c in p} - {SYMBOL})
-        group = "".join(map(re.escape, joined))
-        # a symbol behind another character starts a unit; so does a character of no longer piece
-        self.pattern = f"{SYMBOL}*[{group}]+|{SYMBOL}+|[^{group}{SYMBOL}]" if group else f"{SYMBOL}+|[^{SYMBOL}]"
+        # characters that pieces join, directly or through others, are one class; no piece has characters of two classes
+        classes = _classes([p.replace(SYMBOL, "") for p, _, _ in self.rows if len(p) > 1])
+        groups = ["".join(map(re.escape, sorted(c))) for c in classes]
+        group = "".join(groups)
+        # a symbol behind another character starts a unit; so does a character of another class or of no longer piece
+        runs = "|".join(f"[{g}]+" for g in groups)
+        self.pattern = f"{SYMBOL}*(?:{runs})|{SYMBOL}+|[^{group}{SYMBOL}]" if group else f"{SYMBOL}+|[^{SYMBOL}]"
         self.alone = f"[^{group}{SYMBOL} ]"
+        # the largest class and all others
+        self.borders = (groups[0], "".join(groups[1:])) if len(groups) > 1 else None
         self.splits = not any(SYMBOL in p.lstrip(SYMBOL) for p, _, _ in self.rows)
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -70,9 +86,14 @@ class Pieces:
 class Cutter:
     """Cuts texts, with a symbol in front and for every space, into the parts that are encoded each on its own."""
 
-    def __init__(self, pieces_pattern: str | None, alone: str | None):
+    def __init__(self, pieces_pattern: str | None, alone: str | None, borders: tuple[str, str] | None = None):
         self.pattern = re.compile(pieces_pattern, re.DOTALL) if pieces_pattern else None
         self.alone = re.compile(alone) if alone else None
+        self.before = self.behind = None
+        if borders and self.pattern:
+            main, other = borders
+            # borders between the largest class and the others; both look for a character of the others first
+            self.before, self.behind = re.compile(f"[{other}](?<=[{main}][{other}])"), re.compile(f"[{other}](?=[{main}])")
 
     def parts(self, text: str) -> list[str]:
         if not self.pattern:
@@ -80,7 +101,10 @@ class Cutter:
         if "  " in text or SYMBOL in text or "\0" in text or text[:1] == " " or text[-1:] == " ":
             return self.pattern.findall(SYMBOL + text.replace(" ", SYMBOL))
         # the usual case, without the pattern: single spaces between words; characters of no longer piece stand alone
-        marked = self.alone.sub("\0\\g<0>\0", text).replace(" ", f"\0{SYMBOL}")
+        marked = self.alone.sub("\0\\g<0>\0", text)
+        if self.before:
+            marked = self.behind.sub("\\g<0>\0", self.before.sub("\0\\g<0>", marked))
+        marked = marked.replace(" ", f"\0{SYMBOL}")
         if "\0" not in marked:
             return [SYMBOL + marked]
         return list(filter(None, (SYMBOL + marked).split("\0")))
@@ -153,12 +177,12 @@ def block_parts(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, blo
 
     ``at`` holds the number of units of each of the documents ``ids``, then the numbers themselves.
     """
-    pattern, alone = (pieces.pattern, pieces.alone) if pieces.splits else (None, None)
+    cuts = (pieces.pattern, pieces.alone, pieces.borders) if pieces.splits else (None, None)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = PARTS.format(id=rows.schema["id"].dataType.simpleString())
 
     def run(batches):
-        cutter, block, kind = Cutter(pattern, alone), None, None
+        cutter, block, kind = Cutter(*cuts), None, None
         for batch in batches:
             kind = batch.column(0).type
             block = block or _Block(TaskContext.get().partitionId() << 12)
