@@ -3,8 +3,10 @@ from __future__ import annotations
 import base64
 import random
 import sys
+import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -66,3 +68,45 @@ def test_units_end_where_no_piece_joins_characters():
         parts = sl.units(text, cutter)
         ids = [i for u in parts for i in sl.best_path(u, TABLE, PIECES.longest, PIECES.lowest, PIECES.byte_ids)]
         assert ids == want(text)
+
+
+def test_paths_of_many_units_at_once_and_of_one_are_the_same(spark):
+    prepared(spark)
+    rng, letters = random.Random(9), "▁abcdehinorstuz.,=é漢🙂\0"
+    words = sorted({"".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(400)} | {"=" * 256, "a" * 256, "▁", "\0"})
+    rows = sl.lattices(spark.createDataFrame([(w,) for w in words], "unit string"), PIECES).collect()
+    scores = np.zeros(1 + max(i for _, i, _ in PIECES.rows))
+    for _, i, s in PIECES.rows:
+        scores[i] = s
+    edges, counts = np.concatenate([r.edges for r in rows]), np.array([len(r.edges) for r in rows])
+    size, ids = sl.best_paths(edges, counts, scores, PIECES.lowest, PIECES.byte_ids)
+    found = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert {r.unit: x for r, x in zip(rows, found, strict=True)} == {w: brute.viterbi(w, PIECES) for w in words}
+
+
+def test_of_equal_sums_the_longer_last_piece_stays():
+    # "abc" as a, b, c (ids 0, 1, 2), ab (3), bc (4): both ways with two pieces sum up to -2
+    edge = lambda e, l, i: e << sl.END | l << sl.LENGTH | i + sl.CODES
+    edges = np.array([edge(1, 1, 0), edge(2, 1, 1), edge(2, 2, 3), edge(3, 1, 2), edge(3, 2, 4)])
+    size, ids = sl.best_paths(np.tile(edges, 2), np.array([5, 5]), np.full(5, -1.0), -10.0, [])
+    assert size.tolist() == [2, 2] and ids.tolist() == [0, 4, 0, 4]
+
+
+def test_packed_numbers_come_back_and_small_ones_take_little():
+    edges = [0, 239, 240, 255, 256, 65535, 65536, 15 * 65536 - 1, 15 * 65536, 2**31, 2**32 - 1]
+    for numbers in (edges, [], [7], [2**32 - 1]):
+        assert sl._unpacked(sl._packed(np.array(numbers, np.int64))).tolist() == numbers
+    # numbers of words by rank, against four planes of bytes
+    ranks = np.random.default_rng(3).zipf(1.2, 100_000)
+    ranks = ranks[ranks < 2**20].astype(np.uint32)
+    planes = zlib.compress(ranks.view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
+    assert len(sl._packed(ranks)) < 0.95 * len(planes)
+
+
+def test_units_are_given_back_before_the_documents_move(spark):
+    prepared(spark)
+    docs = spark.createDataFrame([(i, f"some words and number {i}") for i in range(50)], "doc_id long, text string")
+    found = sl.encode(docs, tokenizer_path())
+    folder = next(Path(f.removeprefix("file://")).parent for f in found.inputFiles() if f"/kind={sl.DOCUMENTS}/" in f)
+    assert folder.exists() and not (folder.parent / f"kind={sl.UNITS}").exists()
+    assert found.where("size(ids) = n_pieces AND n_pieces > 0").count() == 50

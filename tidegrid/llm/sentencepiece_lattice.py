@@ -3,7 +3,7 @@
 Texts are cut into units that no piece of the vocabulary crosses: at spaces, and between characters that no chain of pieces joins
 (letters and marks, in most models).  Of the distinct units all substrings of bounded length are
 exploded and equi-joined to the piece table; the matches of a unit are the edges of its lattice, grouped back and folded to
-the best path with ``aggregate``.  Longer units, which nothing cuts either, are folded one character after another with back
+the best path, many units at once.  Longer units, which nothing cuts either, are folded one character after another with back
 pointers, in time and memory that follow their length.  Documents travel as numbers of units in block dictionaries, not as text.
 
 The path has the largest sum of piece scores; of equal sums the one whose last piece is longer, seen from every place.  A BPE
@@ -34,8 +34,11 @@ BLOCK_UNITS = 1_000_000
 BLOCK_CHARACTERS = 32_000_000
 #: Units and characters of one row of a dictionary, unless a unit is longer.
 ROW_UNITS, ROW_CHARACTERS = 2000, 1_000_000
-#: Distinct units whose lattices are in one task.
-TASK_UNITS = 50_000
+#: Distinct units whose lattices are in one task, and edges that are folded at once, unless a unit has more.
+TASK_UNITS, FOLD_EDGES = 50_000, 500_000
+#: An edge is one long: its end from bit END, its length from bit LENGTH, below it its id plus CODES; a character that is no
+#: piece has minus one minus its code point for an id.
+END, LENGTH, CODES = 48, 32, 1 << 21
 #: The piece table is broadcast; a model with more pieces is refused.
 MAX_PIECES = 1_000_000
 
@@ -126,14 +129,30 @@ def units(text: str, cutter: Cutter) -> list[str]:
     return cutter.parts(text) if text else []
 
 
+#: Numbers below it are one byte; the others have a first byte that tells what is above their two lower ones.
+FIRST = 240
+
+
 def _packed(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, their bytes plane by plane, compressed."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
+    """Unsigned 32-bit numbers, most of them small, in streams of first, middle, low and high bytes, compressed."""
+    small = numbers < FIRST
+    rest = numbers[~small].astype(np.uint32)
+    high = rest >> 16
+    first = numbers.astype(np.uint8)
+    first[~small] = FIRST + np.minimum(high, 255 - FIRST)
+    streams = (first, (rest >> 8).astype(np.uint8), rest.astype(np.uint8), high[high >= 255 - FIRST].astype("<u2"))
+    return len(first).to_bytes(4, "little") + zlib.compress(b"".join(x.tobytes() for x in streams), 4)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    n, streams = int.from_bytes(data[:4], "little"), np.frombuffer(zlib.decompress(data[4:]), np.uint8)
+    numbers = streams[:n].astype(np.uint32)
+    large = np.flatnonzero(numbers >= FIRST)
+    m = len(large)
+    high = numbers[large] - FIRST
+    high[high == 255 - FIRST] = np.frombuffer(streams[n + 2 * m :].tobytes(), "<u2")
+    numbers[large] = high << 16 | streams[n : n + m].astype(np.uint32) << 8 | streams[n + m : n + 2 * m]
+    return numbers
 
 
 PARTS = "kind int, block long, ids array<{id}>, at binary, base int, units array<string>"
@@ -236,41 +255,62 @@ def long_unit_ids(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     return distinct.mapInArrow(run, "unit string, ids array<int>")
 
 
-def unit_ids(distinct: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids): the best path of every distinct ``unit`` (not empty, MAX_UNIT at most), by explode, equi-join, grouping and fold."""
+def lattices(distinct: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, edges): the edges of every distinct ``unit`` (not empty, MAX_UNIT at most) by end and length, by explode, equi-join and grouping."""
     table = F.broadcast(pieces.table(distinct.sparkSession))
     n = F.char_length("unit")
     ends = distinct.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("e"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("e"))))
     parts = ends.select("unit", "e", size.alias("l")).withColumn("piece", F.substr("unit", F.col("e") - F.col("l") + 1, F.col("l")))
-    # a character that is no piece has an edge too, with its code point below zero: it becomes its bytes
+    # a character that is no piece has an edge too
     edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR l = 1")
-    code = F.coalesce("id", -1 - F.ascii("piece"))
-    edge = F.struct("e", "l", code.alias("id"), F.coalesce("score", F.lit(pieces.lowest)).alias("s"))
-    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # the best path to every place so far, as its score and ids; edges come by their end, the short ones first
-    start = F.expr("array(named_struct('t', 0D, 'ids', CAST(array() AS array<int>)))")
-
-    def step(best, x):
-        before, now = F.get(best, x["e"] - x["l"]), F.get(best, x["e"])
-        total = before["t"] + x["s"]
-        path = F.array(F.struct(total.alias("t"), F.concat(before["ids"], F.array(x["id"])).alias("ids")))
-        worse = F.coalesce(total < now["t"], F.lit(False))
-        return F.when(worse, best).otherwise(F.concat(F.slice(best, F.lit(1), x["e"]), path))
-
-    folded = lattice.select("unit", F.aggregate("edges", start, step, lambda best: F.element_at(best, -1)["ids"]).alias("ids"))
-    bytes_of = F.array(*[F.lit(i) for i in pieces.byte_ids])
-
-    def spelled(x):
-        c = -1 - x
-        tail = lambda shift: F.shiftright(c, shift).bitwiseAND(63) + 128
-        one, two = F.array(c), F.array(F.shiftright(c, 6) + 192, tail(0))
-        three, four = F.array(F.shiftright(c, 12) + 224, tail(6), tail(0)), F.array(F.shiftright(c, 18) + 240, tail(12), tail(6), tail(0))
-        utf8 = F.when(c < 0x80, one).when(c < 0x800, two).when(c < 0x10000, three).otherwise(four)
-        return F.when(x >= 0, F.array(x)).otherwise(F.transform(utf8, lambda b: F.get(bytes_of, b)))
-
-    whole = F.when(F.exists("ids", lambda x: x < 0), F.flatten(F.transform("ids", spelled))).otherwise(F.col("ids"))
-    return folded.select("unit", whole.alias("ids"))
+    code = F.coalesce("id", -1 - F.ascii("piece")) + CODES
+    place = F.shiftleft(F.col("e").cast("long"), END).bitwiseOR(F.shiftleft(F.col("l").cast("long"), LENGTH))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(place.bitwiseOR(code.cast("long")))).alias("edges"))
+
+
+def best_paths(edges: np.ndarray, counts: np.ndarray, scores: np.ndarray, lowest: float, byte_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of the best paths of units that have ``counts`` of the ``edges`` each, by end and length.
+
+    Edges of one end and length belong to different units and are taken together; of equal sums the longer last piece stays.
+    """
+    place, code = edges >> LENGTH, (edges & ((1 << LENGTH) - 1)) - CODES
+    end, length = place >> (END - LENGTH), place & ((1 << (END - LENGTH)) - 1)
+    n = end[np.cumsum(counts) - 1]
+    base = np.cumsum(n + 1) - (n + 1)
+    order = np.argsort(place, kind="stable")
+    to = (np.repeat(base, counts) + end)[order]
+    score = np.where(code < 0, lowest, scores[np.maximum(code, 0)])[order]
+    best, back = np.full(int((n + 1).sum()), -np.inf), np.zeros(int((n + 1).sum()), np.int64)
+    best[base] = 0
+    cuts = np.flatnonzero(np.diff(place[order], prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        at = to[a:b]
+        total = best[at - length[order[a]]] + score[a:b]
+        better = total >= best[at]
+        best[at[better]], back[at[better]] = total[better], order[a:b][better]
+    unit, at, steps, size = np.arange(len(n)), base + n, [], np.zeros(len(n), np.int64)
+    while len(unit):
+        edge = back[at]
+        steps.append((unit, code[edge]))
+        size[unit] += 1
+        at = at - length[edge]
+        more = at > base[unit]
+        unit, at = unit[more], at[more]
+    ends = np.cumsum(size)
+    ids = np.empty(int(size.sum()), np.int64)
+    for k, (unit, codes) in enumerate(steps, 1):
+        ids[ends[unit] - k] = codes
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return size, ids
+    # characters that are no pieces become their bytes
+    characters, which = np.unique(ids[odd], return_inverse=True)
+    spelled = [[byte_ids[b] for b in chr(-1 - c).encode()] for c in characters.tolist()]
+    lengths = np.array([len(x) for x in spelled])
+    sizes, starts = np.ones(len(ids), np.int64), np.arange(len(ids))
+    sizes[odd], starts[odd] = lengths[which], len(ids) + (np.cumsum(lengths) - lengths)[which]
+    return np.add.reduceat(sizes, ends - size), _ragged(np.concatenate([ids, *spelled]), starts, sizes)
 
 
 def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -279,16 +319,9 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-def _answers(batches):
-    """Encoded units of a partition, packed by block: count, steps between their numbers, sizes, ids."""
-    held = []
-    for batch in batches:
-        lists = batch.column(1)
-        held.append((batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
-    if not held:
-        return
-    key, size, ids = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
-    first, order = np.cumsum(size) - size, np.argsort(key, kind="stable")
+def _by_block(key: np.ndarray, size: np.ndarray, first: np.ndarray, ids: np.ndarray):
+    """Encoded units, packed by block: count, steps between their numbers, sizes, ids."""
+    order = np.argsort(key, kind="stable")
     block, at = key >> AT_BITS, key & ((1 << AT_BITS) - 1)
     cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
     for part in np.split(order, cuts[1:]):
@@ -296,6 +329,54 @@ def _answers(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]]), pa.array([_packed(numbers)])], names=["block", "answer"])
 
 
+def _lists(batches: list, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of a column of lists."""
+    lists = [b.column(column) for b in batches]
+    return np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int64), np.concatenate([x.flatten().to_numpy() for x in lists]).astype(np.int64)
+
+
+def _answers(batches):
+    """Units of a partition that are encoded already, one row per key, packed by block."""
+    held = list(batches)
+    if held:
+        size, ids = _lists(held, 1)
+        yield from _by_block(np.concatenate([b.column(0).to_numpy() for b in held]), size, np.cumsum(size) - size, ids)
+
+
+def _folded(pieces: Pieces):
+    """Units of a partition with the keys that ask for them and their edges: encoded, and packed by block."""
+    scores = np.zeros(1 + max(i for _, i, _ in pieces.rows))
+    for _, i, s in pieces.rows:
+        scores[i] = s
+    lowest, byte_ids = pieces.lowest, pieces.byte_ids
+
+    def run(batches):
+        keys, sizes, ids, held, edges = [], [], [], [], 0
+
+        def fold():
+            count, flat = _lists(held, 1)
+            size, found = best_paths(flat, count, scores, lowest, byte_ids)
+            keys.append(_lists(held, 0))
+            sizes.append(size)
+            ids.append(found.astype(np.int32))
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            edges += len(batch.column(1).flatten())
+            if edges >= FOLD_EDGES:
+                fold()
+                edges = 0
+        if edges:
+            fold()
+        if keys:
+            asked, key = (np.concatenate(x) for x in zip(*keys, strict=True))
+            size = np.concatenate(sizes)
+            yield from _by_block(key, np.repeat(size, asked), np.repeat(np.cumsum(size) - size, asked), np.concatenate(ids))
+
+    return run
+
+
 def _assembled(surface: dict[int, bytes], kind: pa.DataType):
     """Ids of a block's documents, and the digest of the text that they decode to."""
 
@@ -353,7 +434,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     pieces, scratch = Pieces(path), Scratch(spark)
-    parts = scratch.write(block_parts(docs, pieces, id_col, text_col, block_units), "parts")
+    parts = scratch.write(block_parts(docs, pieces, id_col, text_col, block_units), "parts", "kind")
     words = parts.where(F.col("kind") == UNITS)
     number = F.shiftleft("block", AT_BITS).bitwiseOR((F.col("base") + F.col("p")).cast("long"))
     asked = words.select("block", "base", F.posexplode("units").alias("p", "unit")).select(number.alias("key"), "unit")
@@ -365,15 +446,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     # the key is asked for too, so that this is the same exchange as the join's other side
     distinct = dealt.groupBy("unit").agg(F.min("key").alias("k")).where("k >= 0").select("unit")
     short = F.char_length("unit") <= MAX_UNIT
-    answers = dealt.where(short).join(unit_ids(distinct.where(short), pieces).hint("shuffle_hash"), "unit").select("key", "ids")
-    # a task has a bounded number of units, whose edges fit in memory: no sort
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
-        packed = scratch.write(answers.mapInArrow(_answers, "block long, answer binary"), "answers")
+    keys = dealt.where(short).groupBy("unit").agg(F.collect_list("key").alias("keys"))
+    asking = keys.join(lattices(distinct.where(short), pieces).hint("shuffle_hash"), "unit").select("keys", "edges")
+    # a task has a bounded number of units, whose edges fit in memory: no sort; shuffle files go as soon as their table is written
+    in_memory = setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS))
+    with in_memory, setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        packed = scratch.write(asking.mapInArrow(_folded(pieces), "block long, answer binary"), "answers")
     if any_long:
         # few and long: their ids are gathered by their numbers from a shuffle of their own
         found = long_unit_ids(distinct.where(~short), pieces)
         rest = dealt.where(~short).join(found, "unit").select("key", "ids")
         packed = packed.unionByName(scratch.write(rest.mapInArrow(_answers, "block long, answer binary"), "answers"))
+    if total:
+        scratch.drop(words, f"kind={UNITS}")
     rows = parts.where(F.col("kind") == DOCUMENTS).select("block", "ids", "at")
     id_type = docs.schema[id_col].dataType
     run = _assembled(pieces.surface, to_arrow_type(id_type))
